@@ -1,17 +1,18 @@
-"""Text-to-value rules for untrusted exports, as Column expressions."""
+"""Text-to-value rules for untrusted exports, as Column expressions.
+
+Each rule reads its input once: Catalyst inlines projected columns into pushed filters, and rules that
+repeat their input grow beyond the size of one generated method when they are stacked.
+"""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adtide.schema import BLANK_TEXT, CHANNEL_TOKENS
 
-DATE_FORMATS = ["yyyyMMdd", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "MMM d, yyyy", "d MMM yyyy"]
-
 
 def norm_header(name: object) -> str:
     """Lower case, runs of other characters to one underscore. Headers only, never data."""
@@ -19,61 +20,55 @@ def norm_header(name: object) -> str:
 
 
 def is_blank(value: Column) -> Column:
-    return value.isNull() | F.lower(F.trim(value)).isin(BLANK_TEXT)
+    return F.coalesce(F.lower(F.trim(value)), F.lit("")).isin(BLANK_TEXT)
 
 
 def unless_blank(value: Column) -> Column:
-    return F.when(~is_blank(value), value)
+    """The text, or NULL where it is blank or a written null."""
+    words = "|".join(w for w in BLANK_TEXT if w)
+    return F.nullif(F.regexp_replace(value, rf"(?i)^\s*({words})?\s*$", ""), F.lit(""))
 
 
-def parse_numeric(value: Column) -> Column:
+def read_amount(value: Column) -> Column:
     """Amount text to double: currency signs, thousands marks and decimal commas; NULL if unreadable.
 
     With both marks the later one is the decimal mark. A lone comma is decimal only before one or two digits.
     """
     text = F.regexp_replace(value.cast("string"), r"[\s$€£₹]", "")
-    dot, comma = text.contains("."), text.contains(",")
-    after_comma = F.length(F.substring_index(text, ",", -1))
-    after_dot = F.length(F.substring_index(text, ".", -1))
-    european = F.translate(text, ",.", ".")
-    plain = F.replace(text, F.lit(","), F.lit(""))
-    one_short = (F.length(text) - F.length(plain) == 1) & after_comma.between(1, 2)
-    marked = (
-        F.when(dot & comma, F.when(after_comma < after_dot, european).otherwise(plain))
-        .when(comma, F.when(one_short, F.replace(text, F.lit(","), F.lit("."))).otherwise(plain))
-        .otherwise(text)
-    )
-    number = F.regexp_replace(marked, r"[^0-9.\-]", "").try_cast("double")
-    return F.when(~is_blank(value.cast("string")) & (F.abs(number) < float("inf")), number)
+    # Dots before a final comma are thousands marks; they stay visible as underscores for the next steps.
+    text = F.regexp_replace(text, r"\.(?=.*,[^.,]*$)", "_")
+    text = F.regexp_replace(text, r"^([^,]*_[^,]*),([^,]*)$", "$1.$2")
+    text = F.regexp_replace(text, r"^(?=.*_).*,.*$", "..")
+    text = F.regexp_replace(text, r"^([^,.]*),([^,.]{1,2})$", "$1.$2")
+    number = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def parse_date(value: Column) -> Column:
-    """First matching day format, UTC; NULL if none matches."""
+    """Day of an ISO, compact, slashed (month first, day first if it must be) or written-month text, in UTC."""
     text = F.trim(value.cast("string"))
-    digits = text.rlike(r"^\d{8}$")
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    iso = F.when(~digits, F.try_to_timestamp(text))
-    return F.to_date(F.coalesce(iso, *tries))
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(1[3-9]|2\d|3[01])[/-](\d{1,2})[/-](\d{4})$", "$3-$2-$1")
+    text = F.regexp_replace(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
+    written = text.rlike(r"^(?:\d{1,2} )?[A-Za-z]{3}")
+    stamp = F.when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text)).when(
+        written,
+        F.coalesce(F.try_to_timestamp(text, F.lit("MMM d, yyyy")), F.try_to_timestamp(text, F.lit("d MMM yyyy"))),
+    )
+    return F.to_date(stamp)
 
 
 def friendly_channel(value: Column) -> Column:
     """Platform names by substring; anything else stays as it is, trimmed."""
     text = F.trim(F.coalesce(value, F.lit("")))
-    key = F.lower(text)
-
-    def hit(tokens: list[str]) -> Column:
-        return reduce(lambda a, b: a | b, [key.contains(t) for t in tokens])
-
-    branches = list(CHANNEL_TOKENS.items())
-    expr = F.when(hit(branches[0][1]), branches[0][0])
-    for name, tokens in branches[1:]:
-        expr = expr.when(hit(tokens), name)
-    return expr.otherwise(text)
+    for name, tokens in CHANNEL_TOKENS.items():
+        text = F.regexp_replace(text, rf"(?is)^.*({'|'.join(tokens)}).*$", name)
+    return text
 
 
 def source_medium(source: Column, medium: Column) -> Column:
-    parts = [F.when(F.trim(c) != "", F.trim(c)) for c in (source, medium)]
-    return F.concat_ws(" / ", *parts)
+    return F.concat_ws(" / ", *[F.nullif(F.trim(c), F.lit("")) for c in (source, medium)])
 
 
 def channel_from_filename(name: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adtide.functions.exprs import present, safe_ratio
 from adtide.functions.tables import attach
-from adtide.functions.text import is_blank, parse_date
+from adtide.functions.text import parse_date, unless_blank
 from adtide.operators.rollup import fact_rollup
 from adtide.schema import CANONICAL_COLUMNS, LEVEL_COLUMNS, MEASURES, TEXT_DEFAULTS, TEXT_DIMS
 
@@ -135,11 +135,8 @@ def repair_dates(rows: DataFrame, as_of: str, keys: Sequence[str] = ()) -> DataF
     A key without any valid date gets consecutive days that end at ``as_of``, in row order.
     """
     today = F.to_date(F.lit(as_of))
-    text = F.trim(F.col("date").cast("string"))
-    parsed = parse_date(text)
-    # Years beyond the nanosecond range count as far in the future, not as unreadable.
-    beyond = F.regexp_extract(text, r"^(\d{4})", 1).try_cast("int") > 2262
-    dated = rows.withColumn("_date", F.when(beyond, F.date_add(today, 367)).otherwise(parsed))
+    # Years far ahead need no special case: a Spark date holds them, and the clamp below moves them.
+    dated = rows.withColumn("_date", parse_date(F.col("date")))
     ahead = F.date_add(today, 366)
     stats = dated.groupBy(*keys).agg(
         F.min("_date").alias("_min"),
@@ -162,13 +159,11 @@ def repair_dates(rows: DataFrame, as_of: str, keys: Sequence[str] = ()) -> DataF
 def clean_repair(rows: DataFrame, as_of: str, keys: Sequence[str] = ()) -> DataFrame:
     """Batch policy: repair what can be repaired, drop rows of negative money, sum to the fact grain."""
     dated = repair_dates(rows, as_of, keys)
-    texts = {
-        c: F.when(is_blank(F.col(c)), TEXT_DEFAULTS[c]).otherwise(F.trim(c)) for c in TEXT_DIMS
-    }
+    texts = {c: F.coalesce(unless_blank(F.trim(c)), F.lit(TEXT_DEFAULTS[c])) for c in TEXT_DIMS}
 
     def number(c: str) -> Column:
-        v = F.col(c)
-        return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+        finite = F.nullif(F.nullif(F.nanvl(F.col(c), F.lit(0.0)), F.lit(float("inf"))), F.lit(float("-inf")))
+        return F.coalesce(finite, F.lit(0.0))
 
     fixed = dated.withColumns({**texts, **{m: number(m) for m in MEASURES}})
     kept = fixed.filter((F.col("spend") >= 0) & (F.col("revenue") >= 0))

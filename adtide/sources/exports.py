@@ -8,7 +8,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adtide.functions.exprs import non_negative
@@ -92,13 +92,22 @@ def write_canonical(rows: DataFrame, path: str) -> None:
     rows.select(*CANONICAL_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
-def daily_forecast_export(revenue: DataFrame, roas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Revenue points with the ROAS points of the same date: the daily export layout."""
-    left = revenue.select(
-        *by, "date", *[F.col(c).alias(f"revenue_{c}") for c in ("value", "lower", "upper")]
+def daily_forecast_export(revenue: DataFrame, roas: DataFrame, by: Sequence[str], model_type: str) -> DataFrame:
+    """Revenue points with the ROAS points of the same date: the 11-column daily export."""
+
+    def points(df: DataFrame, name: str) -> DataFrame:
+        bounds = {"value": "expected", "lower": "lower", "upper": "upper"}
+        return df.select(*by, "date", *[F.col(c).alias(f"{b}_{name}") for c, b in bounds.items()])
+
+    sized = points(revenue, "revenue").withColumn("horizon_days", F.count("*").over(Window.partitionBy(*by)))
+    return sized.join(points(roas, "roas"), [*by, "date"], "left").select(
+        "date",
+        *[f"{b}_{n}" for n in ("revenue", "roas") for b in ("expected", "lower", "upper")],
+        F.col("horizon_days").cast("bigint").alias("horizon_days"),
+        "level",
+        F.col("segment").alias("value"),
+        F.lit(model_type).alias("model_type"),
     )
-    right = roas.select(*by, "date", *[F.col(c).alias(f"roas_{c}") for c in ("value", "lower", "upper")])
-    return left.join(right, [*by, "date"], "left")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

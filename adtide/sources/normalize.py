@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from adtide.functions.exprs import safe_ratio
 from adtide.functions.text import (
     friendly_channel,
-    is_blank,
     norm_header,
-    parse_numeric,
+    read_amount,
     source_medium,
     unless_blank,
 )
@@ -96,43 +95,46 @@ def normalize_facts(
         expr = coalesce_aliases(df, field, headers)
         return F.lit("") if expr is None else F.coalesce(expr, F.lit(""))
 
-    source = _first(df, ["sessionsource", "session_source", "source"], headers)
-    medium = _first(df, ["sessionmedium", "session_medium", "medium"], headers)
-    both = source_medium(source, medium)
-
-    channel = friendly_channel(F.coalesce(unless_blank(text("channel")), both))
-    channel = F.when(microsoft & is_blank(channel), "Microsoft Ads").otherwise(channel)
-    ctype = F.coalesce(unless_blank(text("campaign_type")), medium)
-    name = F.coalesce(unless_blank(text("campaign_name")), unless_blank(both), F.lit("Unknown Campaign"))
-
-    def default(value: Column, shopify: str | None, ga4: str | None) -> Column:
-        expr = value
-        if shopify:
-            expr = F.when(is_blank(value) & (kind == "shopify"), shopify).otherwise(expr)
-        if ga4:
-            expr = F.when(is_blank(value) & (kind == "ga4"), ga4).otherwise(expr)
-        return expr
-
-    texts = {
-        "channel": default(channel, "Shopify", None),
-        "campaign_type": default(ctype, "Shopify Sales", "GA4 Traffic"),
-        "campaign_name": default(name, "Shopify Orders", "GA4 Segment"),
-    }
-    out = df.select(
+    # Each step reads the columns of the one before, so no expression is repeated inside another.
+    staged = df.select(
         *carry,
         text("date").alias("date"),
-        *[
-            F.coalesce(unless_blank(F.trim(v)), F.lit(TEXT_DEFAULTS[c])).alias(c)
-            for c, v in texts.items()
-        ],
-        *[_raw_number(df, m, headers).alias(f"_{m}") for m in [*MEASURES, "roas"]],
+        *[text(c).alias(f"_{c}") for c in TEXT_DEFAULTS],
+        _first(df, ["sessionsource", "session_source", "source"], headers).alias("_source"),
+        _first(df, ["sessionmedium", "session_medium", "medium"], headers).alias("_medium"),
+        *[_raw_number(df, m, headers).alias(f"_raw_{m}") for m in [*MEASURES, "roas"]],
         kind.alias("source_schema"),
         micros.alias("_micros"),
+        microsoft.alias("_microsoft"),
+    )
+    both = F.col("_both")
+    staged = staged.withColumn("_both", source_medium(F.col("_source"), F.col("_medium")))
+    staged = staged.withColumns(
+        {
+            "_channel": F.coalesce(unless_blank(F.col("_channel")), both),
+            "_campaign_type": F.coalesce(unless_blank(F.col("_campaign_type")), F.col("_medium")),
+            "_campaign_name": F.coalesce(unless_blank(F.col("_campaign_name")), unless_blank(both), F.lit("Unknown Campaign")),
+        }
+    )
+    staged = staged.withColumn("_channel", friendly_channel(F.col("_channel")))
+    shop, web = F.col("source_schema") == "shopify", F.col("source_schema") == "ga4"
+    fallback = {
+        "channel": F.when(F.col("_microsoft"), "Microsoft Ads").when(shop, "Shopify"),
+        "campaign_type": F.when(shop, "Shopify Sales").when(web, "GA4 Traffic"),
+        "campaign_name": F.when(shop, "Shopify Orders").when(web, "GA4 Segment"),
+    }
+    parsed = staged.withColumns(
+        {
+            **{
+                c: F.coalesce(unless_blank(F.trim(f"_{c}")), fallback[c], F.lit(TEXT_DEFAULTS[c]))
+                for c in TEXT_DEFAULTS
+            },
+            **{m: read_amount(F.col(f"_raw_{m}")) for m in [*MEASURES, "roas"]},
+        }
     )
-    parsed = out.withColumns({m: parse_numeric(F.col(f"_{m}")) for m in [*MEASURES, "roas"]})
     parsed = parsed.withColumn("spend", F.when(F.col("_micros"), F.col("spend") / 1e6).otherwise(F.col("spend")))
     bad = F.array_compact(
-        F.array(*[F.when(F.col(f"_{m}").isNotNull() & F.col(m).isNull(), F.lit(m)) for m in MEASURES])
+        F.array(*[F.when(F.col(f"_raw_{m}").isNotNull() & F.col(m).isNull(), F.lit(m)) for m in MEASURES])
     )
     parsed = parsed.withColumn("invalid_fields", bad).withColumns(
         {m: F.coalesce(F.col(m), F.lit(0.0)) for m in MEASURES}

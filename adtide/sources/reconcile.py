@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adtide.functions.exprs import safe_ratio
 from adtide.functions.tables import attach
+from adtide.functions.text import parse_date
 
 WEIGHT_ORDER = ["revenue", "conversions", "spend", "clicks", "impressions"]
 
@@ -18,6 +19,12 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def date_key(value: Column) -> Column:
+    """ISO day of a date text; unreadable text keeps its first ten characters."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.coalesce(F.date_format(parse_date(text), "yyyy-MM-dd"), F.substring(text, 1, 10))
+
+
 def revenue_authority(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per key: the source kind whose revenue counts, or NULL for a plain union."""
     kind = F.col("source_schema")
