@@ -29,6 +29,11 @@ def unless_blank(value: Column) -> Column:
     return F.nullif(F.regexp_replace(value, rf"(?i)^\s*({words})?\s*$", ""), F.lit(""))
 
 
+def finite(value: Column) -> Column:
+    """The number, or NULL if it is not finite. The one-element array binds the input once."""
+    return F.get(F.filter(F.array(value), lambda v: F.abs(v) < float("inf")), F.lit(0))
+
+
 def read_amount(value: Column) -> Column:
     """Amount text to double: currency signs, thousands marks and decimal commas; NULL if unreadable.
 
@@ -41,7 +46,7 @@ def read_amount(value: Column) -> Column:
     text = F.regexp_replace(text, r"^(?=.*_).*,.*$", "..")
     text = F.regexp_replace(text, r"^([^,.]*),([^,.]{1,2})$", "$1.$2")
     number = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
-    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+    return finite(number)
 
 
 def parse_date(value: Column) -> Column:
@@ -51,12 +56,10 @@ def parse_date(value: Column) -> Column:
     text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     text = F.regexp_replace(text, r"^(1[3-9]|2\d|3[01])[/-](\d{1,2})[/-](\d{4})$", "$3-$2-$1")
     text = F.regexp_replace(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
-    written = text.rlike(r"^(?:\d{1,2} )?[A-Za-z]{3}")
-    stamp = F.when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text)).when(
-        written,
-        F.coalesce(F.try_to_timestamp(text, F.lit("MMM d, yyyy")), F.try_to_timestamp(text, F.lit("d MMM yyyy"))),
-    )
-    return F.to_date(stamp)
+    text = F.regexp_replace(text, r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4})$", "$2 $1, $3")
+    # Only texts that start with a year go to the lenient parser, which would take a bare time for today.
+    iso = F.try_to_timestamp(F.regexp_replace(text, r"^(?!\d{4}).*$", ""))
+    return F.to_date(F.coalesce(iso, F.try_to_timestamp(text, F.lit("MMM d, yyyy"))))
 
 
 def friendly_channel(value: Column) -> Column:

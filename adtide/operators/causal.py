@@ -132,17 +132,13 @@ def did_effects(daily: DataFrame, events: DataFrame, keys: Sequence[str] = ()) -
 
 def bootstrap_ci(effects: DataFrame, by: Sequence[str], draws: int = BOOTSTRAP_EFFECT_DRAWS) -> DataFrame:
     """Percentiles of resampled sums of the post-window residuals (at most 14 values per event)."""
+    # Both explodes keep the events' partitioning, so the sums and percentiles need no further shuffle.
+    n = F.size("post_values")
     rows = effects.select(
         *by, "post_values", "expected_daily", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep")
-    )
-    n = F.size("post_values")
-    total = F.aggregate(
-        F.sequence(F.lit(0), n - 1),
-        F.lit(0.0),
-        lambda acc, pos: acc
-        + (F.element_at("post_values", (draw_index("rep", pos, n) + 1).cast("int")) - F.col("expected_daily")),
-    )
-    sums = rows.select(*by, total.alias("total"))
+    ).withColumn("pos", F.explode(F.sequence(F.lit(0), n - 1)))
+    drawn = F.element_at("post_values", (draw_index("rep", "pos", n) + 1).cast("int"))
+    sums = rows.groupBy(*by, "rep").agg(F.sum(drawn - F.col("expected_daily")).alias("total"))
     bounds = sums.groupBy(*by).agg(F.percentile("total", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))
     return bounds.select(*by, F.col("b")[0].alias("lower_draw"), F.col("b")[1].alias("upper_draw"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adtide.functions.exprs import present, safe_ratio
 from adtide.functions.tables import attach
-from adtide.functions.text import parse_date, unless_blank
+from adtide.functions.text import finite, parse_date, unless_blank
 from adtide.operators.rollup import fact_rollup
 from adtide.schema import CANONICAL_COLUMNS, LEVEL_COLUMNS, MEASURES, TEXT_DEFAULTS, TEXT_DIMS
 
@@ -146,9 +146,9 @@ def repair_dates(rows: DataFrame, as_of: str, keys: Sequence[str] = ()) -> DataF
     joined = attach(dated, stats, keys)
     some = joined.filter(F.col("_min").isNotNull())
     filled = F.coalesce(F.col("_date"), F.col("_min"))
-    some = some.withColumn(
-        "date", F.when(filled > ahead, F.coalesce(F.col("_credible"), today)).otherwise(filled)
-    )
+    # The one-element array binds the parsed day once; a conditional would repeat the whole parse.
+    kept = F.get(F.filter(F.array(filled), lambda d: d <= ahead), F.lit(0))
+    some = some.withColumn("date", F.coalesce(kept, F.col("_credible"), today))
     none = _running_index(joined.filter(F.col("_min").isNull()), keys)
     none = none.withColumn(
         "date", F.date_add(today, (F.col("_index") - F.col("_rows") + 1).cast("int"))
@@ -162,8 +162,7 @@ def clean_repair(rows: DataFrame, as_of: str, keys: Sequence[str] = ()) -> DataF
     texts = {c: F.coalesce(unless_blank(F.trim(c)), F.lit(TEXT_DEFAULTS[c])) for c in TEXT_DIMS}
 
     def number(c: str) -> Column:
-        finite = F.nullif(F.nullif(F.nanvl(F.col(c), F.lit(0.0)), F.lit(float("inf"))), F.lit(float("-inf")))
-        return F.coalesce(finite, F.lit(0.0))
+        return F.coalesce(finite(F.col(c)), F.lit(0.0))
 
     fixed = dated.withColumns({**texts, **{m: number(m) for m in MEASURES}})
     kept = fixed.filter((F.col("spend") >= 0) & (F.col("revenue") >= 0))

@@ -50,8 +50,8 @@ UNION ALL SELECT channel, days, m, sd, k + 1, CASE WHEN u > 5 * sd OR -d > 5 * s
 SELECT channel, days, alarms FROM f WHERE k = len(days)))))"""
 
 
-@query("st2_trend_breaks", cusum_sql(EVENT_DAILY))
-def trend_breaks(spark, sf):
+@query("st2_event_trend_breaks", cusum_sql(EVENT_DAILY))
+def event_trend_breaks(spark, sf):
     """Event types as channels, event values as revenue."""
     events = spark.read.parquet(f"{sf}/events.parquet")
     series = events.groupBy(F.col("event_type").alias("channel"), F.to_date("ts").alias("date")).agg(
@@ -60,6 +60,11 @@ def trend_breaks(spark, sf):
     return S.trend_breaks(series)
 
 
+@query("st2_trend_breaks", sql(cusum_sql("SELECT * FROM chan"), "chan"))
+def trend_breaks(spark, sf):
+    return S.trend_breaks(daily(spark, sf))
+
+
 @query(
     "jn4_channel_vs_blended",
     sql("SELECT channel, date, spend, revenue, sum(spend) OVER (PARTITION BY date) AS blended_spend, sum(revenue) OVER (PARTITION BY date) AS blended_revenue FROM chan", "chan"),
