@@ -16,8 +16,8 @@ from adtide.functions.exprs import (
     safe_ratio,
     spend_response,
 )
-from adtide.operators.rollup import segment_daily, sums
-from adtide.operators.windows import SEGMENT, one_step_residuals
+from adtide.operators.rollup import segment_daily
+from adtide.operators.windows import SEGMENT, dow_seasonality, half_trend, one_step_residuals, trailing
 from adtide.schema import (
     HORIZON_Z,
     HORIZONS,
@@ -58,8 +58,8 @@ def segment_state(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max("date").alias("last_date"),
         F.sum(F.when(recent, F.col("revenue")).otherwise(0.0)).alias("revenue_28"),
         F.sum(F.when(recent, F.col("spend")).otherwise(0.0)).alias("spend_28"),
-        mean(early, "revenue").alias("revenue_first"),
-        mean(late, "revenue").alias("revenue_second"),
+        mean(early, "revenue").alias("_first"),
+        mean(late, "revenue").alias("_second"),
         F.coalesce(
             F.when(F.max("_n") >= 3, F.coalesce(F.stddev_samp("revenue_residual"), F.stddev_samp("revenue")))
             .otherwise(F.stddev_pop("revenue")),
@@ -67,6 +67,38 @@ def segment_state(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         ).alias("revenue_sd"),
         F.count("roas_residual").alias("roas_residuals"),
         F.coalesce(F.stddev_samp("roas_residual"), F.lit(0.0)).alias("roas_sd"),
+    ).withColumn("trend", trend_of(F.col("_first"), F.col("_second"))).drop("_first", "_second")
+
+
+def trend_of(first: Column, second: Column) -> Column:
+    change = clamp(F.try_divide(second - first, first), -0.25, 0.25)
+    return F.when((F.col("history_days") < 4) | (first <= 0), 0.0).otherwise(change)
+
+
+def asof_state(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The state of ``segment_state`` at every row, from rows up to it only.
+
+    Deviations use growing frames, which Spark updates row by row. ``next_date`` is the following observed day.
+    """
+    by = [*keys, *SEGMENT]
+    order = Window.partitionBy(*by).orderBy("date")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = one_step_residuals(daily, by).withColumn("_rn", F.row_number().over(order))
+    df = df.withColumn("trend", half_trend(by, "revenue", 28, -0.25, 0.25))
+    sd = F.when(
+        F.col("_rn") >= 3, F.coalesce(F.stddev_samp("revenue_residual").over(upto), F.stddev_samp("revenue").over(upto))
+    ).otherwise(F.stddev_pop("revenue").over(upto))
+    return df.select(
+        *by,
+        F.col("date").alias("last_date"),
+        F.lead("date").over(order).alias("next_date"),
+        F.col("_rn").alias("history_days"),
+        F.sum("revenue").over(trailing(by, 28)).alias("revenue_28"),
+        F.sum("spend").over(trailing(by, 28)).alias("spend_28"),
+        F.coalesce(sd, F.lit(0.0)).alias("revenue_sd"),
+        F.count("roas_residual").over(upto).alias("roas_residuals"),
+        F.coalesce(F.stddev_samp("roas_residual").over(upto), F.lit(0.0)).alias("roas_sd"),
+        "trend",
     )
 
 
@@ -118,17 +150,14 @@ def baseline_points(state: DataFrame, planned: DataFrame | None = None, keys: Se
     df = state
     if planned is not None:
         df = df.join(planned, [*keys, *SEGMENT], "left")
-    df = horizon_rows(df)
+    if "horizon_days" not in df.columns:
+        df = horizon_rows(df)
     h = F.col("horizon_days")
     days = F.least(F.col("history_days"), F.lit(28))
-    first, second = F.col("revenue_first"), F.col("revenue_second")
-    trend = F.when((F.col("history_days") < 4) | (first <= 0), 0.0).otherwise(
-        clamp(F.try_divide(second - first, first), -0.25, 0.25)
-    )
     df = df.withColumns(
         {
             "historical_spend": F.col("spend_28") / days * h,
-            "trend_multiplier": clamp(trend * TREND_WEIGHT * F.least(h / 90.0, F.lit(1.0)) + 1.0, 0.65, 1.35),
+            "trend_multiplier": clamp(F.col("trend") * TREND_WEIGHT * F.least(h / 90.0, F.lit(1.0)) + 1.0, 0.65, 1.35),
             "run_rate_revenue": F.col("revenue_28") / days * h,
         }
     )
@@ -338,3 +367,154 @@ def flat_projection(daily: DataFrame, by: Sequence[str], horizon: int, column: s
         F.greatest(F.col("mean") - margin, F.lit(0.0)).alias("lower"),
         F.greatest(F.col("mean") + margin, F.lit(0.0)).alias("upper"),
     )
+
+
+def project_exogenous(
+    daily: DataFrame, by: Sequence[str], horizon: int, forced_daily_spend: Column | None = None
+) -> DataFrame:
+    """Future spend, clicks, impressions and conversions: recent means times the weekday factor of spend."""
+    measures = ["spend", "clicks", "impressions", "conversions"]
+    profile = dow_seasonality(daily, by, measures).select(*by, "weekday", "spend_factor", *[f"{m}_mean" for m in measures])
+    last = daily.groupBy(*by).agg(F.max("date").alias("last_date"))
+    days = last.select(
+        *by, F.explode(F.sequence(F.date_add("last_date", 1), F.date_add("last_date", horizon))).alias("date")
+    ).withColumn("weekday", F.weekday("date"))
+    out = days.join(profile, [*by, "weekday"]).withColumns(
+        {m: F.greatest(F.col(f"{m}_mean") * F.col("spend_factor"), F.lit(0.0)) for m in measures}
+    )
+    if forced_daily_spend is not None:
+        base = F.when(F.col("spend") > 0, F.col("spend")).otherwise(F.col("spend_mean"))
+        out = out.withColumn("_ratio", F.when(base > 0, safe_ratio(forced_daily_spend, base)).otherwise(1.0))
+        out = out.withColumns({m: F.col(m) * F.col("_ratio") for m in measures[1:]}).withColumn(
+            "spend", F.greatest(forced_daily_spend, F.lit(0.0))
+        )
+    return out.select(*by, "date", *measures)
+
+
+def prediction_cap(daily: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Upper limits of daily revenue and ROAS predictions from the last 28 rows."""
+    recent = daily.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("date").desc()))
+    ).filter(F.col("_rn") <= 28)
+    agg = recent.groupBy(*by).agg(
+        *[F.greatest(F.avg(c), F.lit(0.0)).alias(f"{c}_mean") for c in ("revenue", "roas")],
+        *[
+            F.when(F.count("*") > 1, F.stddev_samp(c)).otherwise(F.avg(c) * 0.2).alias(f"{c}_sd")
+            for c in ("revenue", "roas")
+        ],
+    )
+
+    def cap(c: str, lift: float) -> Column:
+        return F.greatest(F.col(f"{c}_mean") * lift, F.col(f"{c}_mean") + F.col(f"{c}_sd"), F.lit(1.0))
+
+    return agg.select(*by, cap("revenue", 1.08).alias("revenue_cap"), cap("roas", 1.15).alias("roas_cap"))
+
+
+def fit_metrics(daily: DataFrame, by: Sequence[str]) -> DataFrame:
+    """MAE, RMSE, MAPE, R2 and 1.96-sd coverage of the one-step run-rate prediction."""
+    rows = one_step_residuals(daily, by).filter(F.col("revenue_residual").isNotNull())
+    error = F.col("revenue_residual")
+    sd = F.stddev_samp("revenue_residual").over(Window.partitionBy(*by))
+    rows = rows.withColumn("_in", (F.abs("revenue_residual") <= sd * 1.96).cast("double"))
+    return rows.groupBy(*by).agg(
+        F.avg(F.abs(error)).alias("mae"),
+        F.sqrt(F.avg(error * error)).alias("rmse"),
+        (F.avg(F.abs(error) / F.greatest(F.abs("revenue"), F.lit(1.0))) * 100.0).alias("mape"),
+        F.when(F.var_pop("revenue") > 0, 1.0 - F.try_divide(F.avg(error * error), F.var_pop("revenue"))).otherwise(0.0).alias("r2"),
+        (F.avg("_in") * 100.0).alias("coverage"),
+    )
+
+
+def forecast_signals(daily: DataFrame, predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per forecast row: recent trends, ROAS stability, the end of the horizon and reason flags."""
+    by = [*keys, *SEGMENT]
+    spec = Window.partitionBy(*by)
+    rows = daily.withColumns(
+        {"_rn": F.row_number().over(spec.orderBy(F.col("date").desc())), "_n": F.count("*").over(spec)}
+    )
+    span = F.least(F.col("_n"), F.lit(28))
+    mid = F.greatest(F.floor(span / 2), F.lit(1))
+    recent = F.col("_rn") <= span
+
+    def mean(cond: Column, c: str) -> Column:
+        return F.coalesce(F.avg(F.when(cond, F.col(c))), F.lit(0.0))
+
+    paid = recent & (F.col("spend") > 0)
+    state = rows.groupBy(*by).agg(
+        F.max("_n").alias("history_days"),
+        F.max("date").alias("last_date"),
+        *[mean(recent & (F.col("_rn") > span - mid), c).alias(f"_a_{c}") for c in ("revenue", "spend")],
+        *[mean(F.col("_rn") <= span - mid, c).alias(f"_b_{c}") for c in ("revenue", "spend")],
+        F.avg(F.when(paid, F.col("roas"))).alias("roas_mean"),
+        F.stddev_pop(F.when(paid, F.col("roas"))).alias("_roas_sd"),
+    )
+
+    def change(c: str) -> Column:
+        first, second = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        value = clamp(F.try_divide(second - first, first), -0.9, 2.0)
+        return F.when((F.col("history_days") < 4) | (first <= 0), 0.0).otherwise(value) * 100.0
+
+    out = predictions.join(state, by)
+    end = F.date_add("last_date", F.col("horizon_days"))
+    n, width = F.col("history_days"), F.col("interval_width_pct")
+    flags = F.array_compact(
+        F.array(
+            F.when(F.col("model_type") == "trained_model_estimated_spend", "spend_inferred"),
+            F.when(F.col("model_type") == SAFE_BASELINE, "baseline_model"),
+            F.when(n < 30, "short_history").when(n >= 90, "long_history").otherwise("moderate_history"),
+            F.when(F.col("horizon_days") >= 90, "horizon_90").when(F.col("horizon_days") >= 60, "horizon_60"),
+            F.when(width >= 90, "wide_interval").when(width <= 70, "tight_interval").otherwise("moderate_interval"),
+        )
+    )
+    return out.select(
+        *by,
+        "horizon_days",
+        n.alias("history_days"),
+        change("revenue").alias("revenue_trend_pct"),
+        change("spend").alias("spend_trend_pct"),
+        "roas_mean",
+        (safe_ratio("_roas_sd", "roas_mean") * 100.0).alias("roas_cv_pct"),
+        F.month(end).alias("end_month"),
+        F.weekday(end).alias("end_weekday"),
+        flags.alias("reasons"),
+    )
+
+
+def history_plus_forecast(daily: DataFrame, points: DataFrame, by: Sequence[str], history: int = 60) -> DataFrame:
+    """Last ``history`` rows, then the forecast points re-dated from the last of them."""
+    ranked = daily.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("date").desc())))
+    past = ranked.filter(F.col("_rn") <= history)
+    last = past.groupBy(*by).agg(F.max("date").alias("_last"))
+    value = F.col("revenue")
+    is_last = F.col("_rn") == 1
+    old = past.select(
+        *by, "date", value.alias("historical"), *[F.when(is_last, value).alias(c) for c in ("forecast", "lower", "upper")]
+    )
+    k = F.row_number().over(Window.partitionBy(*by).orderBy("date"))
+    new = points.withColumn("_k", k).join(last, list(by)).select(
+        *by,
+        F.date_add("_last", F.col("_k")).alias("date"),
+        F.lit(None).cast("double").alias("historical"),
+        F.col("value").alias("forecast"),
+        "lower",
+        "upper",
+    )
+    return old.unionByName(new)
+
+
+def daily_trend_across(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Forecast points summed over the channels of a day."""
+    return points.groupBy(*keys, "date").agg(*[F.sum(c).alias(c) for c in ("value", "lower", "upper")])
+
+
+def historical_vs_forecast(daily: DataFrame, predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Last h observed rows against the forecast of the same length, per segment and horizon."""
+    by = [*keys, *SEGMENT]
+    ranked = daily.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("date").desc())))
+    recent = horizon_rows(ranked.filter(F.col("_rn") <= max(HORIZONS))).filter(F.col("_rn") <= F.col("horizon_days"))
+    past = recent.groupBy(*by, "horizon_days").agg(
+        F.sum("revenue").alias("historical_revenue"), safe_ratio(F.sum("revenue"), F.sum("spend")).alias("historical_roas")
+    )
+    joined = past.join(predictions.select(*by, "horizon_days", "expected_revenue", "expected_roas"), [*by, "horizon_days"], "full")
+    change = safe_ratio(F.col("expected_revenue") - F.col("historical_revenue"), "historical_revenue") * 100.0
+    return joined.withColumn("revenue_change_pct", change)

@@ -43,7 +43,7 @@ FROM account_seg a LEFT JOIN (SELECT account, level, segment, date, revenue / sp
 cte("account_state", state_sql("account_residuals", "account, "), "account_residuals")
 
 
-def points_sql(state: str, planned: bool = False) -> str:
+def points_sql(state: str, planned: bool = False, expand: bool = True) -> str:
     """Unrounded baseline centre and bounds per segment and horizon."""
     spend = "historical_spend" if not planned else "greatest(CASE WHEN coalesce(has_budget, false) THEN planned_daily_spend * h ELSE historical_spend END, 0)"
     scale = "CASE WHEN historical_spend > 0 THEN expected_spend / historical_spend ELSE 1.0 END"
@@ -55,7 +55,7 @@ def points_sql(state: str, planned: bool = False) -> str:
     )
     base = f"SELECT x.*, revenue_28 / least(history_days, 28) * h AS run_rate, spend_28 / least(history_days, 28) * h AS historical_spend, "
     base += "least(greatest((CASE WHEN history_days < 4 OR f <= 0 THEN 0 ELSE least(greatest((s - f) / f, -0.25), 0.25) END) * 0.35 * least(h / 90.0, 1.0) + 1.0, 0.65), 1.35) AS trend_multiplier "
-    base += f"FROM (SELECT st.*, unnest([30, 60, 90]) AS h FROM {state} st) x"
+    base += f"FROM (SELECT st.*{', unnest([30, 60, 90]) AS h' if expand else ''} FROM {state} st) x"
     if planned:
         base = f"SELECT b.*, p.planned_daily_spend, p.has_budget FROM ({base}) b LEFT JOIN planned p ON p.level = b.level AND p.segment = b.segment"
     return f"""
@@ -246,3 +246,147 @@ SELECT level, segment, max(date) AS last_date, avg(revenue) AS mean, coalesce(st
 @query("fc14_flat_projection", sql(f'SELECT level, segment, date, {r("value")} AS value, {r("lower")} AS "lower", {r("upper")} AS "upper" FROM flat_points', "flat_points"))
 def flat_projection(spark, sf):
     return rounded(FC.flat_projection(R.segment_daily(campaign_fact(spark, sf)), BY, 30), "value", "lower", "upper")
+
+
+EXOG = ["spend", "clicks", "impressions", "conversions"]
+cte("means28", "SELECT level, segment, max(date) AS last_date, " + ", ".join(f"avg({m}) AS m_{m}" for m in EXOG) + " FROM last28 GROUP BY 1, 2", "last28")
+
+
+@query(
+    "fc15_project_exogenous",
+    sql(
+        "SELECT m.level, m.segment, date_add(m.last_date, CAST(k AS INTEGER)) AS date, "
+        + ", ".join(r(f"greatest(m_{c} * spend_factor, 0)") + f" AS {c}" for c in EXOG)
+        + " FROM means28 m, (SELECT unnest(range(1, 31)) AS k) JOIN dow_profile p ON p.level = m.level AND p.segment = m.segment AND p.weekday = isodow(date_add(m.last_date, CAST(k AS INTEGER))) - 1",
+        "means28",
+        "dow_profile",
+    ),
+)
+def project_exogenous(spark, sf):
+    return rounded(FC.project_exogenous(R.segment_daily(campaign_fact(spark, sf)), BY, 30), *EXOG)
+
+
+@query(
+    "fc20_prediction_cap",
+    sql(
+        f"SELECT level, segment, {r('greatest(avg(revenue) * 1.08, avg(revenue) + coalesce(stddev_samp(revenue), avg(revenue) * 0.2), 1.0)')} AS revenue_cap, "
+        f"{r('greatest(avg(roas) * 1.15, avg(roas) + coalesce(stddev_samp(roas), avg(roas) * 0.2), 1.0)')} AS roas_cap FROM last28 GROUP BY 1, 2",
+        "last28",
+    ),
+)
+def prediction_cap(spark, sf):
+    return rounded(FC.prediction_cap(R.segment_daily(campaign_fact(spark, sf)), BY), "revenue_cap", "roas_cap")
+
+
+FIT = ["mae", "rmse", "mape", "r2", "coverage"]
+cte(
+    "fit",
+    """SELECT level, segment, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(abs(e) / greatest(abs(revenue), 1.0)) * 100.0 AS mape, 1.0 - avg(e * e) / var_pop(revenue) AS r2,
+ avg(CASE WHEN abs(e) <= sd * 1.96 THEN 1.0 ELSE 0 END) * 100.0 AS coverage FROM (SELECT *, revenue_residual AS e, stddev_samp(revenue_residual) OVER (PARTITION BY level, segment) AS sd FROM residuals WHERE revenue_residual IS NOT NULL) GROUP BY 1, 2""",
+    "residuals",
+)
+
+
+@query("fc16_fit_metrics", sql("SELECT level, segment, " + ", ".join(f"{r(c)} AS {c}" for c in FIT) + " FROM fit", "fit"))
+def fit_metrics(spark, sf):
+    return rounded(FC.fit_metrics(R.segment_daily(campaign_fact(spark, sf)), BY), *FIT)
+
+
+cte(
+    "last_trends",
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY level, segment ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY level, segment) AS n FROM half_trends) WHERE rn = 1",
+    "half_trends",
+)
+
+
+@query(
+    "fc19_forecast_signals",
+    sql(
+        f"""SELECT p.level, p.segment, p.horizon_days, t.n AS history_days, {r('t.revenue_trend_28 * 100.0')} AS revenue_trend_pct, {r('t.spend_trend_28 * 100.0')} AS spend_trend_pct, {r('q.m')} AS roas_mean, {r(div('q.sd', 'q.m') + ' * 100.0')} AS roas_cv_pct,
+ month(date_add(t.date, p.horizon_days)) AS end_month, isodow(date_add(t.date, p.horizon_days)) - 1 AS end_weekday,
+ concat_ws(',', 'baseline_model', CASE WHEN t.n < 30 THEN 'short_history' WHEN t.n >= 90 THEN 'long_history' ELSE 'moderate_history' END, CASE WHEN p.horizon_days >= 90 THEN 'horizon_90' WHEN p.horizon_days >= 60 THEN 'horizon_60' END,
+  CASE WHEN p.interval_width_pct >= 90 THEN 'wide_interval' WHEN p.interval_width_pct <= 70 THEN 'tight_interval' ELSE 'moderate_interval' END) AS reasons
+FROM predictions p JOIN last_trends t USING (level, segment) JOIN (SELECT level, segment, avg(CASE WHEN spend > 0 THEN roas END) AS m, stddev_pop(CASE WHEN spend > 0 THEN roas END) AS sd FROM last28 GROUP BY 1, 2) q USING (level, segment)""",
+        "predictions",
+        "last_trends",
+        "last28",
+    ),
+)
+def forecast_signals(spark, sf):
+    series = R.segment_daily(campaign_fact(spark, sf))
+    state = FC.baseline_points(FC.segment_state(series)).withColumn("model_type", F.lit("safe_baseline_fallback"))
+    rows = FC.sanitize_monotone(state.withColumns({p: clean_number(p) for p in FC.POINTS}))
+    out = FC.forecast_signals(series, rows).withColumn("reasons", F.array_join("reasons", ","))
+    return rounded(out, "revenue_trend_pct", "spend_trend_pct", "roas_mean", "roas_cv_pct")
+
+
+@query(
+    "set6_history_plus_forecast",
+    sql(
+        f"""SELECT level, segment, date, revenue AS historical, CASE WHEN rn = 1 THEN revenue END AS forecast, CASE WHEN rn = 1 THEN revenue END AS "lower", CASE WHEN rn = 1 THEN revenue END AS "upper"
+FROM (SELECT *, row_number() OVER (PARTITION BY level, segment ORDER BY date DESC) AS rn FROM seg) WHERE rn <= 60 UNION ALL SELECT level, segment, date, NULL, {r('value')}, {r('lower')}, {r('upper')} FROM flat_points""",
+        "seg",
+        "flat_points",
+    ),
+)
+def history_plus_forecast(spark, sf):
+    series = R.segment_daily(campaign_fact(spark, sf))
+    points = rounded(FC.flat_projection(series, BY, 30), "value", "lower", "upper")
+    return FC.history_plus_forecast(series, points, BY)
+
+
+@query(
+    "agg15_daily_trend_across_channels",
+    sql(f'SELECT date, {r("sum(value)")} AS value, {r("sum(lower)")} AS "lower", {r("sum(upper)")} AS "upper" FROM flat_points WHERE level = \'channel\' GROUP BY date', "flat_points"),
+)
+def daily_trend_across(spark, sf):
+    series = R.segment_daily(campaign_fact(spark, sf)).filter(F.col("level") == "channel")
+    return rounded(FC.daily_trend_across(FC.flat_projection(series, BY, 30)), "value", "lower", "upper")
+
+
+@query(
+    "jn10_historical_vs_forecast",
+    sql(
+        f"""SELECT level, segment, horizon_days, historical_revenue, {r('historical_roas')} AS historical_roas, expected_revenue, expected_roas, {r(div('expected_revenue - historical_revenue', 'historical_revenue') + ' * 100.0')} AS revenue_change_pct
+FROM (SELECT level, segment, h AS horizon_days, sum(revenue) AS historical_revenue, {div('sum(revenue)', 'sum(spend)')} AS historical_roas FROM (SELECT *, row_number() OVER (PARTITION BY level, segment ORDER BY date DESC) AS rn FROM seg), (SELECT unnest([30, 60, 90]) AS h) WHERE rn <= h GROUP BY 1, 2, 3)
+ FULL JOIN predictions USING (level, segment, horizon_days)""",
+        "seg",
+        "predictions",
+    ),
+)
+def historical_vs_forecast(spark, sf):
+    fact = campaign_fact(spark, sf)
+    out = FC.historical_vs_forecast(R.segment_daily(fact), FC.baseline_forecast(fact))
+    return rounded(out, "historical_roas", "revenue_change_pct")
+
+
+@query("agg17_model_type_counts", sql("SELECT model_type, count(*) AS n FROM predictions GROUP BY 1", "predictions"))
+def model_type_counts(spark, sf):
+    return R.count_by(FC.baseline_forecast(campaign_fact(spark, sf)), "model_type")
+
+
+@query("fn11_confidence_labels", sql("SELECT level, horizon_days, forecast_confidence, count(*) AS n FROM predictions GROUP BY 1, 2, 3", "predictions"))
+def confidence_labels(spark, sf):
+    rows = FC.baseline_forecast(campaign_fact(spark, sf))
+    return rows.groupBy("level", "horizon_days", "forecast_confidence").agg(F.count("*").alias("n"))
+
+
+@query(
+    "pl21_business_brief_flags",
+    sql(
+        f"""SELECT level, segment, concat_ws(',', CASE WHEN revenue_trend_pct < -5 THEN 'revenue_down' END, CASE WHEN roas_trend_pct < -5 THEN 'roas_down' END, CASE WHEN width > 35 THEN 'wide_interval' END, CASE WHEN mape > 20 THEN 'model_error' END) AS risks,
+ concat_ws(',', CASE WHEN revenue_trend_pct > 5 THEN 'revenue_up' END, CASE WHEN roas_trend_pct > 5 THEN 'roas_up' END, CASE WHEN width <= 25 AND mape <= 15 THEN 'contained_uncertainty' END) AS opportunities
+FROM (SELECT *, {div('upper_revenue - lower_revenue', 'expected_revenue')} * 100.0 AS width FROM recent_prev JOIN (SELECT * FROM predictions WHERE horizon_days = 30) USING (level, segment) JOIN fit USING (level, segment))""",
+        "recent_prev",
+        "predictions",
+        "fit",
+    ),
+)
+def business_brief_flags(spark, sf):
+    from adtide.operators.decisions import business_flags
+
+    fact = campaign_fact(spark, sf)
+    series = R.segment_daily(fact)
+    fit = FC.fit_metrics(series, BY).select(*BY, F.col("mape").alias("revenue_mape"), F.col("mape").alias("roas_mape"))
+    ahead = FC.baseline_forecast(fact).filter(F.col("horizon_days") == 30).select(*BY, "expected_revenue", "lower_revenue", "upper_revenue")
+    return business_flags(R.recent_vs_previous(series, BY), ahead, fit, BY)

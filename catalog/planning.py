@@ -9,6 +9,7 @@ from adtide.operators import decisions as D
 from adtide.operators import planning as P
 from adtide.operators import rollup as R
 from adtide.plans.facts import campaign_fact
+from adtide.session import checkpoint
 from catalog.base import clampq, cte, div, pct, query, r, sql
 from catalog.forecasts import demo_budgets
 from catalog.rollups import rounded
@@ -18,14 +19,17 @@ TARGET_ROAS = 5.0
 
 
 class Plan:
-    """The planning frames of one fact table, built once per query."""
+    """The planning frames of one fact table.
+
+    All of them derive from the channel-by-day rollup, which is checkpointed: the facts are scanned once
+    however many planning tables a query joins.
+    """
 
     def __init__(self, spark, sf, keys=()):
         self.keys = keys
-        self.fact = campaign_fact(spark, sf, keys)
-        self.summary = R.channel_summary(self.fact, keys)
-        self.budgets = demo_budgets(self.fact, keys)
-        self.daily = R.daily_channel(self.fact, keys)
+        self.daily = checkpoint(R.daily_channel(campaign_fact(spark, sf, keys), keys))
+        self.summary = R.channel_summary(self.daily, keys)
+        self.budgets = demo_budgets(self.daily, keys)
         self.sim = P.simulate_channels(self.summary, self.budgets, 30, keys)
         self.totals = P.simulation_totals(self.sim, keys)
         self.stats = P.channel_stats(self.summary, self.sim, keys)
