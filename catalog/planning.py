@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from adtide.functions.exprs import round_to
@@ -32,21 +34,31 @@ class Plan:
         self.budgets = demo_budgets(self.daily, keys)
         self.sim = P.simulate_channels(self.summary, self.budgets, 30, keys)
         self.totals = P.simulation_totals(self.sim, keys)
-        self.stats = P.channel_stats(self.summary, self.sim, keys)
-        self.health = P.channel_health(self.stats, keys)
 
-    @property
+    # Channel-level frames that several tables share are written once; they hold a row per account and channel.
+    @cached_property
+    def stats(self):
+        return checkpoint(P.channel_stats(self.summary, self.sim, self.keys))
+
+    @cached_property
+    def health(self):
+        return P.channel_health(self.stats, self.keys)
+
+    @cached_property
     def zones(self):
         plan = self.stats.select(*self.keys, "channel", F.col("budget").alias("planned"))
-        return P.channel_zones(self.daily, plan, 30, self.keys)
+        return checkpoint(P.channel_zones(self.daily, plan, 30, self.keys))
 
-    @property
+    @cached_property
     def rows(self):
-        return P.optimizer_rows(self.stats, self.health, self.zones, self.totals, TARGET_REVENUE, None, self.keys)
+        return checkpoint(
+            P.optimizer_rows(self.stats, self.health, self.zones, self.totals, TARGET_REVENUE, None, self.keys)
+        )
 
-    @property
+    @cached_property
     def scenarios(self):
-        return D.preset_scenarios(self.stats, self.keys).unionByName(D.automatic_scenario(self.stats, self.keys))
+        both = D.preset_scenarios(self.stats, self.keys).unionByName(D.automatic_scenario(self.stats, self.keys))
+        return checkpoint(both)
 
 
 # --- simulation -----------------------------------------------------------------------------------
