@@ -39,27 +39,33 @@ def read_amount(value: Column) -> Column:
 
     With both marks the later one is the decimal mark. A lone comma is decimal only before one or two digits.
     """
-    text = F.regexp_replace(value.cast("string"), r"[\s$€£₹]", "")
+    raw = value.cast("string")
+    text = F.regexp_replace(raw, r"[\s$€£₹]", "")
     # Dots before a final comma are thousands marks; they stay visible as underscores for the next steps.
     text = F.regexp_replace(text, r"\.(?=.*,[^.,]*$)", "_")
     text = F.regexp_replace(text, r"^([^,]*_[^,]*),([^,]*)$", "$1.$2")
     text = F.regexp_replace(text, r"^(?=.*_).*,.*$", "..")
     text = F.regexp_replace(text, r"^([^,.]*),([^,.]{1,2})$", "$1.$2")
     number = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
-    return finite(number)
+    # Plain numbers, by far the most, skip the rewriting.
+    plain = raw.rlike(r"^-?\d{1,15}(\.\d{1,15})?$")
+    return F.when(plain, raw.try_cast("double")).otherwise(finite(number))
 
 
 def parse_date(value: Column) -> Column:
     """Day of an ISO, compact, slashed (month first, day first if it must be) or written-month text, in UTC."""
-    text = F.trim(value.cast("string"))
-    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    raw = value.cast("string")
+    text = F.regexp_replace(F.trim(raw), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     text = F.regexp_replace(text, r"^(1[3-9]|2\d|3[01])[/-](\d{1,2})[/-](\d{4})$", "$3-$2-$1")
     text = F.regexp_replace(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
     text = F.regexp_replace(text, r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4})$", "$2 $1, $3")
     # Only texts that start with a year go to the lenient parser, which would take a bare time for today.
     iso = F.try_to_timestamp(F.regexp_replace(text, r"^(?!\d{4}).*$", ""))
-    return F.to_date(F.coalesce(iso, F.try_to_timestamp(text, F.lit("MMM d, yyyy"))))
+    other = F.coalesce(iso, F.try_to_timestamp(text, F.lit("MMM d, yyyy")))
+    # ISO days, by far the most, skip the rewriting; a bare day needs no time-zone arithmetic either.
+    plain = raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.when(plain, raw.try_cast("date")).otherwise(F.to_date(other))
 
 
 def friendly_channel(value: Column) -> Column:

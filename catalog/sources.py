@@ -11,6 +11,7 @@ from adtide.operators import quality as Q
 from adtide.operators import rollup as R
 from adtide.plans.facts import campaign_fact, campaign_lines, table
 from adtide.plans.raw_exports import ads_export, store_export, web_export
+from adtide.session import checkpoint
 from adtide.sources import exports as EX
 from adtide.sources import normalize as N
 from adtide.sources import reconcile as RC
@@ -353,7 +354,8 @@ UNION ALL SELECT 'campaign_inconsistency', min(row), 'Campaign ''' || campaign_n
 
 
 def flagged(spark, sf):
-    return Q.flag_rows(normalized(ads_export(spark, sf)))
+    """Parsed once: the duplicate check joins the rows with their own counts."""
+    return Q.flag_rows(checkpoint(normalized(ads_export(spark, sf))))
 
 
 @query("val1_validate_strict", sql(f"SELECT date, channel, campaign_type, campaign_name, spend, clicks, impressions, conversions, revenue, {r('roas')} AS roas FROM flagged WHERE NOT (f_date OR f_rev OR f_roas OR f_dup)", "flagged"))
@@ -439,8 +441,9 @@ UNION ALL SELECT date, channel, campaign_type, campaign_name, spend, revenue, 'r
 
 
 def keyed(spark, sf):
+    """Parsed once: reconciliation reads its input several times."""
     rows = three_sources(spark, sf)
-    return rows.withColumn("date", RC.date_key(F.col("date")))
+    return checkpoint(rows.withColumn("date", RC.date_key(F.col("date"))))
 
 
 @query("jn1_reconcile_authority", sql("SELECT 'shopify' AS authority, count(*) AS n FROM three", "three"))
