@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from adtide.llm.decontaminate import contaminated
+from adtide.llm.language import fit_prototypes, identify
 from adtide.llm.mixing import mix_sources
 from adtide.llm.redaction import KINDS, personal_spans, span_digest
 from adtide.llm.sharding import minimax_shards
@@ -39,3 +41,17 @@ def op8_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    prototypes = fit_prototypes(docs.where(~held))
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), prototypes).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@register
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -22,6 +22,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+# ASCII letters, digits and all bytes beyond ASCII; what is left out separates plain terms.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
@@ -95,14 +99,17 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
-    """Maximal runs of bytes other than the six ASCII blanks, with a 64-bit hash each (A-Z folded if ``lower``)."""
+def words(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Maximal runs of bytes other than the six ASCII blanks, with a 64-bit hash each (A-Z folded if ``lower``).
+
+    With ``plain`` ASCII punctuation separates too.
+    """
     data, offsets = buffers(column)
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64), np.zeros(0, _U))
-    inside = ~_SPACE[data]
+    inside = _PLAIN[data] if plain else ~_SPACE[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
