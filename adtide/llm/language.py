@@ -157,3 +157,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return docs.mapInArrow(predict, schema)
+
+
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with a score of at least ``least``; see ``identify``."""
+    kept = identify(docs, prototypes, text_col)
+    return kept.where((F.col("lang_pred") != UND) & (F.col("lang_score") >= least)).select(docs.columns)

@@ -100,6 +100,12 @@ def _whole(quota: dict) -> dict:
     return {s: int(q + 0.5) for s, q in quota.items()}
 
 
+def membership(sources: Column | None = None) -> Column:
+    """The sorted distinct sources of a row as JSON; null or none at all counts as the one null source."""
+    member = F.array(F.col("source")) if sources is None else sources
+    return F.to_json(F.when(F.size(member) > 0, F.array_sort(F.array_distinct(member))).otherwise(F.array(F.lit(None).cast("string"))))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None,
                 weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Words to take from each document so that every source comes near its target.
@@ -113,13 +119,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null or empty texts have no words and take none. A null source is a source of its own, last in order; a null or
     empty array counts as it. Rows with equal ids are ordered together and share one fate. An empty table gives no rows.
-    Result: documents (id, pattern as JSON, size, taken) and sources (source, size, target, routed).
+    Result: documents (id, pattern as JSON, size, repeats, taken) and sources (source, size, target, routed).
     """
     spark = docs.sparkSession
-    member = F.array(F.col("source")) if sources is None else sources
-    member = F.when(F.size(member) > 0, F.array_sort(F.array_distinct(member))).otherwise(F.array(F.lit(None).cast("string")))
     id_type = docs.schema[id_col].dataType.simpleString()
-    raw = docs.select(F.col(id_col).alias("id"), F.to_json(member).alias("pattern"), F.col(text_col).alias("text"))
+    raw = docs.select(F.col(id_col).alias("id"), membership(sources).alias("pattern"), F.col(text_col).alias("text"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     items = materialise(raw.mapInArrow(_count_words, f"id {id_type}, pattern string, size long").withColumn("key", key), "mix-items")
 
@@ -158,8 +162,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limits = {r["pattern"]: r["last"] or r["bucket"] for r in last.collect()}
     plan = spark.createDataFrame([(*r, limits.get(r[0])) for r in rows], "pattern string, passes long, rest long, last string")
     more = F.when((F.col("rest") > 0) & (F.col("key") <= F.col("last")), 1).otherwise(0)
-    chosen = items.join(F.broadcast(plan), "pattern").select(
-        F.col("id").alias(id_col), "pattern", "size", (F.col("size") * (F.col("passes") + more)).alias("taken"))
+    chosen = items.join(F.broadcast(plan), "pattern").withColumn("repeats", F.col("passes") + more).select(
+        F.col("id").alias(id_col), "pattern", "size", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     routed = {s: sum(f for (_, t), f in flow.items() if t == s) for s in total}
     table = spark.createDataFrame([(s, total[s], wanted[s], routed[s]) for s in total], "source string, size long, target double, routed long")
     return chosen, table
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it (see ``mix_sources``)."""
+    chosen, _ = mix_sources(docs, id_col, text_col, **options)
+    times = chosen.select(F.col(id_col).alias("_id"), F.col("pattern").alias("_pattern"), "repeats").where("repeats > 0").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (membership(options.get("sources")) == F.col("_pattern"))
+    return (docs.join(times.withColumnRenamed("repeats", "_repeats"), same)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select(docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adtide.llm.decontaminate import contaminated
+from adtide.llm.jaccard import jaccard_classes
 from adtide.llm.language import fit_prototypes, identify
 from adtide.llm.mixing import mix_sources
 from adtide.llm.redaction import KINDS, personal_spans, span_digest
@@ -55,3 +56,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))

@@ -1,12 +1,54 @@
-"""The corpus pipeline over ``documents``."""
+"""The corpus pipeline over ``documents``: language, near duplicates, benchmark passages, source mix, shards."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from adtide.llm.decontaminate import clean_of
+from adtide.llm.jaccard import one_of_each
+from adtide.llm.language import fit_prototypes, recognised
+from adtide.llm.mixing import mixed
+from adtide.llm.sharding import minimax_shards
+
+LEAST_SCORE = 0.52  # a cosine of 0.04: only texts that resemble no language at all fall below
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language learned from the labelled ones; texts without letters and unlike any language go."""
+    return recognised(docs, fit_prototypes(docs), LEAST_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of five-word shingle similarity 0.75 or more, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no item of ``benchmark``."""
+    return clean_of(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, from not at all to three times."""
+    return mixed(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each row."""
+    return minimax_shards(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixture),
+    ("sharding", sharding),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
