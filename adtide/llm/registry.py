@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from adtide.llm.automaton import drop_repeated_passages
 from adtide.llm.decontaminate import contaminated
 from adtide.llm.jaccard import jaccard_classes
 from adtide.llm.language import fit_prototypes, identify
 from adtide.llm.mixing import mix_sources
 from adtide.llm.redaction import KINDS, personal_spans, span_digest
 from adtide.llm.sharding import minimax_shards
+from adtide.llm.suffixes import drop_repeated_bytes
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +63,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
