@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adtide.llm.automaton import drop_repeated_passages
 from adtide.llm.decontaminate import contaminated
+from adtide.llm.fixity import audit
 from adtide.llm.jaccard import jaccard_classes
+from adtide.llm.kdtree import top_k
 from adtide.llm.language import fit_prototypes, identify
 from adtide.llm.mixing import mix_sources
 from adtide.llm.redaction import KINDS, personal_spans, span_digest
@@ -75,3 +77,43 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_bytes(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op2_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op2_kd_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@register
+def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of ``pages`` in which some records were altered, lost or added."""
+    pages = table(spark, sf_dir, "pages")
+    turn = F.col("page_id") % 97
+    replica = pages.where(turn != 13).withColumn("html", F.when(turn == 11, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
+    added = pages.where(turn == 17).withColumn("page_id", -1 - F.col("page_id"))
+    return audit(pages, replica.unionByName(added))
+
+
+_RECORD = (
+    "'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:record:' || {id} || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || "
+    "'Content-Length: ' || strlen({html}) || e || e || {html} || e || e")
+ORACLE["op5_merkle_audit"] = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS e FROM pages),
+r AS (SELECT page_id, {_RECORD.format(id='page_id', html='html')} AS record, {_RECORD.format(id='page_id', html="(html || ' ')")} AS changed,
+  {_RECORD.format(id='(-1 - page_id)', html='html')} AS moved FROM p),
+o AS (SELECT *, CAST(coalesce(sum(strlen(record)) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM r)
+SELECT page_id, CASE page_id % 97 WHEN 13 THEN 'missing' ELSE 'altered' END AS status, pos AS start_byte, CAST(strlen(record) AS BIGINT) AS bytes,
+  sha256(record) AS expected, CASE page_id % 97 WHEN 11 THEN sha256(changed) END AS found
+FROM o WHERE page_id % 97 IN (11, 13)
+UNION ALL SELECT -1 - page_id, 'extra', 0, 0, NULL, sha256(moved) FROM o WHERE page_id % 97 = 17"""
