@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtide.functions.exprs import draw_index, evidence_hash, normal_two_sided_p, present, round_to, safe_ratio
+from adtide.functions.tables import attach
 from adtide.operators.rollup import top_n
 from adtide.schema import (
     BOOTSTRAP_EFFECT_DRAWS,
@@ -22,13 +23,8 @@ EVENT = ["event_date", "event_channel", "metric"]
 
 def default_events(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Without given events: the account's latest day for every channel."""
-    last = F.max("date").over(Window.partitionBy(*keys))
-    return daily.select(*keys, "channel", last.alias("date")).distinct().withColumn("metric", F.lit("revenue"))
-
-
-def first_events(events: DataFrame, keys: Sequence[str] = (), n: int = 8) -> DataFrame:
-    """The n latest events of a key."""
-    return top_n(events, [F.col("date").desc(), F.col("channel"), F.col("metric")], n, keys)
+    last = daily.groupBy(*keys).agg(F.max("date").alias("date"))
+    return attach(daily.select(*keys, "channel").distinct(), last, keys).withColumn("metric", F.lit("revenue"))
 
 
 def event_days(daily: DataFrame, events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -38,21 +34,20 @@ def event_days(daily: DataFrame, events: DataFrame, keys: Sequence[str] = ()) ->
     """
     by = [*keys, *EVENT]
     offsets = F.explode(F.sequence(F.lit(-EVENT_WINDOW_DAYS), F.lit(EVENT_WINDOW_DAYS - 1)))
-    windows = events.select(
+    windows = events.select(*keys, "date", "channel", "metric").distinct().select(
         *keys, F.col("date").alias("event_date"), F.col("channel").alias("event_channel"), "metric", offsets.alias("offset")
     ).withColumn("date", F.date_add("event_date", F.col("offset")))
-    joined = windows.join(daily.select(*keys, "date", "channel", "spend", "revenue"), [*keys, "date"])
-    own = F.col("channel") == F.col("event_channel")
+    own = daily.groupBy(*keys, "date", F.col("channel").alias("event_channel")).agg(
+        F.count("*").alias("_rows"), *[F.sum(c).alias(f"own_{c}") for c in ("revenue", "spend")]
+    )
+    total = daily.groupBy(*keys, "date").agg(F.count("*").alias("_all"), *[F.sum(c).alias(f"_{c}") for c in ("revenue", "spend")])
+    joined = windows.join(total, [*keys, "date"]).join(own, [*keys, "date", "event_channel"], "left")
+    others = F.col("_all") > F.coalesce("_rows", F.lit(0))
 
-    def part(cond: Column, c: str) -> Column:
-        return F.sum(F.when(cond, F.col(c)))
+    def control(c: str) -> Column:
+        return F.when(others, F.col(f"_{c}") - F.coalesce(f"own_{c}", F.lit(0.0))).alias(f"control_{c}")
 
-    return joined.groupBy(*by, "offset", "date").agg(
-        part(own, "revenue").alias("own_revenue"),
-        part(own, "spend").alias("own_spend"),
-        part(~own, "revenue").alias("control_revenue"),
-        part(~own, "spend").alias("control_spend"),
-    )
+    return joined.select(*by, "offset", "date", "own_revenue", "own_spend", control("revenue"), control("spend"))
 
 
 def did_effects(daily: DataFrame, events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -238,8 +233,11 @@ def structured_evidence(
     return df.withColumn("evidence_hash", evidence_hash(F.struct("channel", "date", "incremental_revenue", "p_value")))
 
 
-def evidence_label(planned: Column | None = None) -> Column:
-    """Decision table from an evidence row to its label."""
+def evidence_label(planned: Column | None = None, detected: Column | None = None) -> Column:
+    """Decision table from an evidence row to its label.
+
+    ``detected`` tells whether anything happened at all; without an estimate that is whether there is an anomaly.
+    """
     crosses = (F.col("lower_revenue") <= 0) & (F.col("upper_revenue") >= 0)
     noisy = (F.col("confidence") == "low") | crosses
     effect, p, strength = F.col("incremental_revenue"), F.col("p_value"), F.col("effect_strength")
@@ -247,7 +245,7 @@ def evidence_label(planned: Column | None = None) -> Column:
     return (
         F.when(planned if planned is not None else F.lit(False), "budget_reallocation")
         .when(~F.col("power_passed") | (F.col("low_power_reasons") != ""), "underpowered_sample_watch")
-        .when(~F.col("power_passed"), "stable_run_rate")
+        .when(~(detected if detected is not None else F.lit(True)), "stable_run_rate")
         .when(noisy & F.col("has_anomaly") & (F.col("effect_direction") == "positive") & (effect > 0), "noisy_positive_signal")
         .when(noisy & F.col("has_anomaly"), "anomaly_timing_watch")
         .when(noisy, "volatility_watch")
@@ -258,6 +256,14 @@ def evidence_label(planned: Column | None = None) -> Column:
     )
 
 
+def without_estimate(df: DataFrame) -> DataFrame:
+    """The label of rows with has_anomaly but no estimate: low confidence, no effect, an interval at zero."""
+    zero = {c: F.lit(0.0) for c in ("incremental_revenue", "lower_revenue", "upper_revenue", "effect_strength", "delta_percent")}
+    text = {"confidence": F.lit("low"), "effect_direction": F.lit("neutral"), "low_power_reasons": F.lit("")}
+    full = df.withColumns({**zero, **text, "p_value": F.lit(1.0), "power_passed": F.lit(True)})
+    return full.withColumn("evidence_label", evidence_label(detected=F.col("has_anomaly"))).drop(*zero, *text, "p_value", "power_passed")
+
+
 def confidence_score(label: Column, strength: Column, p: Column) -> Column:
     base = F.when(label == "high", 0.82).when(label == "medium", 0.58).otherwise(0.32)
     lift = F.least(F.greatest(strength * 0.03, F.lit(0.0)), F.lit(0.12))

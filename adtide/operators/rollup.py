@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtide.functions.exprs import clamp, pct_change, round_to, safe_ratio
+from adtide.functions.tables import attach
 from adtide.schema import MEASURES
 
 
@@ -54,15 +55,15 @@ def segment_daily(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return with_roas(named.filter(F.col("segment").isNotNull() & (F.col("segment") != "")))
 
 
-def last_days(keys: Sequence[str], column: str = "date") -> Column:
-    """Latest date per key over an already aggregated frame (bounded by the number of days)."""
-    return F.max(column).over(Window.partitionBy(*keys))
+def with_last_day(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds last_day, the latest date of each key (of all rows without keys)."""
+    return attach(daily, daily.groupBy(*keys).agg(F.max("date").alias("last_day")), keys)
 
 
 def channel_summary(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Totals per channel plus the last 30 and the 30 before, on the calendar of all channels."""
     daily = fact.groupBy(*keys, "channel", "date").agg(*sums())
-    dated = daily.withColumn("age", F.datediff(last_days(keys), F.col("date")))
+    dated = with_last_day(daily, keys).withColumn("age", F.datediff("last_day", "date"))
     recent, previous = F.col("age") < 30, (F.col("age") >= 30) & (F.col("age") < 60)
 
     def part(cond: Column, column: str, name: str) -> Column:
@@ -214,19 +215,16 @@ def unseen_categories(fact: DataFrame, codes: DataFrame, column: str, keys: Sequ
         .groupBy(*keys, "value").agg(F.count("*").alias("n"))
     )
     unseen = observed.join(codes.select(*keys, "value"), [*keys, "value"], "left_anti")
-    ranked = unseen.withColumn("rk", F.row_number().over(Window.partitionBy(*keys).orderBy("value")))
-    return ranked.groupBy(*keys).agg(
-        F.lit(column).alias("column"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("unseen_rows"),
-        F.count("*").alias("unseen_values"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("rk") <= 5, F.struct("rk", "value")))),
-                lambda s: s["value"],
-            ),
-            ", ",
-        ).alias("preview"),
+    # Only the first five values of a key are ranked, so each task passes on five.
+    first = unseen.withColumn("rk", F.row_number().over(Window.partitionBy(*keys).orderBy("value"))).filter(F.col("rk") <= 5)
+    preview = first.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "value"))), lambda s: s["value"]), ", ").alias("preview")
     )
+    totals = unseen.groupBy(*keys).agg(
+        F.lit(column).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("unseen_rows"), F.count("*").alias("unseen_values")
+    )
+    out = attach(totals, preview, keys)
+    return out.withColumn("preview", F.coalesce("preview", F.lit("")))
 
 
 def channel_evidence_metrics(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -238,7 +236,7 @@ def channel_evidence_metrics(fact: DataFrame, keys: Sequence[str] = ()) -> DataF
     daily = by_type.groupBy(*keys, "channel", "date").agg(*sums(["spend", "revenue"]))
     w = Window.partitionBy(*keys, "channel")
     dated = (
-        daily.withColumn("age", F.datediff(last_days(keys), F.col("date")))
+        with_last_day(daily, keys).withColumn("age", F.datediff("last_day", "date"))
         .withColumn("rn", F.row_number().over(w.orderBy("date")))
         .withColumn("n", F.count("*").over(w))
     )

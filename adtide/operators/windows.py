@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtide.functions.exprs import clamp, safe_ratio
+from adtide.functions.tables import attach
 from adtide.schema import BLACK_FRIDAYS, HOLIDAY_WEEKS
 
 SEGMENT = ["level", "segment"]
@@ -184,12 +185,8 @@ def delta_lag(series: DataFrame, by: Sequence[str], columns: Sequence[str]) -> D
 
 def calendar_complete(daily: DataFrame, by: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per member and calendar day of its account's whole range; missing days are 0."""
-    span = Window.partitionBy(*keys)
-    members = (
-        daily.withColumns({"_from": F.min("date").over(span), "_to": F.max("date").over(span)})
-        .groupBy(*keys, by)
-        .agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    )
+    span = daily.groupBy(*keys).agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    members = attach(daily.select(*keys, by).distinct(), span, keys)
     days = members.select(*keys, by, F.explode(F.sequence("_from", "_to")).alias("date"))
     filled = days.join(daily.select(*keys, by, "date", *columns), [*keys, by, "date"], "left")
     return filled.select(*keys, by, "date", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +24,14 @@ def build_session(app: str = "adtide", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the session's checkpoint folder, else one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder; a local folder only where none is named."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="adtide-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Cut lineage with a Parquet table in the shared folder, which keeps columns and statistics for later scans."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

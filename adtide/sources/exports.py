@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-import os
+import uuid
 from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from adtide.functions.exprs import non_negative
 from adtide.functions.text import channel_from_filename
 from adtide.schema import CANONICAL_COLUMNS, OUTPUT_COLUMNS, TEXT_DEFAULTS
+from adtide.session import shared_folder
 from adtide.sources.normalize import normalize_facts
 from adtide.sources.reconcile import union_sources
 
@@ -111,11 +112,5 @@ def daily_forecast_export(revenue: DataFrame, roas: DataFrame, by: Sequence[str]
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder all executors see: the session's checkpoint folder, or a local one in a test session."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="adtide-"), name)
+    """A new folder all executors see."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
