@@ -11,28 +11,10 @@ from pyspark.sql import functions as F
 from adtide.functions.exprs import clamp, clean_number, safe_ratio
 from adtide.operators.rollup import sums, with_roas
 from adtide.operators.windows import SEGMENT, trailing, trailing_sums, with_half_trends
-from adtide.schema import HORIZONS, MEASURES, TREND_WEIGHT
+from adtide.schema import FEATURES, HORIZONS, MEASURES, TREND_WEIGHT
 
 LEVEL_CODES = {"overall": 0.0, "channel": 1.0, "campaign_type": 2.0, "campaign": 3.0}
 
-FEATURES = [
-    "horizon", "history_days", "recent_spend_7", "recent_spend_28", "recent_spend_56", "projected_spend_horizon",
-    "planned_spend_delta_7_28", "planned_spend_delta_28_horizon", "recent_revenue_7", "recent_revenue_14",
-    "recent_revenue_28", "recent_revenue_56", "recent_roas_7", "recent_roas_14", "recent_roas_28", "recent_roas_56",
-    "rps_trend_7_28", "baseline_revenue_forecast", "baseline_roas_forecast", "recent_clicks_28",
-    "recent_impressions_28", "recent_conversions_28", "ctr_28", "conversion_rate_28", "cpc_28",
-    "revenue_per_conversion_28", "spend_trend_28", "revenue_trend_28", "roas_trend_28", "spend_trend_56",
-    "revenue_trend_56", "roas_trend_56", "revenue_momentum_14_56", "revenue_momentum_28_56", "roas_momentum_14_56",
-    "roas_momentum_28_56", "conversion_rate_14", "conversion_rate_56", "conversion_rate_stability_14_56",
-    "ctr_stability_14_56", "dow_end", "month_end", "sin_7", "cos_7", "sin_30", "cos_30", "sin_365", "cos_365",
-    "sin_year_end", "cos_year_end", "quarter_end", "dow_channel", "dow_campaign_type", "month_channel",
-    "month_campaign_type", "sin_year_x_channel", "rev_std_14", "rev_std_28", "rev_std_56", "roas_std_56",
-    "spend_share_28", "spend_share_drift_28_56", "channel_roas_56", "campaign_type_roas_56",
-    "segment_vs_channel_roas_56", "segment_vs_campaign_type_roas_56", "campaign_spend_share_of_channel_28",
-    "spend_x_sin7", "level_code", "channel_code", "campaign_type_code", "unique_campaigns",
-]
-
-
 def segment_series(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The four-grain daily series with each day's last channel and type and the campaigns new on it."""
     dims = ["channel", "campaign_type", "campaign_name"]
@@ -174,6 +156,7 @@ def feature_columns(df: DataFrame) -> DataFrame:
         "planned_spend_delta_28_horizon": safe_ratio(F.col("_d7") * h - run_spend, run_spend),
         **{f"recent_revenue_{w}": F.col(f"revenue_{w}") for w in (7, 14, 28, 56)},
         **{f"recent_roas_{w}": F.col(f"_roas_{w}") for w in (7, 14, 28, 56)},
+        **{f"rps_{w}": F.col(f"_roas_{w}") for w in (7, 14, 28)},
         "rps_trend_7_28": safe_ratio(F.col("_roas_7") - F.col("_roas_28"), "_roas_28"),
         "baseline_revenue_forecast": clean_number("_expected"),
         "baseline_roas_forecast": clean_number(F.when(run_spend > 1e-9, safe_ratio("_expected", run_spend)).otherwise(0.0)),
@@ -194,11 +177,11 @@ def feature_columns(df: DataFrame) -> DataFrame:
         "sin_year_end": year,
         "cos_year_end": F.cos(F.dayofyear(end) * turn / 365.25),
         "quarter_end": F.quarter(end).cast("double"),
-        "dow_channel": F.weekday(end) * F.col("channel_code"),
-        "dow_campaign_type": F.weekday(end) * F.col("campaign_type_code"),
-        "month_channel": F.month(end) * F.col("channel_code"),
-        "month_campaign_type": F.month(end) * F.col("campaign_type_code"),
-        "sin_year_x_channel": year * F.col("channel_code"),
+        "dow_channel_interaction": F.weekday(end) * F.col("channel_code"),
+        "dow_campaign_type_interaction": F.weekday(end) * F.col("campaign_type_code"),
+        "month_channel_interaction": F.month(end) * F.col("channel_code"),
+        "month_campaign_type_interaction": F.month(end) * F.col("campaign_type_code"),
+        "sin_year_x_channel_code": year * F.col("channel_code"),
         "spend_share_28": share,
         "spend_share_drift_28_56": share - ratio("spend_56", "all_spend_56"),
         "channel_roas_56": F.col("_channel_roas"),

@@ -169,4 +169,21 @@ CHANNEL_TOKENS = {
     "Microsoft Ads": ["bing", "microsoft"],
     "Shopify": ["shopify"],
 }
+# The feature contract, in its order; horizon stands for the horizon in days.
+FEATURES = [
+    "horizon", "history_days", "recent_spend_7", "recent_spend_28", "recent_spend_56", "projected_spend_horizon",
+    "planned_spend_delta_7_28", "planned_spend_delta_28_horizon", "recent_revenue_7", "recent_revenue_14",
+    "recent_revenue_28", "recent_revenue_56", "recent_roas_7", "recent_roas_14", "recent_roas_28", "recent_roas_56",
+    "rps_7", "rps_14", "rps_28", "rps_trend_7_28", "baseline_revenue_forecast", "baseline_roas_forecast", "recent_clicks_28",
+    "recent_impressions_28", "recent_conversions_28", "ctr_28", "conversion_rate_28", "cpc_28",
+    "revenue_per_conversion_28", "spend_trend_28", "revenue_trend_28", "roas_trend_28", "spend_trend_56",
+    "revenue_trend_56", "roas_trend_56", "revenue_momentum_14_56", "revenue_momentum_28_56", "roas_momentum_14_56",
+    "roas_momentum_28_56", "conversion_rate_14", "conversion_rate_56", "conversion_rate_stability_14_56",
+    "ctr_stability_14_56", "dow_end", "month_end", "sin_7", "cos_7", "sin_30", "cos_30", "sin_365", "cos_365",
+    "sin_year_end", "cos_year_end", "quarter_end", "dow_channel_interaction", "dow_campaign_type_interaction", "month_channel_interaction",
+    "month_campaign_type_interaction", "sin_year_x_channel_code", "rev_std_14", "rev_std_28", "rev_std_56", "roas_std_56",
+    "spend_share_28", "spend_share_drift_28_56", "channel_roas_56", "campaign_type_roas_56",
+    "segment_vs_channel_roas_56", "segment_vs_campaign_type_roas_56", "campaign_spend_share_of_channel_28",
+    "spend_x_sin7", "level_code", "channel_code", "campaign_type_code", "unique_campaigns",
+]
 # --- end of fixed values ---------------------------------------------------------------------------

@@ -74,6 +74,7 @@ VALUES = {
     "planned_spend_delta_28_horizon": div(f"{D7} * h - {D28} * h", f"{D28} * h"),
     **{f"recent_revenue_{k}": f"revenue_{k}" for k in WIDTHS},
     **{f"recent_roas_{k}": ROAS[k] for k in WIDTHS},
+    **{f"rps_{k}": ROAS[k] for k in (7, 14, 28)},
     "rps_trend_7_28": div(f"{ROAS[7]} - {ROAS[28]}", ROAS[28]),
     "baseline_revenue_forecast": clean(EXPECTED),
     "baseline_roas_forecast": clean(f"CASE WHEN {D28} * h > 1e-9 THEN {EXPECTED} / ({D28} * h) ELSE 0 END"),
@@ -95,11 +96,11 @@ VALUES = {
     "sin_year_end": f"sin({TURN} * dayofyear({END}) / 365.25)",
     "cos_year_end": f"cos({TURN} * dayofyear({END}) / 365.25)",
     "quarter_end": f"CAST(quarter({END}) AS DOUBLE)",
-    "dow_channel": f"(isodow({END}) - 1) * CAST(channel_code AS DOUBLE)",
-    "dow_campaign_type": f"(isodow({END}) - 1) * CAST(type_code AS DOUBLE)",
-    "month_channel": f"month({END}) * CAST(channel_code AS DOUBLE)",
-    "month_campaign_type": f"month({END}) * CAST(type_code AS DOUBLE)",
-    "sin_year_x_channel": f"sin({TURN} * dayofyear({END}) / 365.25) * channel_code",
+    "dow_channel_interaction": f"(isodow({END}) - 1) * CAST(channel_code AS DOUBLE)",
+    "dow_campaign_type_interaction": f"(isodow({END}) - 1) * CAST(type_code AS DOUBLE)",
+    "month_channel_interaction": f"month({END}) * CAST(channel_code AS DOUBLE)",
+    "month_campaign_type_interaction": f"month({END}) * CAST(type_code AS DOUBLE)",
+    "sin_year_x_channel_code": f"sin({TURN} * dayofyear({END}) / 365.25) * channel_code",
     **{c: c for c in ("rev_std_14", "rev_std_28", "rev_std_56", "roas_std_56")},
     "spend_share_28": div("spend_28", "all_28"),
     "spend_share_drift_28_56": f"{div('spend_28', 'all_28')} - {div('spend_56', 'all_56')}",
@@ -122,11 +123,26 @@ def features(spark, sf):
     return X.segment_features(fact, R.category_codes(fact, "channel"), R.category_codes(fact, "campaign_type"))
 
 
-@query("win8_segment_features", sql("SELECT level, segment, date, horizon_days, " + ", ".join(f"{r(c)} AS {c}" for c in X.FEATURES) + " FROM feature_rows", "feature_rows"))
+# Features that follow from the horizon; the others are one value for each segment and day.
+BY_HORIZON = [
+    c for c in X.FEATURES
+    if c in ("horizon", "projected_spend_horizon", "planned_spend_delta_28_horizon", "quarter_end", "dow_end", "month_end", "spend_x_sin7")
+    or c.startswith(("baseline_", "sin_", "cos_", "dow_", "month_"))
+]
+BY_DAY = [c for c in X.FEATURES if c not in BY_HORIZON]
+
+
+@query("win8_segment_features", sql("SELECT level, segment, date, " + ", ".join(f"{r(c)} AS {c}" for c in BY_DAY) + " FROM feature_rows WHERE horizon_days = 30", "feature_rows"))
 def segment_features(spark, sf):
-    """All 72 features at every segment, day and horizon (also jn9 and win17)."""
-    df = features(spark, sf)
-    return df.select(*BY, "date", "horizon_days", *[round_to(c, 4).alias(c) for c in X.FEATURES])
+    """The features that are the same for all horizons, at every segment and day (also jn9 and win17)."""
+    df = features(spark, sf).filter(F.col("horizon_days") == 30)
+    return df.select(*BY, "date", *[round_to(c, 4).alias(c) for c in BY_DAY])
+
+
+@query("win8_horizon_features", sql("SELECT level, segment, date, horizon_days, " + ", ".join(f"{r(c)} AS {c}" for c in BY_HORIZON) + " FROM feature_rows", "feature_rows"))
+def horizon_features(spark, sf):
+    """The features that follow from the horizon, at every segment, day and horizon."""
+    return features(spark, sf).select(*BY, "date", "horizon_days", *[round_to(c, 4).alias(c) for c in BY_HORIZON])
 
 
 SHARES = ["spend_share_28", "spend_share_drift_28_56", "channel_roas_56", "campaign_type_roas_56", "segment_vs_channel_roas_56", "campaign_spend_share_of_channel_28"]
@@ -249,38 +265,69 @@ def estimate_missing_spend(spark, sf):
     return out.select("date", "channel", "campaign_type", "campaign_name", "revenue", round_to("spend", 4).alias("spend"), "spend_estimated")
 
 
-# --- fitted trees: rows only ----------------------------------------------------------------------
-SMOKE = 0.05  # share of the full tree counts, so that a check run stays short
+# --- fitted trees: figures depend on the fit, so SQL checks what the contract fixes ----------------
+SMOKE = 0.05  # share of the full tree counts; in full one set of fits takes more than 20 minutes on 8 threads
+FITTED: dict[tuple[str, str], tuple] = {}
 
 
 def trained(spark, sf):
-    fact = checkpoint(campaign_fact(spark, sf))
-    codes = [R.category_codes(fact, c) for c in ("channel", "campaign_type")]
-    rows = checkpoint(X.segment_features(fact, *codes))
-    samples = T.assembled(X.training_set(rows))
-    models = {}
-    for h in HORIZONS:
-        model = T.train_horizon(samples.filter(F.col("horizon_days") == h), h, SMOKE, False)
-        if model is not None:
-            models[h] = model
-    return rows, samples, models
+    """Features, samples and models of one set of tables; a session fits them once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in FITTED:
+        fact = checkpoint(campaign_fact(spark, sf))
+        codes = [R.category_codes(fact, c) for c in ("channel", "campaign_type")]
+        rows = checkpoint(X.segment_features(fact, *codes))
+        FITTED[key] = (rows, T.fit_all(rows, (), SMOKE, False))
+    return FITTED[key]
+
+
+@query("fc7_training_report")
+def training_report(spark, sf):
+    """Cross-validated R2, holdout errors and weights per horizon."""
+    return T.training_report(spark, trained(spark, sf)[1])
 
 
 @query("fc12_trained_predictions")
 def trained_predictions(spark, sf):
     """Trees per horizon, blend, intervals and the output contract (fc7 with fc9-fc12)."""
-    rows, _, models = trained(spark, sf)
-    return T.trained_predictions(rows, models)
+    return T.trained_predictions(*trained(spark, sf))
+
+
+@query(
+    "fc12_trained_contract",
+    sql("SELECT level, count(DISTINCT segment) AS segments, CAST(h AS INTEGER) AS horizon_days, count(*) AS n, count(*) AS ordered, count(*) AS within FROM state, (SELECT unnest([30, 60, 90]) AS h) GROUP BY level, h", "state"),
+)
+def trained_contract(spark, sf):
+    """Every segment has each horizon, bounds are in order, and the centre stays within 0.5 to 2.5 baselines."""
+    out = T.trained_predictions(*trained(spark, sf))
+    base = X.last_features(trained(spark, sf)[0]).select(*BY, "horizon_days", "baseline_revenue_forecast")
+    b, e = F.col("baseline_revenue_forecast"), F.col("expected_revenue")
+    held = (b <= 0) | e.between(b * 0.5 - 0.01, b * 2.5 + 0.01)
+    ordered = (F.col("lower_revenue") <= e) & (e <= F.col("upper_revenue")) & (F.col("lower_roas") <= F.col("expected_roas")) & (F.col("expected_roas") <= F.col("upper_roas"))
+    return out.join(base, [*BY, "horizon_days"]).groupBy("level", F.col("horizon_days").cast("int").alias("horizon_days")).agg(
+        F.countDistinct("segment").alias("segments"), F.count("*").alias("n"), F.count_if(ordered).alias("ordered"), F.count_if(held).alias("within"))
+
+
+def over_models(spark, sf, one):
+    """One result for each horizon and target, marked with both."""
+    rows, models = trained(spark, sf)
+    samples = T.assembled(X.training_set(rows))
+    out = None
+    for h, m in models.items():
+        for target, model in (("revenue", m.revenue), ("roas", m.roas)):
+            part = one(rows.filter(F.col("horizon_days") == h), samples.filter(F.col("horizon_days") == h), model, target)
+            part = part.withColumns({"horizon_days": F.lit(h), "target": F.lit(target)})
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("fc18_feature_importance")
 def feature_importance(spark, sf):
-    _, samples, models = trained(spark, sf)
-    return T.feature_importance(models[30].revenue, samples.filter(F.col("horizon_days") == 30), "revenue_target")
+    return over_models(spark, sf, lambda rows, samples, model, target: T.feature_importance(model, samples, f"{target}_target"))
 
 
 @query("fc17_local_drivers")
 def local_drivers(spark, sf):
-    rows, samples, models = trained(spark, sf)
-    current = X.last_features(rows).filter(F.col("horizon_days") == 30).select(*BY, *X.FEATURES)
-    return T.local_drivers(current, samples.filter(F.col("horizon_days") == 30), models[30].revenue, X.FEATURES, BY)
+    return over_models(
+        spark, sf, lambda rows, samples, model, target: T.local_drivers(X.last_features(rows).select(*BY, *X.FEATURES), samples, model, X.FEATURES, BY)
+    )
