@@ -14,11 +14,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from adtide.llm.packing import pack, unpacked
 from adtide.llm.store import materialise
-from adtide.llm.words import _BYTE, chunks, buffers, prefix, window_hash, words
+from adtide.llm.words import _BYTE, buffers, prefix, window_hash, words
 
 LAST = (1 << 63) - 1
 _POS = np.uint64(27)
@@ -78,35 +78,9 @@ def segments(sums: np.ndarray, first: np.ndarray, rule: Rule) -> tuple[np.ndarra
     return doc, head, tail - head + 1, anchor[head], gram[anchor[head]]
 
 
-def _unpacked(batches, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Batches with the packed text in their last column, with plain bytes there instead."""
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        at = 0
-        packed = batch.column(batch.num_columns - 1).to_pylist()
-        while at < len(packed):
-            texts, size, to = [], 0, at
-            while to < len(packed) and (not texts or size < limit):
-                texts.append(unpack.decompress(packed[to]) if packed[to] else b"")
-                size += len(texts[-1])
-                to += 1
-            part = batch.slice(at, to - at)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], [*batch.schema.names[:-1], "text"])
-            at = to
-
-
-def _pack(batches):
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in chunks(batches, "text"):
-        data, offsets = buffers(batch.column(batch.num_columns - 1))
-        raw, ends = data.tobytes(), offsets.tolist()
-        packed = [pack.compress(raw[a:b]) if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "packed"])
-
-
 def _find(rule: Rule):
     def find(batches):
-        for batch in _unpacked(batches):
+        for batch in unpacked(batches):
             column = batch.column(1)
             if rule.by_word:
                 w = words(column)
@@ -124,7 +98,7 @@ def _find(rule: Rule):
 
 def _cut(rule: Rule):
     def cut(batches):
-        for batch in _unpacked(batches):
+        for batch in unpacked(batches):
             key, rows, ids, start, n, off, sid, data = [], [], [], [], [], [], [], []
             for row, doc, parts, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 units = text.split() if rule.by_word else None
@@ -217,7 +191,7 @@ def removed_windows(docs: DataFrame, id_col: str, text_col: str, rule: Rule, jud
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("tid"), F.coalesce(F.col(id_col), F.lit(LAST)).cast("long").alias("doc"), text.alias("text"))
-    packed = rows.mapInArrow(_pack, "tid binary, doc long, packed binary")
+    packed = rows.mapInArrow(pack, "tid binary, doc long, packed binary")
     texts = materialise(packed.groupBy("tid").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed"))
                         .withColumn("row", F.monotonically_increasing_id()), f"{name}-texts")
     found = texts.select("row", "packed").mapInArrow(_find(rule), "h long, row long, start int, n int, off int")
@@ -225,16 +199,15 @@ def removed_windows(docs: DataFrame, id_col: str, text_col: str, rule: Rule, jud
     spots = found.join(again, "h").groupBy("row").agg(F.collect_list(F.struct("h", "start", "n", "off")).alias("parts"))
     cut = materialise(texts.select("row", "doc", "packed").join(spots, "row").select("row", "doc", "parts", "packed").mapInArrow(
         _cut(rule), "h long, sid binary, row long, doc long, start int, n int, off int, data binary"), f"{name}-segments")
-    kinds = cut.groupBy("h", "sid").agg(
-        F.min(F.struct("doc", "start")).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("off").alias("off"))
-    crowded = kinds.groupBy("h").count().where(F.col("count") > most_segments).select("h")
+    kinds = cut.select("h", "sid").distinct()
+    crowded = materialise(kinds.groupBy("h").count().where(F.col("count") > most_segments).select("h"), f"{name}-crowded")
     many = crowded.count()
     plain = cut.join(crowded, "h", "left_anti") if many else cut
     distinct = plain.groupBy("h", "sid").agg(
         F.first("data").alias("data"), F.first("n").alias("n"), F.first("off").alias("off"), F.min(F.struct("doc", "start")).alias("head"), F.count(F.lit(1)).alias("copies"))
     ready = distinct.select("h", "sid", "data", "n", "off", "head.doc", "head.start", "copies").repartition("h").sortWithinPartitions("h")
     judged = ready.mapInArrow(_judged(rule, judge, shard_bytes), "h long, sid binary, doc long, start int, runs array<struct<at:int,len:int>>")
-    verdict = judged.select("h", "sid", F.col("doc").alias("head_doc"), F.col("start").alias("head_start"), "runs")
+    verdict = materialise(judged, f"{name}-verdict").select("h", "sid", F.col("doc").alias("head_doc"), F.col("start").alias("head_start"), "runs")
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("len")))
     runs = F.when((F.col("doc") == F.col("head_doc")) & (F.col("start") == F.col("head_start")), F.col("runs")).otherwise(whole)
     gone = plain.select("h", "sid", "row", "doc", "start", "n").join(verdict, ["h", "sid"]).select(
@@ -246,7 +219,7 @@ def removed_windows(docs: DataFrame, id_col: str, text_col: str, rule: Rule, jud
         first = single.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
         later = single.join(first, "w").where(F.lit(rule.all_go) | (F.struct("doc", "start") != F.col("head")))
         gone = gone.union(later.select("row", F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("len")))))
-    return texts, gone.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return texts, materialise(gone.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs")), f"{name}-gone")
 
 
 def cover(n: int, runs: list[dict], length: int) -> np.ndarray:
@@ -263,7 +236,7 @@ def finished(docs: DataFrame, id_col: str, text_col: str, texts: DataFrame, gone
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
-        for batch in _unpacked(batches):
+        for batch in unpacked(batches):
             out = []
             for tid, doc, copies, runs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out.append({"tid": tid, "doc": doc, **{
