@@ -20,7 +20,7 @@ CONTAINED = 0.5
 SAME = 0.5
 ANSWER_TERMS = 3
 BLOCK_ITEMS = 5_000
-FAN_IN = 64
+FAN_IN = 16
 
 
 class Index(NamedTuple):
@@ -52,13 +52,14 @@ def _added(parts: DataFrame, width: int, kind: str) -> np.ndarray:
     """Sum of the equally long binary vectors of all tasks, in two steps that hold one running sum each."""
 
     def add(batches):
-        total = np.zeros(width, kind)
+        total = None
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, kind)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+                total = np.frombuffer(x, kind) + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    found = parts.repartition(FAN_IN).mapInArrow(add, "v binary").coalesce(1).mapInArrow(add, "v binary").collect()
+    found = parts.repartition(FAN_IN).mapInArrow(add, "v binary").repartition(1).mapInArrow(add, "v binary").collect()
     return np.frombuffer(found[0][0], kind) if found else np.zeros(width, kind)
 
 
