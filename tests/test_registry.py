@@ -21,7 +21,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
-@pytest.mark.parametrize("name", ["fc12_baseline_predictions", "prj3_normalize_ads", "val1_row_issues", "pl7_capped_allocation", "st1_detect_anomalies"])
+@pytest.mark.parametrize("name", ["fc12_baseline_predictions", "prj3_normalize_ads", "val1_row_issues", "pl7_capped_allocation", "st1_detect_anomalies", "agg4_channel_summary", "jn6_event_window_join", "st10_evidence_labels", "win8_horizon_features"])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
