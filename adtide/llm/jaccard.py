@@ -10,18 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from adtide.llm.components import components
+from adtide.llm.packing import pack, unpacked
 from adtide.llm.store import materialise
 from adtide.llm.words import chunks, mix, prefix, window_hash, words
 
 SHINGLE = 5
 PERCENT = 75
-CELLS = 1 << 19  # of the frequency sketch
+CELLS = 1 << 22  # of the frequency sketch; rare shingles stand out only where cells hold few
 OFTEN = 1e-3  # a shingle in a larger share of the documents has its postings salted
 SALTS = 64
 BLOCK_SHINGLES = 1_000_000  # of one block of rows of the incidence matrix
 DENSE_COLUMNS = 4096
 PAIR_LIMIT = 8_000_000
-FAN_IN = 64
+FAN_IN = 16
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -47,25 +48,35 @@ def _keyed(batches):
             [batch.column(0), pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), batch.column(1)], ["id", "key", "n", "text"])
 
 
+def _light(batches):
+    for batch in _keyed(batches):
+        yield batch.select([0, 1, 2])
+
+
+def _packed(batches):
+    yield from pack(_keyed(batches))
+
+
 def _frequency(reps: DataFrame) -> np.ndarray:
     """Sketch of how many sets hold a shingle: counts of all shingles by cell, of fixed size."""
 
     def count(batches):
-        total = np.zeros(CELLS, np.int64)
-        for batch in chunks(batches, "text"):
-            total += np.bincount((np.concatenate(shingle_sets(batch.column(0))) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        total = np.zeros(CELLS, np.int32)
+        for batch in unpacked(batches, 4 << 20):
+            total += np.bincount((np.concatenate(shingle_sets(batch.column(0))) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     def add(batches):
-        total = np.zeros(CELLS, np.int64)
+        total = None
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+                total = np.minimum(np.frombuffer(x, np.int32) + (0 if total is None else total.astype(np.int64)), (1 << 31) - 1).astype(np.int32)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    parts = reps.select("text").mapInArrow(count, "v binary").repartition(FAN_IN).mapInArrow(add, "v binary")
-    found = parts.coalesce(1).mapInArrow(add, "v binary").collect()
-    return np.frombuffer(found[0][0], np.int64) if found else np.zeros(CELLS, np.int64)
+    parts = reps.select("packed").mapInArrow(count, "v binary").repartition(FAN_IN).mapInArrow(add, "v binary")
+    found = parts.repartition(1).mapInArrow(add, "v binary").collect()
+    return np.frombuffer(found[0][0], np.int32) if found else np.zeros(CELLS, np.int32)
 
 
 def _postings(reps: DataFrame, sketch: np.ndarray, often: float) -> DataFrame:
@@ -76,7 +87,7 @@ def _postings(reps: DataFrame, sketch: np.ndarray, often: float) -> DataFrame:
     """
 
     def emit(batches):
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in unpacked(batches, 1 << 20):
             token, size, which = [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1))):
                 k = len(s) - (PERCENT * len(s) + 99) // 100 + 1
@@ -95,7 +106,7 @@ def _postings(reps: DataFrame, sketch: np.ndarray, often: float) -> DataFrame:
                 batch.column(0).take(pa.array(which[take])), pa.array(size[take])], ["token", "cls", "salt", "id", "n"])
 
     kind = reps.schema["id"].dataType.simpleString()
-    return reps.select("id", "text").mapInArrow(emit, f"token long, cls short, salt short, id {kind}, n long")
+    return reps.select("id", "packed").mapInArrow(emit, f"token long, cls short, salt short, id {kind}, n long")
 
 
 def _candidate_links(post: DataFrame) -> DataFrame:
@@ -172,8 +183,8 @@ def _verify(batches):
 
 
 def _contents(batches):
-    for batch in chunks(batches, "text", 1 << 20):
-        sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
+    for batch in unpacked(batches, 1 << 20):
+        sets = shingle_sets(batch.column(batch.num_columns - 1))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], [*batch.schema.names[:-1], "data"])
 
 
@@ -194,22 +205,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.mapInArrow(_keyed, f"id {kind}, key binary, n long, text string")
+    keyed = rows.mapInArrow(_packed, f"id {kind}, key binary, n long, packed binary")
     reps = materialise(keyed.where("key is not null and id is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("text").alias("text")), "jaccard-sets")
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("packed").alias("packed")), "jaccard-sets")
     often = max(64.0, OFTEN * reps.count())
     near = components(_candidate_links(_postings(reps, _frequency(reps), often)), "jaccard-clusters").withColumnRenamed("component", "cluster")
-    members = reps.select("id", "n", "text").join(near, "id")
+    members = reps.select("id", "packed").join(near, "id")
     blocks = reps.select("id", "n").join(near, "id").groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("k"), F.count(F.lit(1)).alias("m"))
     placed = members.join(blocks.where("m > 1"), "cluster").withColumn("i", F.pmod(F.xxhash64("id"), "k").cast("long"))
-    data = placed.select("cluster", "i", "k", "id", "text").mapInArrow(_contents, f"cluster {kind}, i long, k long, id {kind}, data binary")
+    data = placed.select("cluster", "i", "k", "id", "packed").mapInArrow(_contents, f"cluster {kind}, i long, k long, id {kind}, data binary")
     pair = F.explode(F.expr("transform(sequence(0, k - 1), j -> struct(least(i, j) AS i, greatest(i, j) AS j))")).alias("p")
     blocks = data.select("cluster", pair, "id", "data").select("cluster", "p.i", "p.j", "id", "data")
     links = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify, f"a {kind}, b {kind}")
     classes = components(links, "jaccard-links")
     of_key = reps.select("key", F.col("id").alias("rep")).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", F.coalesce("component", "rep").alias("class"))
-    light = keyed.select("id", "key", "n")
+    light = rows.mapInArrow(_light, f"id {kind}, key binary, n long")
     return light.join(of_key, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
