@@ -30,7 +30,8 @@ class Index(NamedTuple):
     order: list[np.ndarray]  # vocabulary ids of each item, in text order
     answer: list[np.ndarray]  # vocabulary ids that stand for the item's answer
     basis: np.ndarray  # right singular vectors, terms x rank
-    latent: np.ndarray  # items in the latent space
+    latent: np.ndarray  # passages of the items in the latent space
+    owner: np.ndarray  # item of each of these passages, ascending
 
 
 def _terms(w: Words, terms: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -144,8 +145,24 @@ def build_index(docs: DataFrame, items: list[tuple], seed: int = 0) -> Index | N
         answer.append(by[:ANSWER_TERMS])
     idf = np.where(rare, weight, 0.0)
     basis = _basis(docs, terms, idf, seed)
-    latent = np.array([(basis * idf[:, None])[ids].sum(0) for ids in seq])
-    return Index([i for i, _ in items], terms, idf, seq, answer, basis, latent)
+    part, begin, stop = _passages(w.first)
+    vec = (basis * idf[:, None])[np.concatenate(seq)]
+    latent = np.array([vec[a:b].sum(0) for a, b in zip(begin, stop, strict=True)])
+    return Index([i for i, _ in items], terms, idf, seq, answer, basis, latent, part)
+
+
+def _passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and end of each passage; ``first`` as in ``Words``. A text without words has none."""
+    count = np.diff(first)
+    steps = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1), 0)
+    text = np.repeat(np.arange(len(count)), steps)
+    begin = first[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(steps) - steps, steps))
+    return text, begin, np.minimum(begin + WINDOW, first[text + 1])
+
+
+def _spare(n: int) -> int:
+    """Words looked at on either side of a passage for an item of n words; the passage may hold any part of the item."""
+    return n // 2 + STRIDE + max(0, n - WINDOW)
 
 
 def _common_length(item: np.ndarray, text: np.ndarray) -> int:
@@ -169,30 +186,30 @@ def _hits(w: Words, index: Index, sieve: np.ndarray, scaled: np.ndarray, unit: n
     at, feat = _features(w, ids, index.idf)
     if not len(at):
         return []
-    count = np.diff(w.first)
-    steps = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1), 0)
-    doc = np.repeat(np.arange(len(count)), steps)
-    begin = w.first[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(steps) - steps, steps))
-    stop = np.minimum(begin + WINDOW, w.first[doc + 1])
+    doc, begin, stop = _passages(w.first)
     lo, hi = np.searchsorted(at, begin), np.searchsorted(at, stop)
     some = np.flatnonzero(hi > lo)
     sums = np.concatenate([np.zeros((1, scaled.shape[1])), np.cumsum(scaled[feat], 0)])
+    heads = np.flatnonzero(np.diff(index.owner, prepend=-1))
     best: dict[tuple[int, int], tuple] = {}
     for part in np.array_split(some, len(some) // 4096 + 1):
         vec = sums[hi[part]] - sums[lo[part]]
         dot = vec @ unit.T
         size = np.linalg.norm(vec, axis=1)
-        # cosine >= CONTAINED * |item| / |passage|: the passage holds that share of the item
-        for r, i in zip(*np.nonzero((dot >= CONTAINED * norm[None, :]) & (norm[None, :] > 0)), strict=True):
+        # cosine >= CONTAINED * |item passage| / |passage|: the passage holds that share of the item's passage
+        near = np.logical_or.reduceat((dot >= CONTAINED * norm[None, :]) & (norm[None, :] > 0), heads, 1)
+        dot = np.maximum.reduceat(dot, heads, 1)
+        for r, k in zip(*np.nonzero(near), strict=True):
+            i = index.owner[heads[k]]
             p, item = part[r], index.order[i]
             d = int(doc[p])
-            spare = len(item) // 2 + STRIDE
+            spare = _spare(len(item))
             text = ids[max(w.first[d], begin[p] - spare) : min(w.first[d + 1], stop[p] + spare)]
             if len(np.intersect1d(index.answer[i], text)) * 3 < 2 * len(index.answer[i]):
                 continue
             common = _common_length(item, text[text >= 0])
             if common >= SAME * len(item):
-                found = (-common, int(begin[p] - w.first[d]), float(round(dot[r, i] / max(size[r], 1e-12), 6)))
+                found = (-common, int(begin[p] - w.first[d]), float(round(dot[r, k] / max(size[r], 1e-12), 6)))
                 best[d, int(i)] = min(best.get((d, int(i)), found), found)
     return [(d, i, b, cos, -c) for (d, i), (c, b, cos) in sorted(best.items())]
 
@@ -218,11 +235,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item that it repeats, verbatim or in paraphrase.
 
-    Documents are cut into passages of 72 words, 24 apart. Features are the items' words that at most 2 % of all documents
+    Documents and items are cut into passages of 72 words, 24 apart, so items of any length are found. Features are the items' words that at most 2 % of all documents
     hold (and the six rarest of an item in any case), weighted by inverse document frequency over the whole corpus. A
-    randomised SVD of all passages gives a latent space; a passage is a candidate for an item if its cosine is at least
-    0.5 |item| / |passage| there. A candidate counts if the longest common subsequence around it has half of the item's
-    words and two of the item's three rarest words, which stand for its answer. Items are handled in blocks of about
+    randomised SVD of all passages gives a latent space; a passage is a candidate for an item if its cosine to one of the
+    item's passages is at least 0.5 |item passage| / |passage| there. A candidate counts if the longest common subsequence
+    around it has half of the whole item's words and two of the item's three rarest words, which stand for its answer. Items are handled in blocks of about
     5,000, so the driver never holds more.
 
     Null and empty texts and items match nothing. Equal items each give their pairs; repeated documents give equal pairs.

@@ -351,6 +351,16 @@ def test_contaminated(spark, empty):
     assert decontaminate.clean_of(df, bench.where("false")).count() == len(rows)
 
 
+def test_contaminated_long_items(spark):
+    rng = random.Random(8)
+    items = [(i, sentence(rng, n, 6000)) for i, n in enumerate((40, 72, 150, 200, 300, 300, 700))]
+    noise = [(100 + i, sentence(rng, 200, 6000), None, None, None) for i in range(300)]
+    rows = [(i, f"{sentence(rng, 50, 6000)} {t} {sentence(rng, 50, 6000)}", None, None, None) for i, t in items] + noise
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.common == r.item_words) for r in got) == [(i, i, True) for i, _ in items]
+
+
 def test_common_length():
     a, b = np.array([1, 2, 3, 4, 2]), np.array([2, 9, 3, 2, 4])
     assert decontaminate._common_length(a, b) == 3 and decontaminate._common_length(a, np.array([], int)) == 0
