@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +20,9 @@ COMMON = 0.02  # a term in a larger share of the documents is no feature, unless
 LEAST = 6
 CONTAINED = 0.5
 SAME = 0.5
+CLEAR = 0.6  # a common subsequence of this share of the item needs no answer
 ANSWER_TERMS = 3
+SPARE_RARE = 0.15  # of the item's words: how many of its rare words a clear match must still hold
 BLOCK_ITEMS = 5_000
 FAN_IN = 16
 
@@ -32,6 +36,8 @@ class Index(NamedTuple):
     basis: np.ndarray  # right singular vectors, terms x rank
     latent: np.ndarray  # passages of the items in the latent space
     owner: np.ndarray  # item of each of these passages, ascending
+    rare: list[np.ndarray]  # vocabulary ids of each item, so many that a clear match holds at least ``need`` words of them
+    need: np.ndarray
 
 
 def _terms(w: Words, terms: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -137,18 +143,29 @@ def build_index(docs: DataFrame, items: list[tuple], seed: int = 0) -> Index | N
     n, df = _document_frequency(docs, terms)
     weight = np.log((1 + n) / (1 + df)) + 1e-3
     rare = df <= COMMON * n
-    answer = []
+    answer, first, need = [], [], []
     for ids in seq:
-        uniq = np.unique(ids)
-        by = uniq[np.argsort(df[uniq], kind="stable")]
+        uniq, times = np.unique(ids, return_counts=True)
+        order_ = np.argsort(df[uniq], kind="stable")
+        by, held = uniq[order_], np.cumsum(times[order_])
         rare[by[:LEAST]] = True
-        answer.append(by[:ANSWER_TERMS])
+        answer.append(by[df[by] > 0][:ANSWER_TERMS])  # a word of no document can be asked of none
+        # a match of c words leaves len - c out, so of any s words of the item it holds at least s - (len - c)
+        left = len(ids) - _clear(len(ids))
+        to = min(len(by), int(np.searchsorted(held, left + max(1, int(SPARE_RARE * len(ids))))) + 1)
+        first.append(by[:to])
+        need.append(int(held[to - 1]) - left if to else 0)
     idf = np.where(rare, weight, 0.0)
     basis = _basis(docs, terms, idf, seed)
     part, begin, stop = _passages(w.first)
     vec = (basis * idf[:, None])[np.concatenate(seq)]
     latent = np.array([vec[a:b].sum(0) for a, b in zip(begin, stop, strict=True)])
-    return Index([i for i, _ in items], terms, idf, seq, answer, basis, latent, part)
+    return Index([i for i, _ in items], terms, idf, seq, answer, basis, latent, part, first, np.array(need))
+
+
+def _clear(n: int) -> int:
+    """Words of an item of n words that need no answer beside them."""
+    return int(np.ceil(CLEAR * n - 1e-9))
 
 
 def _passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,33 +182,74 @@ def _spare(n: int) -> int:
     return n // 2 + STRIDE + max(0, n - WINDOW)
 
 
-def _common_length(item: np.ndarray, text: np.ndarray) -> int:
-    """Longest common subsequence, one bit a word of the item."""
+def _marks(item: np.ndarray) -> dict[int, int]:
+    """The places of each word of an item, one bit a word."""
     marks: dict[int, int] = {}
     for k, x in enumerate(item.tolist()):
         marks[x] = marks.get(x, 0) | 1 << k
-    full = (1 << len(item)) - 1
+    return marks
+
+
+def _common(places: list[int], size: int) -> int:
+    """Longest common subsequence of an item of ``size`` words and a text given by the marks of its words."""
+    full = (1 << size) - 1
     row = full
-    for x in text.tolist():
-        m = marks.get(x)
-        if m:
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-    return len(item) - row.bit_count()
+    for m in places:
+        u = row & m
+        row = ((row + u) | (row - u)) & full
+    return size - row.bit_count()
+
+
+def _common_length(item: np.ndarray, text: np.ndarray) -> int:
+    marks = _marks(item)
+    return _common([m for x in text.tolist() if (m := marks.get(x))], len(item))
+
+
+def _runs(w: Words, ids: np.ndarray, sets: list[np.ndarray], need: np.ndarray, index: Index) -> np.ndarray:
+    """Codes (passage * items + item) of all passages whose region can hold ``need`` words of the item's set."""
+    items = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    by = np.argsort(terms := np.concatenate(sets), kind="stable")
+    low = np.searchsorted(terms[by], np.arange(len(index.terms) + 1))
+    at = np.flatnonzero(ids >= 0)
+    times = (low[1:] - low[:-1])[ids[at]]
+    pos, start = np.repeat(at, times), np.repeat(low[ids[at]] - (np.cumsum(times) - times), times)
+    item = items[by][start + np.arange(len(start))]
+    turn = np.argsort(item, kind="stable")
+    pos, item = pos[turn], item[turn]
+    doc = np.searchsorted(w.first, pos, "right") - 1
+    spare = np.array([_spare(len(x)) for x in index.order], np.int64)[item]
+    end = np.arange(len(pos)) + need[item] - 1
+    ok = np.flatnonzero(end < len(pos))
+    end = end[ok]
+    ok, end = (x[(item[end] == item[ok]) & (doc[end] == doc[ok]) & (pos[end] - pos[ok] < WINDOW + 2 * spare[ok])] for x in (ok, end))
+    count = np.diff(w.first)
+    steps = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1), 0)
+    a, b, d = pos[ok] - w.first[doc[ok]], pos[end] - w.first[doc[end]], doc[ok]
+    lo = np.maximum(0, -(-(b - spare[ok] - WINDOW + 1) // STRIDE))
+    hi = np.minimum(steps[d] - 1, (a + spare[ok]) // STRIDE)
+    span = np.maximum(hi - lo + 1, 0)
+    row = np.repeat((np.cumsum(steps) - steps)[d] + lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
+    return np.unique(row * len(index.order) + np.repeat(item[ok], span))
 
 
 def _hits(w: Words, index: Index, sieve: np.ndarray, scaled: np.ndarray, unit: np.ndarray, norm: np.ndarray) -> list[tuple]:
     """(document, item, word position, cosine, common words) of the best accepted passage of each pair."""
     ids = _terms(w, index.terms, sieve)
     at, feat = _features(w, ids, index.idf)
-    if not len(at):
+    if not (ids >= 0).any():
         return []
     doc, begin, stop = _passages(w.first)
     lo, hi = np.searchsorted(at, begin), np.searchsorted(at, stop)
-    some = np.flatnonzero(hi > lo)
+    answers = np.array([-(-2 * len(x) // 3) for x in index.answer])
+    more = np.union1d(_runs(w, ids, index.answer, answers, index), _runs(w, ids, index.rare, index.need, index))
+    size_ = len(index.order)
+    some = np.union1d(np.flatnonzero(hi > lo), more // size_)
     sums = np.concatenate([np.zeros((1, scaled.shape[1])), np.cumsum(scaled[feat], 0)])
     heads = np.flatnonzero(np.diff(index.owner, prepend=-1))
+    place = np.zeros(size_, np.int64)
+    place[index.owner[heads]] = np.arange(len(heads))
     best: dict[tuple[int, int], tuple] = {}
+    marks: dict[int, dict[int, int]] = {}
     for part in np.array_split(some, len(some) // 4096 + 1):
         vec = sums[hi[part]] - sums[lo[part]]
         dot = vec @ unit.T
@@ -199,16 +257,25 @@ def _hits(w: Words, index: Index, sieve: np.ndarray, scaled: np.ndarray, unit: n
         # cosine >= CONTAINED * |item passage| / |passage|: the passage holds that share of the item's passage
         near = np.logical_or.reduceat((dot >= CONTAINED * norm[None, :]) & (norm[None, :] > 0), heads, 1)
         dot = np.maximum.reduceat(dot, heads, 1)
+        extra = more[np.searchsorted(more, part[0] * size_) : np.searchsorted(more, (part[-1] + 1) * size_)] if len(part) else more[:0]
+        near[np.searchsorted(part, extra // size_), place[extra % size_]] = True
         for r, k in zip(*np.nonzero(near), strict=True):
             i = index.owner[heads[k]]
             p, item = part[r], index.order[i]
             d = int(doc[p])
             spare = _spare(len(item))
-            text = ids[max(w.first[d], begin[p] - spare) : min(w.first[d + 1], stop[p] + spare)]
-            if len(np.intersect1d(index.answer[i], text)) * 3 < 2 * len(index.answer[i]):
+            if i not in marks:
+                marks[i] = _marks(item)
+            mine = marks[i]
+            text = ids[max(w.first[d], begin[p] - spare) : min(w.first[d + 1], stop[p] + spare)].tolist()
+            places = [m for x in text if (m := mine.get(x))]
+            cover = reduce(or_, places, 0)
+            answered = sum((mine[x] & cover) > 0 for x in index.answer[i].tolist()) >= answers[i]
+            least = SAME * len(item) if answered else _clear(len(item))
+            if min(len(places), cover.bit_count()) < least:
                 continue
-            common = _common_length(item, text[text >= 0])
-            if common >= SAME * len(item):
+            common = _common(places, len(item))
+            if common >= least:
                 found = (-common, int(begin[p] - w.first[d]), float(round(dot[r, k] / max(size[r], 1e-12), 6)))
                 best[d, int(i)] = min(best.get((d, int(i)), found), found)
     return [(d, i, b, cos, -c) for (d, i), (c, b, cos) in sorted(best.items())]
@@ -235,12 +302,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item that it repeats, verbatim or in paraphrase.
 
-    Documents and items are cut into passages of 72 words, 24 apart, so items of any length are found. Features are the items' words that at most 2 % of all documents
-    hold (and the six rarest of an item in any case), weighted by inverse document frequency over the whole corpus. A
-    randomised SVD of all passages gives a latent space; a passage is a candidate for an item if its cosine to one of the
-    item's passages is at least 0.5 |item passage| / |passage| there. A candidate counts if the longest common subsequence
-    around it has half of the whole item's words and two of the item's three rarest words, which stand for its answer. Items are handled in blocks of about
-    5,000, so the driver never holds more.
+    Documents and items are cut into passages of 72 words, 24 apart, so items of any length are found. Features are the
+    items' words that at most 2 % of all documents hold (and the six rarest of an item in any case), weighted by inverse
+    document frequency over the whole corpus. A randomised SVD of all passages gives a latent space; a passage is a candidate
+    for an item if its cosine to one of the item's passages is at least 0.5 |item passage| / |passage| there. The latent
+    space loses paraphrases, so every passage that can meet the rule by its words is a candidate too: with two of the three
+    answer words around it, or with as many of the item's rare words as no common subsequence of 60 % can leave out. A
+    candidate counts if the longest common subsequence around it has half of the whole item's words and two of the item's
+    three rarest words that the corpus holds, which stand for its answer, or 60 % of the item's words without them. No
+    passage that meets this rule is lost. Items are handled in blocks of about 5,000, so the driver never holds more.
 
     Null and empty texts and items match nothing. Equal items each give their pairs; repeated documents give equal pairs.
     Empty tables give no rows; other columns are ignored. Result: id, item id, position (word of the passage's start), cosine, common

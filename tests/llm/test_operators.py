@@ -361,6 +361,28 @@ def test_contaminated_long_items(spark):
     assert sorted((r.doc_id, r.item_id, r.common == r.item_words) for r in got) == [(i, i, True) for i, _ in items]
 
 
+def test_contaminated_paraphrases(spark):
+    """Items with words dropped at random, against the subsequence rule on every document and item."""
+    rng = random.Random(11)
+    items = [(i, sentence(rng, rng.randrange(15, 60), 4000)) for i in range(60)]
+    rows = [(500 + i, sentence(rng, 250, 4000), None, None, None) for i in range(120)]
+    for keep in (0.8, 0.7, 0.6):
+        for i, t in items:
+            part = " ".join(x for x in t.split() if rng.random() < keep)
+            rows.append((len(rows) + 1000, f"{sentence(rng, 60, 4000)} {part} {sentence(rng, 60, 4000)}", None, None, None))
+    rows.append((9000, items[0][1].replace(" ", " unseen ", 3), None, None, None))
+    bench = spark.createDataFrame(items + [(90, " ".join(f"new{k} {x}" for k, x in enumerate(items[5][1].split()[:9])))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
+    split = {i: np.array([int(x[1:]) for x in t.split()]) for i, t in items}
+    for d, t, *_ in rows:
+        text = np.array([int(x[1:]) for x in t.split() if x != "unseen"])
+        for i, x in split.items():
+            if decontaminate._common_length(x, text) >= 0.6 * len(x):
+                assert (d, i) in got
+    planted = {(1000 + 120 + k, i) for k in range(180) for i in [k % 60]} | {(9000, 0)}
+    assert {p for p in got if p[1] < 90} <= planted
+
+
 def test_common_length():
     a, b = np.array([1, 2, 3, 4, 2]), np.array([2, 9, 3, 2, 4])
     assert decontaminate._common_length(a, b) == 3 and decontaminate._common_length(a, np.array([], int)) == 0
