@@ -21,7 +21,8 @@ OFTEN = 1e-3  # a shingle in a larger share of the documents has its postings sa
 SALTS = 64
 BLOCK_SHINGLES = 1_000_000  # of one block of rows of the incidence matrix
 DENSE_COLUMNS = 4096
-PAIR_LIMIT = 8_000_000
+PAIR_LIMIT = 8_000_000  # cells of the overlap matrix of two blocks
+BLOCK_ROWS = int(PAIR_LIMIT**0.5) // 2
 FAN_IN = 16
 
 
@@ -188,6 +189,33 @@ def _contents(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], [*batch.schema.names[:-1], "data"])
 
 
+def _block_pairs(reps: DataFrame, near: DataFrame, block: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(cluster, own, pairs, id, packed): the block of each row of a cluster, and the blocks that it is multiplied with.
+
+    A cluster within both limits is one block. Others are dealt to blocks inside size classes of ratio 4/3; rows that can
+    link are of one class or of neighbouring ones.
+    """
+    light = reps.select("id", "n").join(near, "id").withColumn("cls", _size_class())
+    need = F.greatest(F.ceil(F.col("s") / block), F.ceil(F.col("m") / rows))
+    sums = [F.sum("n").alias("s"), F.count(F.lit(1)).alias("m")]
+    classes = light.groupBy("cluster", "cls").agg(*sums).withColumn("k", need)
+    clusters = classes.groupBy("cluster").agg(
+        F.sum("s").alias("s"), F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("cls", "k"))).alias("slots")).where("m > 1")
+    clusters = clusters.select("cluster", (need > 1).alias("many"), "slots")
+    placed = reps.select("id", "key", "n", "packed").join(near, "id").join(clusters, "cluster").withColumn("cls", _size_class())
+    slot = F.pmod(F.xxhash64("id", "key"), F.element_at("slots", F.col("cls")))
+    placed = placed.withColumn("own", F.when(F.col("many"), F.col("cls") * (1 << 32) + slot).otherwise(F.lit(0)))
+    other = F.expr("""flatten(transform(array(cls - 1, cls, cls + 1), c -> coalesce(
+        transform(sequence(0L, try_element_at(slots, c) - 1L), j -> c * 4294967296L + j), cast(array() as array<bigint>))))""")
+    other = F.when(F.col("many"), F.filter(other, lambda b: b != F.col("own")))
+    pairs = F.when(F.size(other) > 0, other).otherwise(F.array("own"))
+    return placed.select("cluster", "own", pairs.alias("pairs"), "id", "packed")
+
+
+def _size_class():
+    return F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(4 / 3)) + 1e-9)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
     """The near-duplicate class of every document: columns id, n_shingles, component_id.
 
@@ -195,7 +223,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links reach, named by its smallest id. Equal sets are one row of the incidence matrix from the start. Rows that can
     link share a shingle in a prefix whose length follows from their size, in one global order with common shingles last;
     chains through these shingles cut the matrix into clusters, a superset of the classes. A cluster's rows are dealt to
-    blocks of bounded size, and each pair of blocks is multiplied in one task: overlap counts add up over column blocks,
+    blocks of bounded shingles and rows, and each pair of blocks whose sizes can link is multiplied in one task: overlap counts add up over column blocks,
     pairs are discarded by the bound 0.75 max <= min of the sizes and by the count itself, and only spanning links leave
     the task. So a group of copies is never expanded into its pairs. The order and the clusters only steer the work; no link
     is lost. Shingles are compared by 64-bit hashes.
@@ -210,12 +238,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("packed").alias("packed")), "jaccard-sets")
     often = max(64.0, OFTEN * reps.count())
     near = components(_candidate_links(_postings(reps, _frequency(reps), often)), "jaccard-clusters").withColumnRenamed("component", "cluster")
-    members = reps.select("id", "packed").join(near, "id")
-    blocks = reps.select("id", "n").join(near, "id").groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("k"), F.count(F.lit(1)).alias("m"))
-    placed = members.join(blocks.where("m > 1"), "cluster").withColumn("i", F.pmod(F.xxhash64("id"), "k").cast("long"))
-    data = placed.select("cluster", "i", "k", "id", "packed").mapInArrow(_contents, f"cluster {kind}, i long, k long, id {kind}, data binary")
-    pair = F.explode(F.expr("transform(sequence(0, k - 1), j -> struct(least(i, j) AS i, greatest(i, j) AS j))")).alias("p")
-    blocks = data.select("cluster", pair, "id", "data").select("cluster", "p.i", "p.j", "id", "data")
+    data = _block_pairs(reps, near, block).mapInArrow(_contents, f"cluster {kind}, own long, pairs array<bigint>, id {kind}, data binary")
+    other = data.select("cluster", "own", F.explode("pairs").alias("p"), "id", "data")
+    blocks = other.select("cluster", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "id", "data")
     links = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify, f"a {kind}, b {kind}")
     classes = components(links, "jaccard-links")
     of_key = reps.select("key", F.col("id").alias("rep")).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(

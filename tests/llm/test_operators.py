@@ -86,6 +86,28 @@ def test_jaccard_salted_postings(spark, docs, texts, monkeypatch):
     assert got == classes(texts)
 
 
+def test_jaccard_rows_of_a_block(spark):
+    """Short near copies: few shingles, so only the row limit bounds the overlap matrix of two blocks."""
+    base = sentence(random.Random(9), 30).split()
+    rows = [(i, " ".join([*base[: 30 - i % 4], f"end{i}"]), None, None, None) for i in range(6000)]
+    rows.append((9000, sentence(random.Random(10), 30), None, None, None))
+    df = spark.createDataFrame(rows, DOCS)
+    reps = df.select(F.col("doc_id").alias("id"), "text").mapInArrow(jaccard._packed, "id long, key binary, n long, packed binary").persist()
+    near = reps.where("id < 9000").select("id", F.lit(0).cast("long").alias("cluster"))
+    pairs = jaccard._block_pairs(reps, near, jaccard.BLOCK_SHINGLES).select("id", "own", F.explode("pairs").alias("p"))
+    pairs = pairs.select("id", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j")).collect()
+    size = {}
+    for r in pairs:
+        size[r.i, r.j] = size.get((r.i, r.j), 0) + 1
+    assert max(size.values()) ** 2 <= 1.2 * jaccard.PAIR_LIMIT
+    held = {r.id: set() for r in pairs}
+    for r in pairs:
+        held[r.id].add((r.i, r.j))
+    assert len(held) == 6000 and all(held[0] & held[k] for k in held)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(df).collect()}
+    assert got == {**dict.fromkeys(range(6000), 0), 9000: 9000}
+
+
 def test_jaccard_edges(spark, docs, empty, texts):
     assert jaccard.jaccard_classes(empty).count() == 0
     odd = spark.createDataFrame([(None, "one two three", None, None, None), (5, "one two three", None, None, None), (5, "one two three", None, None, None)], DOCS)
