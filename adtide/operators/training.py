@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from adtide.functions.exprs import clamp, lookup, safe_ratio
 from adtide.functions.tables import attach
+from adtide.operators.evaluate import parent_channel_pool, z_calibration
 from adtide.operators.features import FEATURES, last_features, training_set
 from adtide.operators.forecast import POINTS, baseline_points, roas_interval, sanitize_monotone, segment_state
-from adtide.operators.windows import SEGMENT
+from adtide.operators.rollup import segment_daily
+from adtide.operators.windows import SEGMENT, one_step_residuals
 from adtide.schema import (
     BASELINE_ANCHORED_SCALE,
     DEFAULT_SELECTED_WEIGHT,
@@ -24,6 +26,7 @@ from adtide.schema import (
     HORIZONS,
     INTERVAL_FLOOR_PCT,
     INTERVAL_MULTIPLIER,
+    INTERVAL_MULTIPLIER_LOW_SAMPLE,
     LEVEL_INTERVAL_FACTOR,
     LONG_HORIZON_SCALE,
     MIN_TRAINED_ROWS,
@@ -36,6 +39,7 @@ from adtide.schema import (
 REVENUE_WEIGHTS = {30: (0.60, 0.25, 0.10, 0.10), 60: (0.10, 0.10, 0.10, 0.08), 90: (0.50, 0.40, 0.25, 0.08)}
 REVENUE_PARAMS = {30: (200, 0.05, 4, 0.8), 60: (85, 0.045, 3, 1.0), 90: (75, 0.04, 3, 1.0)}
 ROAS_TREES = {30: 80, 60: 70, 90: 60}
+LOW_SAMPLE_ROWS = 30  # training rows of all horizons together
 
 
 @dataclass
@@ -50,6 +54,7 @@ class HorizonModel:
     residual_sd: float
     band: tuple[float, float] = (0.0, 0.0)
     diagnostics: dict[str, float | None] = field(default_factory=dict)
+    low_sample: bool = False
 
 
 def assembled(df: DataFrame) -> DataFrame:
@@ -171,13 +176,28 @@ def blend(df: DataFrame) -> DataFrame:
     return df.withColumns({"expected_revenue": revenue, "blended_roas": roas})
 
 
+def pooled_z(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, level, segment, pooled_z) of the campaigns with fewer than 30 rows: z of their residuals pooled with those
+    of their channel, 0 for constant ones. Campaigns with fewer than 8 pooled residuals have no row."""
+    by = [*keys, *SEGMENT]
+    pool = parent_channel_pool(fact, one_step_residuals(segment_daily(fact, keys), by), keys)
+    z = z_calibration(pool, [*keys, "segment"], fallback=0.0).filter(F.col("n") >= 8)
+    return z.select(*keys, F.lit("campaign").alias("level"), "segment", F.col("z").alias("pooled_z"))
+
+
 def assemble_interval(df: DataFrame) -> DataFrame:
     """Half width: the largest of model residual, floor, local volatility and the capped quantile band, scaled
-    by level, history and horizon."""
+    by level, history and horizon.
+
+    Optional columns: pooled_z (see ``pooled_z``) raises z of the model residual, interval_multiplier replaces the
+    multiplier of the horizon."""
     h, e = F.col("horizon_days"), F.col("expected_revenue")
     least = MIN_TRAINED_ROWS
     n = F.col("history_days")
-    model = lookup(h, HORIZON_Z) * F.col("residual_sd") * F.greatest(lookup(h, INTERVAL_MULTIPLIER), F.lit(1.0))
+    z, wide = lookup(h, HORIZON_Z), lookup(h, INTERVAL_MULTIPLIER)
+    z = F.greatest(z, F.col("pooled_z")) if "pooled_z" in df.columns else z
+    wide = F.coalesce("interval_multiplier", wide) if "interval_multiplier" in df.columns else wide
+    model = z * F.col("residual_sd") * F.greatest(wide, F.lit(1.0))
     floor = e * F.greatest(lookup(h, INTERVAL_FLOOR_PCT), F.lit(0.04))
     local = F.greatest(lookup(h, HORIZON_Z) * F.col("revenue_sd") * F.sqrt(h.cast("double")), e * lookup(h, INTERVAL_FLOOR_PCT))
     base, w = F.col("baseline_revenue_forecast"), F.col("revenue_weight") * thin_weight(n)
@@ -222,6 +242,7 @@ def score(features: DataFrame, models: dict[int, HorizonModel]) -> DataFrame:
                     "revenue_weight": F.lit(selected_weight(h, m.revenue_weight)),
                     "roas_weight": F.lit(m.roas_weight),
                     "residual_sd": F.lit(float(m.residual_sd)),
+                    "interval_multiplier": F.lit(float((INTERVAL_MULTIPLIER_LOW_SAMPLE if m.low_sample else INTERVAL_MULTIPLIER)[h])),
                 }
             ).drop("features", "revenue_delta", "roas_prediction")
         )
@@ -231,9 +252,11 @@ def score(features: DataFrame, models: dict[int, HorizonModel]) -> DataFrame:
     return out
 
 
-def trained_predictions(features: DataFrame, models: dict[int, HorizonModel], keys: Sequence[str] = ()) -> DataFrame:
+def trained_predictions(features: DataFrame, models: dict[int, HorizonModel], keys: Sequence[str] = (), fact: DataFrame | None = None) -> DataFrame:
     """All segments and horizons in the output contract. ``features`` are unfiltered as-of vectors.
 
+    ``fact``, the campaign fact behind them, widens the intervals of thin campaigns by ``pooled_z``.
+
     A horizon without a fitted model, and any segment that a model gives no figure, takes the safe baseline.
     """
     by = [*keys, *SEGMENT]
@@ -243,6 +266,8 @@ def trained_predictions(features: DataFrame, models: dict[int, HorizonModel], ke
         return sanitize_monotone(safe, keys)
     scored = score(last_features(features, keys), models)
     df = blend(scored).join(state.select(*by, "revenue_sd", "roas_residuals", "roas_sd"), by)
+    if fact is not None:
+        df = df.join(pooled_z(fact, keys), by, "left")
     df = assemble_interval(df)
     df = df.withColumn("expected_spend", F.col("spend_28") / F.least(F.col("n"), F.lit(28)) * F.col("horizon_days"))
     df = roas_interval(df, F.col("blended_roas"))
@@ -256,7 +281,9 @@ def fit_all(features: DataFrame, keys: Sequence[str] = (), scale: float = 1.0, c
     """One model per horizon that has enough samples. ``features`` should be a written table: each fit reads it."""
     samples = assembled(training_set(features, keys))
     models = {h: train_horizon(samples.filter(F.col("horizon_days") == h), h, scale, cross_validate) for h in HORIZONS}
-    return {h: m for h, m in models.items() if m is not None}
+    found = {h: m for h, m in models.items() if m is not None}
+    low = bool(found) and samples.limit(LOW_SAMPLE_ROWS).count() < LOW_SAMPLE_ROWS
+    return {h: replace(m, low_sample=low) for h, m in found.items()}
 
 
 def training_report(spark: SparkSession, models: dict[int, HorizonModel]) -> DataFrame:

@@ -271,13 +271,13 @@ FITTED: dict[tuple[str, str], tuple] = {}
 
 
 def trained(spark, sf):
-    """Features, samples and models of one set of tables; a session fits them once."""
+    """Features, models and campaign fact of one set of tables; a session fits them once."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in FITTED:
         fact = checkpoint(campaign_fact(spark, sf))
         codes = [R.category_codes(fact, c) for c in ("channel", "campaign_type")]
         rows = checkpoint(X.segment_features(fact, *codes))
-        FITTED[key] = (rows, T.fit_all(rows, (), SMOKE, False))
+        FITTED[key] = (rows, T.fit_all(rows, (), SMOKE, False), fact)
     return FITTED[key]
 
 
@@ -290,7 +290,8 @@ def training_report(spark, sf):
 @query("fc12_trained_predictions")
 def trained_predictions(spark, sf):
     """Trees per horizon, blend, intervals and the output contract (fc7 with fc9-fc12)."""
-    return T.trained_predictions(*trained(spark, sf))
+    rows, models, fact = trained(spark, sf)
+    return T.trained_predictions(rows, models, (), fact)
 
 
 @query(
@@ -299,8 +300,9 @@ def trained_predictions(spark, sf):
 )
 def trained_contract(spark, sf):
     """Every segment has each horizon, bounds are in order, and the centre stays within 0.5 to 2.5 baselines."""
-    out = T.trained_predictions(*trained(spark, sf))
-    base = X.last_features(trained(spark, sf)[0]).select(*BY, "horizon_days", "baseline_revenue_forecast")
+    rows, models, fact = trained(spark, sf)
+    out = T.trained_predictions(rows, models, (), fact)
+    base = X.last_features(rows).select(*BY, "horizon_days", "baseline_revenue_forecast")
     b, e = F.col("baseline_revenue_forecast"), F.col("expected_revenue")
     held = (b <= 0) | e.between(b * 0.5 - 0.01, b * 2.5 + 0.01)
     ordered = (F.col("lower_revenue") <= e) & (e <= F.col("upper_revenue")) & (F.col("lower_roas") <= F.col("expected_roas")) & (F.col("expected_roas") <= F.col("upper_roas"))
@@ -310,7 +312,7 @@ def trained_contract(spark, sf):
 
 def over_models(spark, sf, one):
     """One result for each horizon and target, marked with both."""
-    rows, models = trained(spark, sf)
+    rows, models, _ = trained(spark, sf)
     samples = T.assembled(X.training_set(rows))
     out = None
     for h, m in models.items():

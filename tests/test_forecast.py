@@ -77,3 +77,31 @@ def test_holidays(spark):
     assert (a.is_holiday_week, a.is_q4, a.days_to_black_friday) == (1, 1, -1)
     assert (b.is_holiday_week, b.is_q4) == (0, 0)
     assert {r.is_q4 for r in W.holiday_features(df, "none").collect()} == {0}
+
+
+def test_thin_campaigns_get_wider_intervals(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from adtide.operators import training as T
+
+    rows = [(d, "A", 100, 1000 + (1 if d % 5 < 3 else -1) * (40 + d)) for d in range(60)]
+    daily = fact(spark, rows).withColumn("campaign_name", F.when(F.col("date") >= F.date_sub(F.max("date").over(W.Window.partitionBy(F.lit(1))), 11), "thin").otherwise("long"))
+    got = {r.segment: r.pooled_z for r in T.pooled_z(daily).collect()}
+    assert list(got) == ["thin"]
+
+    def residuals(v):
+        return [v[k] - np.mean(v[max(0, k - 7) : k]) for k in range(1, len(v))]
+
+    revenue = [r[3] for r in rows]
+    x = np.array(residuals(revenue[-12:]) + residuals(revenue))
+    z = min(1.65, max(0.75, float(np.quantile(abs(x - x.mean()) / x.std(ddof=1), 0.72))))
+    assert abs(got["thin"] - z) < 1e-4
+
+    one = spark.sql("""SELECT 'campaign' AS level, 30 AS horizon_days, 1000.0D AS expected_revenue, 10 AS history_days, 400.0D AS residual_sd,
+        0.0D AS revenue_sd, 1000.0D AS baseline_revenue_forecast, 0.5D AS revenue_weight, 1000.0D AS lower_band, 1000.0D AS upper_band""")
+    width = T.assemble_interval(one).first().half_width
+    wide = T.assemble_interval(one.withColumns({"pooled_z": F.lit(1.9), "interval_multiplier": F.lit(2.0)})).first().half_width
+    assert abs(wide / width - 1.9 / 0.95 * 2.0 / 1.6) < 1e-9
+    same = T.assemble_interval(one.withColumns({"pooled_z": F.lit(None).cast("double"), "interval_multiplier": F.lit(1.6)})).first().half_width
+    assert same == width
