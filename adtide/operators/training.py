@@ -88,10 +88,19 @@ def cross_validated_r2(samples: DataFrame, model: GBTRegressor, folds: int = 3,
     return float(cv.fit(samples).avgMetrics[0])
 
 
+def revenue_weight(horizon: int, beats: bool, r2: float | None) -> float:
+    """Weight of the trained revenue by holdout evidence; without a measured R2 the two higher tiers are out of reach."""
+    strong, fair, only, none = REVENUE_WEIGHTS[horizon]
+    if not beats:
+        return none
+    return only if r2 is None or r2 < 0.05 else fair if r2 < 0.15 else strong
+
+
 def train_horizon(samples: DataFrame, horizon: int, scale: float = 1.0, cross_validate: bool = True) -> HorizonModel | None:
     """Fit one horizon. ``samples`` are the assembled rows of that horizon; None if there are too few.
 
-    ``scale`` shortens the ensembles and ``cross_validate`` off leaves R2 at 0, both for quick runs. Only scalar metrics reach the driver. The band of the log residuals is an approximate quantile, within 0.01 % of rank.
+    ``scale`` shortens the ensembles and ``cross_validate`` off leaves R2 unknown (null) and the
+    weight without its two higher tiers, both for quick runs. Only scalar metrics reach the driver. The band of the log residuals is an approximate quantile, within 0.01 % of rank.
     """
     rows = chronological(samples).persist()
     try:
@@ -117,9 +126,8 @@ def train_horizon(samples: DataFrame, horizon: int, scale: float = 1.0, cross_va
             F.avg(F.abs(F.col("future_revenue") - F.col("baseline_revenue_forecast"))).alias("base"),
         ).first()
         beats = errors["model"] is not None and errors["model"] < errors["base"]
-        r2 = cross_validated_r2(rows, revenue_gbt) if cross_validate else 0.0
-        strong, fair, only, none = REVENUE_WEIGHTS[horizon]
-        weight = strong if beats and r2 >= 0.15 else fair if beats and r2 >= 0.05 else only if beats else none
+        r2 = cross_validated_r2(rows, revenue_gbt) if cross_validate else None
+        weight = revenue_weight(horizon, beats, r2)
 
         mean_roas = train.agg(F.avg("roas_target")).first()[0]
         roas_errors = roas_gbt.fit(train).transform(held).agg(

@@ -283,7 +283,7 @@ def trained(spark, sf):
 
 @query("fc7_training_report")
 def training_report(spark, sf):
-    """Cross-validated R2, holdout errors and weights per horizon."""
+    """Holdout errors and weights per horizon; cv_r2 is null, since the registered fits skip the cross-validation."""
     return T.training_report(spark, trained(spark, sf)[1])
 
 

@@ -105,3 +105,15 @@ def test_thin_campaigns_get_wider_intervals(spark):
     assert abs(wide / width - 1.9 / 0.95 * 2.0 / 1.6) < 1e-9
     same = T.assemble_interval(one.withColumns({"pooled_z": F.lit(None).cast("double"), "interval_multiplier": F.lit(1.6)})).first().half_width
     assert same == width
+
+
+def test_unmeasured_r2_is_null(spark):
+    from adtide.operators import training as T
+
+    class Trees:
+        getNumTrees = 3
+
+    one = T.HorizonModel(Trees, Trees, 0.1, 0.1, 0.0, 1.0, (0.0, 0.0), {"cv_r2": None, "beats": 1.0, "model_mae": 1.0, "baseline_mae": 2.0, "roas_beats": 0.0})
+    assert T.training_report(spark, {30: one}).first().cv_r2 is None
+    assert [T.revenue_weight(30, True, r2) for r2 in (None, 0.04, 0.05, 0.15)] == [0.10, 0.10, 0.25, 0.60]
+    assert T.revenue_weight(90, False, 0.5) == 0.08
