@@ -1,7 +1,7 @@
 """Walk-forward evaluation, model comparison and calibration queries.
 
 The scored table is exact: the safe baseline at each fold start, and the same forecast without its trend as
-the challenger. The fitted models are evaluated in ``catalog.models``.
+the challenger, in the columns ``trained_*``. No fitted model is walked forward; ``catalog.models`` has one holdout each.
 """
 
 from __future__ import annotations
