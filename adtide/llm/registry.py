@@ -1,4 +1,4 @@
-"""The thin registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The thin registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from adtide.llm.mixing import mix_sources
 from adtide.llm.redaction import KINDS, personal_spans, span_digest
 from adtide.llm.sharding import minimax_shards
 from adtide.llm.suffixes import drop_repeated_bytes
+from adtide.llm.urlrules import default_patterns, judged, rules_of
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +118,34 @@ SELECT page_id, CASE page_id % 97 WHEN 13 THEN 'missing' ELSE 'altered' END AS s
   sha256(record) AS expected, CASE page_id % 97 WHEN 11 THEN sha256(changed) END AS found
 FROM o WHERE page_id % 97 IN (11, 13)
 UNION ALL SELECT -1 - page_id, 'extra', 0, 0, NULL, sha256(moved) FROM o WHERE page_id % 97 = 17"""
+
+
+# The rules of the contract, as (host and path, action).
+SITE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@register
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = rules_of(spark, [("site", r, a) for r, a in SITE_RULES]).unionByName(default_patterns(spark))
+    return judged(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+_SEP = "(^|[^A-Za-z0-9]|$)"
+_WORDS = "ads|adserver|adult|banners|bets|betting|casino|pills|poker|porn|replica|viagra|xxx"
+ORACLE["op11_url_filters"] = rf"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*(.*)$', 1, 's') AS tail FROM p),
+r AS (SELECT *, host || tail AS t, CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
+m AS (SELECT page_id, host, path, rule, list_filter([
+  {', '.join(f"CASE WHEN regexp_matches(t, '{_SEP}{w}{_SEP}') THEN '^{w}^' END" for w in _WORDS.split('|'))},
+  CASE WHEN regexp_matches(t, '^([^/?#]*\.)?.*/cgi-bin/', 's') THEN '||*/cgi-bin/' END, CASE WHEN regexp_matches(t, '^([^/?#]*\.)?.*/wp-admin/', 's') THEN '||*/wp-admin/' END,
+  CASE WHEN regexp_matches(t, '/login{_SEP}') THEN '/login^' END, CASE WHEN regexp_matches(t, '/cart{_SEP}') THEN '/cart^' END,
+  CASE WHEN contains(t, '?sessionid=') THEN '?sessionid=' END, CASE WHEN contains(t, '&sessionid=') THEN '&sessionid=' END,
+  {', '.join(f"CASE WHEN ends_with(t, '.{e}') THEN '.{e}|' END" for e in ('exe', 'zip', 'jpg', 'png'))}], lambda x: x IS NOT NULL) AS fits FROM r)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NULL AND len(fits) > 0 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NULL THEN list_reverse_sort(list_transform(fits, lambda x: struct_pack(n := length(x), x := x)))[1].x END AS pattern FROM m"""
