@@ -51,12 +51,19 @@ def compiled(rules: DataFrame) -> DataFrame:
     """
     rule, site = F.col("rule"), F.col("kind") == "site"
     host, path = F.translate(F.substring_index(rule, "/", 1), UPPER, LOWER), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)")
-    domain = r"^(?:[^/?#]*\.)?"
-    of_site = F.concat(F.lit(domain), _escaped(host), F.when(path == "", r"(?:[/?#]|$)").otherwise(_escaped(path)))
+    of_site = F.concat(F.lit(r"^(?:[^/?#]*\.)?"), _escaped(host), F.when(path == "", r"(?:[/?#]|\z)").otherwise(_escaped(path)))
     body = F.regexp_replace(rule, r"^\|\|?|\|$", "")
-    symbol = lambda c: F.when(c == "*", ".*").when(c == "^", "(?:^|[^A-Za-z0-9]|$)").otherwise(_escaped(c))
-    start = F.when(rule.startswith("||"), domain).when(rule.startswith("|"), "^").otherwise("")
-    of_pattern = F.concat(start, F.array_join(F.transform(F.split(body, ""), symbol), ""), F.when(rule.endswith("|"), "$").otherwise(""))
+    pieces = F.filter(F.split(body, r"\*"), lambda p: p != "")
+    symbol = lambda c: F.when(c == "^", r"(?:^|[^A-Za-z0-9]|\z)").otherwise(_escaped(c))
+
+    def piece(p: Column, i: Column) -> Column:
+        """The first place of the piece behind the one before; atomic, so that a long URL is read once."""
+        lead = F.when((i > 0) | body.startswith("*") | ~rule.startswith("|"), ".*?").when(rule.startswith("||"), r"(?:[^/?#]*?\.)??").otherwise("")
+        found = F.concat(lead, F.array_join(F.transform(F.split(p, ""), symbol), ""))
+        at_end = (i == F.size(pieces) - 1) & rule.endswith("|") & ~body.endswith("*")
+        return F.when(at_end, F.concat(found, F.lit(r"\z"))).otherwise(F.concat(F.lit("(?>"), found, F.lit(")")))
+
+    of_pattern = F.concat(F.lit("^"), F.array_join(F.transform(pieces, piece), ""))
     bounded = F.when(site, F.concat(F.lit("|"), host, F.when(path == "", "/").otherwise(path))).otherwise(rule)
     tokens = F.regexp_extract_all(F.translate(bounded, UPPER, LOWER), F.lit("(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])"), F.lit(0))
     usable = rules.where(F.length(F.translate("rule", "|*^", "")) > 0).where(F.col("kind").isin("site", "pattern") & F.col("action").isNotNull())
