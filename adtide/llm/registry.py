@@ -10,6 +10,7 @@ from adtide.llm.fixity import audit
 from adtide.llm.jaccard import jaccard_classes
 from adtide.llm.kdtree import top_k
 from adtide.llm.language import fit_prototypes, identify
+from adtide.llm.manifest import tampered_proofs
 from adtide.llm.mixing import mix_sources
 from adtide.llm.redaction import KINDS, personal_spans, span_digest
 from adtide.llm.sharding import minimax_shards
@@ -149,3 +150,39 @@ m AS (SELECT page_id, host, path, rule, list_filter([
   {', '.join(f"CASE WHEN ends_with(t, '.{e}') THEN '.{e}|' END" for e in ('exe', 'zip', 'jpg', 'png'))}], lambda x: x IS NOT NULL) AS fits FROM r)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NULL AND len(fits) > 0 THEN 'block' ELSE 'allow' END AS verdict,
   CASE WHEN rule IS NULL THEN list_reverse_sort(list_transform(fits, lambda x: struct_pack(n := length(x), x := x)))[1].x END AS pattern FROM m"""
+
+
+@register
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_proofs(table(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(**changed: str) -> str:
+    fields = {c: changed.get(c, c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in fields.values()) + ")"
+
+
+_CRC_SQL = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END))"""
+_LEVELS_SQL = """SELECT {g}, 0 AS lvl, pos, hash, n FROM {of} UNION ALL
+  SELECT {g}, lvl + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY {g}, lvl, pos // 2"""
+# Nodes level by level; the path of a document runs through its tree (up to lvl 100) and on through the tree of roots.
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql()} AS hash,
+  CASE WHEN xor({_CRC_SQL}, 4294967295::BIGINT) % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf_sql(n_chars='(n_chars + 1)')} END AS bad FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, hash) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+nodes AS ({_LEVELS_SQL.format(g='g', of='leaves', name='nodes')}),
+subs AS (SELECT g, hash, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS ({_LEVELS_SQL.format(g="''", of='subs', name='tops').replace("'', 0 AS", "'' AS g, 0 AS").replace("GROUP BY '', ", "GROUP BY ")}),
+steps AS (SELECT DISTINCT g, lvl FROM nodes WHERE n > 1),
+ways AS (
+  SELECT l.doc_id, l.pos AS leaf_pos, l.g, e.lvl, (l.pos >> e.lvl) % 2 = 1 AS is_left, s.hash FROM leaves l JOIN steps e ON e.g = l.g
+    LEFT JOIN nodes s ON s.g = l.g AND s.lvl = e.lvl AND s.pos = xor(l.pos >> e.lvl, 1)
+  UNION ALL SELECT l.doc_id, l.pos, l.g, 100 + t.lvl, (b.pos >> t.lvl) % 2 = 1, s.hash FROM leaves l JOIN subs b ON b.g = l.g JOIN (SELECT DISTINCT lvl FROM tops WHERE n > 1) t ON true
+    LEFT JOIN tops s ON s.lvl = t.lvl AND s.pos = xor(b.pos >> t.lvl, 1)),
+path AS (SELECT g, leaf_pos, coalesce(string_agg(hash, '' ORDER BY lvl), '') AS sibs,
+  list(struct_pack(l := is_left, h := coalesce(hash, '')) ORDER BY lvl) AS way FROM ways GROUP BY g, leaf_pos),
+folded AS (SELECT l.*, coalesce(p.sibs, '') AS sibs, list_reduce(list_concat([struct_pack(l := false, h := coalesce(l.bad, l.hash))], coalesce(p.way, [])),
+  lambda a, b: struct_pack(l := false, h := CASE WHEN b.l THEN sha256(b.h || a.h) ELSE sha256(a.h || b.h) END)).h AS folded_root FROM leaves l LEFT JOIN path p ON p.g = l.g AND p.leaf_pos = l.pos)
+SELECT doc_id, f.hash AS leaf, s.hash AS subroot, t.hash AS root, sha256(sibs) AS proof_sha256, folded_root, folded_root = t.hash AS verified
+FROM folded f JOIN subs s ON s.g = f.g JOIN (SELECT hash FROM tops WHERE n = 1) t ON true"""
