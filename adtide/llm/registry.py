@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adtide.llm.automaton import drop_repeated_passages
@@ -15,6 +17,7 @@ from adtide.llm.mixing import mix_sources
 from adtide.llm.redaction import KINDS, personal_spans, span_digest
 from adtide.llm.sharding import minimax_shards
 from adtide.llm.suffixes import drop_repeated_bytes
+from adtide.llm.tokenalign import aligned_counts
 from adtide.llm.urlrules import default_patterns, judged, rules_of
 
 QUERIES = {}
@@ -186,3 +189,9 @@ folded AS (SELECT l.*, coalesce(p.sibs, '') AS sibs, list_reduce(list_concat([st
   lambda a, b: struct_pack(l := false, h := CASE WHEN b.l THEN sha256(b.h || a.h) ELSE sha256(a.h || b.h) END)).h AS folded_root FROM leaves l LEFT JOIN path p ON p.g = l.g AND p.leaf_pos = l.pos)
 SELECT doc_id, f.hash AS leaf, s.hash AS subroot, t.hash AS root, sha256(sibs) AS proof_sha256, folded_root, folded_root = t.hash AS verified
 FROM folded f JOIN subs s ON s.g = f.g JOIN (SELECT hash FROM tops WHERE n = 1) t ON true"""
+
+
+@register
+def op13_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/tokenizers") -> DataFrame:
+    a, b = (Path(tokenizers, name).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned_counts(table(spark, sf_dir, "documents"), a, b)
