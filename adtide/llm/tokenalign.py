@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -17,17 +19,62 @@ from adtide.llm.words import chunks
 TEXT_BYTES = 1 << 19  # of texts tokenised at a time
 COMMON = 1 << 15  # id pairs that go to every task: those with over a 2^-15 of all pair rows, so there are no more of them
 PAIRS = 1 << 20  # pairs expanded at a time
+KNOWN = 1 << 18  # parts of texts whose ids a task remembers, of at most LONG characters each
+LONG = 100
 
 
 class Encoder(NamedTuple):
-    """Ids of texts, and the byte length and bytes of each id."""
+    """Ids of texts, and the bytes of each id."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[list[str]], list[np.ndarray]]
     pieces: list[bytes]
 
 
+def arrays(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], list[np.ndarray]]:
+    return lambda texts: [np.asarray(ids, np.int32) for ids in encode(texts)]
+
+
+def by_parts(encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes], cut: str, outer: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Encodes the different parts of the texts once. ``cut`` splits where no token can reach across.
+
+    New parts but those that ``outer`` finds may stand between two cuts, so they are encoded as one text, whose ids are
+    dealt by the parts' bytes.
+    """
+    split, alone, sizes = re.compile(cut).split, re.compile(outer).search, np.array([len(p) for p in pieces], np.int64)
+    known: dict[str, bytes] = {}
+
+    def learn(new: set[str]) -> None:
+        inside = [p for p in new if not alone(p)]
+        ids = np.asarray(encode(["".join(inside)])[0] if inside else [], np.int32)
+        ends = np.cumsum(sizes[ids])
+        want = np.fromiter(map(len, map(str.encode, inside)), np.int64, len(inside)).cumsum()
+        at = np.minimum(np.searchsorted(ends, want), max(len(ends) - 1, 0))
+        if inside and ends[-1] == want[-1] and (ends[at] == want).all():
+            flat, stop = ids.tobytes(), ((at + 1) * 4).tolist()
+            known.update(zip(inside, map(flat.__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
+        rest = [p for p in new if p not in known]
+        known.update(zip(rest, (x.tobytes() for x in arrays(encode)(rest)), strict=True))
+
+    def run(texts: list[str]) -> list[np.ndarray]:
+        if len(known) > KNOWN:
+            known.clear()
+        parts = list(map(split, texts))
+        new = set().union(*parts).difference(known)
+        learn(new)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in parts]
+        for p in [p for p in new if len(p) > LONG]:
+            del known[p]
+        return out
+
+    return run
+
+
 def byte_level(data: bytes) -> Encoder:
-    """A byte-level tokenizer from its JSON; strings of special tokens are plain text."""
+    """A byte-level tokenizer from its JSON; strings of special tokens are plain text.
+
+    Where its pattern splits words off first (``use_regex``), no match holds a blank behind a character that is none, and none
+    looks back, so texts may be cut there.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -39,7 +86,11 @@ def byte_level(data: bytes) -> Encoder:
     pieces = [b""] * t.get_vocab_size()
     for piece, k in t.get_vocab().items():
         pieces[k] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
-    return Encoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], pieces)
+    shape = json.loads(data)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    words = shape.get("normalizer") is None and plain.items() <= (shape.get("pre_tokenizer") or {}).items()
+    encode = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    return Encoder(by_parts(encode, pieces, r"(?<=\S)(?=[ \n])", r"^[^ \n]|\s\Z|\A\Z") if words else arrays(encode), pieces)
 
 
 def sentence_piece(data: bytes) -> Encoder:
@@ -48,7 +99,7 @@ def sentence_piece(data: bytes) -> Encoder:
 
     m = sentencepiece.SentencePieceProcessor(model_proto=data)
     pieces = [bytes([int(m.id_to_piece(k)[3:5], 16)]) if m.is_byte(k) else m.id_to_piece(k).replace("▁", " ").encode() for k in range(m.get_piece_size())]
-    return Encoder(lambda texts: m.encode(texts, num_threads=1), pieces)
+    return Encoder(arrays(lambda texts: m.encode(texts, num_threads=1)), pieces)
 
 
 def labels(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,13 +135,13 @@ def align(texts: list[str | None], a: Encoder, b: Encoder, lengths: tuple[np.nda
     kept = []
     for k, x, y in zip(here, ids_a, ids_b, strict=True):
         whole = b" " + texts[k].encode()
-        if b"".join(map(a.pieces.__getitem__, x)) == whole == b"".join(map(b.pieces.__getitem__, y)):
+        if b"".join(map(a.pieces.__getitem__, x.tolist())) == whole == b"".join(map(b.pieces.__getitem__, y.tolist())):
             kept.append((k, x, y))
     counts = np.zeros((len(texts), 3), np.int64)
     sides = []
     for s in (1, 2):
-        rows = [np.asarray(r[s], np.int64) for r in kept]
-        ids = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        rows = [r[s] for r in kept]
+        ids = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
         doc = np.repeat(np.asarray([r[0] for r in kept], np.int64), [len(r) for r in rows])
         sides.append((ids, doc, np.cumsum(lengths[s - 1][ids])))  # texts follow each other: each ends where both sides end
         counts[:, s - 1] = np.bincount(doc, minlength=len(texts))
@@ -98,9 +149,10 @@ def align(texts: list[str | None], a: Encoder, b: Encoder, lengths: tuple[np.nda
     if len(x) == 0:
         return Alignment((x, y), (doc_a, doc_b), (x, y), counts)
     to_a, to_b = labels(end_a, end_b)
-    final, group_a = np.unique(to_a, return_inverse=True)
+    last = np.append(to_a[1:] != to_a[:-1], True)
+    final, group_a = to_a[last], np.cumsum(last) - last
     counts[:, 2] = np.bincount(doc_a[final], minlength=len(texts))
-    return Alignment((x, y), (doc_a, doc_b), (group_a, np.searchsorted(final, to_b)), counts)
+    return Alignment((x, y), (doc_a, doc_b), (group_a, group_a[to_b]), counts)
 
 
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -165,3 +165,18 @@ def test_query(spark, tmp_path):
     spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["op13_token_alignment"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=str) == plain(rows, data())
+
+
+def test_parts_as_whole_texts():
+    """Encoding the parts of texts gives the ids of the whole texts, whatever blanks stand between them."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    signs = [chr(c) for c in [*range(256), 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2581, 0x301, 0x200D, 0x1F600, 0x4E00, 0x94D]]
+    signs += [" "] * 60 + ["\n"] * 15 + ["'s", "the", "ing", " <|endoftext|>"] * 5
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(80))) for _ in range(6000)]
+    t = Tokenizer.from_str(data()[0].decode())
+    t.encode_special_tokens = True
+    encode = tokenalign.byte_level(data()[0]).encode
+    for part in (texts[:3000], texts[3000:], texts[2000:4000]):
+        assert [x.tolist() for x in encode([" " + x for x in part])] == [e.ids for e in t.encode_batch([" " + x for x in part], add_special_tokens=False)]
