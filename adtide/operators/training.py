@@ -1,20 +1,22 @@
-"""Per-horizon gradient-boosted trees (MLlib), blended with the run-rate baseline."""
+"""Per-horizon gradient-boosted trees, fit as a grid of tasks and blended with the run-rate baseline."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adtide.functions.exprs import clamp, lookup, safe_ratio
 from adtide.functions.tables import attach
-from adtide.operators.evaluate import parent_channel_pool, z_calibration
+from adtide.operators import boosting
+from adtide.operators.boosting import Settings, Trees
+from adtide.operators.evaluate import fold_list, fold_states, parent_channel_pool, walk_forward, z_calibration
 from adtide.operators.features import FEATURES, last_features, training_set
 from adtide.operators.forecast import POINTS, baseline_points, roas_interval, sanitize_monotone, segment_state
 from adtide.operators.rollup import segment_daily
@@ -35,57 +37,115 @@ from adtide.schema import (
     TRAINED_ANCHORED,
 )
 
+# Functions of fits and predictions travel to Python workers by value.
+cloudpickle.register_pickle_by_value(boosting)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Revenue weights by holdout evidence, per horizon: strong, fair, beats only, none. Fixed values.
 REVENUE_WEIGHTS = {30: (0.60, 0.25, 0.10, 0.10), 60: (0.10, 0.10, 0.10, 0.08), 90: (0.50, 0.40, 0.25, 0.08)}
-REVENUE_PARAMS = {30: (200, 0.05, 4, 0.8), 60: (85, 0.045, 3, 1.0), 90: (75, 0.04, 3, 1.0)}
+# Trees, rate, depth, share of rows and of features; ROAS and holdout fits have these trees at rate 0.05 and depth 2. Fixed values.
+REVENUE_PARAMS = {30: (200, 0.05, 4, 0.8, 0.8), 60: (85, 0.045, 3, 1.0, 1.0), 90: (75, 0.04, 3, 1.0, 1.0)}
 ROAS_TREES = {30: 80, 60: 70, 90: 60}
+BAND = {"lower": 0.12, "upper": 0.88}
+CV_SPLITS = 3
 LOW_SAMPLE_ROWS = 30  # training rows of all horizons together
+SAMPLE_ROWS = 2000  # labelled rows that the fits of one horizon and fold see, about: chosen by hash, the same at every size
 
 
 @dataclass
 class HorizonModel:
-    """Fitted trees of one horizon and the figures its forecasts need; all of them are scalars."""
+    """Fitted trees of one horizon and the figures its forecasts need."""
 
-    revenue: GBTRegressionModel
-    roas: GBTRegressionModel
+    revenue: Trees
+    roas: Trees
+    lower: Trees | None
+    upper: Trees | None
     revenue_weight: float
     roas_weight: float
     log_bias: float
     residual_sd: float
-    band: tuple[float, float] = (0.0, 0.0)
     diagnostics: dict[str, float | None] = field(default_factory=dict)
     low_sample: bool = False
 
 
-def assembled(df: DataFrame) -> DataFrame:
-    clean = df.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in FEATURES})
-    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(clean)
+def revenue_settings(h: int) -> Settings:
+    n, rate, depth, rows, features = REVENUE_PARAMS[h]
+    return Settings(n, rate, depth, rows, features, 42 + h)
 
 
-def booster(label: str, out: str, trees: int, rate: float, depth: int, share: float, seed: int) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, predictionCol=out, maxIter=trees, stepSize=rate, maxDepth=depth,
-        subsamplingRate=share, seed=seed, maxBins=64, minInstancesPerNode=1, checkpointInterval=10,
-    )
+def grid(h: int) -> dict[str, tuple[str, Settings]]:
+    """Label and settings of every fit of a horizon."""
+    small = Settings(ROAS_TREES[h], 0.05, 2, seed=142 + h)
+    fits = {"revenue": ("revenue_target", revenue_settings(h)), "roas": ("roas_target", small),
+            "holdout_revenue": ("revenue_target", small), "holdout_roas": ("roas_target", replace(small, seed=243 + h))}
+    fits |= {side: ("revenue_target", Settings(45, 0.05, 2, 0.9, seed=340 + h + 100 * (side == "upper"), quantile=q)) for side, q in BAND.items()}
+    return fits | {f"cv_{k}": ("revenue_target", revenue_settings(h)) for k in range(CV_SPLITS)}
 
 
-def chronological(samples: DataFrame) -> DataFrame:
-    """Marks the last fifth of the samples by target end date as the holdout.
+FITS = "horizon_days int, fold int, task string, n long, figures array<double>, start double, feature array<int>, threshold array<double>, value array<double>, gain array<double>"
 
-    The boundary is one exact quantile of the dates, which are few, so no global sort is needed.
-    """
-    day = F.datediff("target_end", F.to_date(F.lit("1970-01-01")))
-    cut = samples.agg(F.percentile(day, F.lit(0.8)).alias("_cut"))
-    return attach(samples.withColumn("_day", day), cut, ()).withColumn("holdout", F.col("_day") > F.col("_cut")).drop("_day", "_cut")
 
+def fit_one(rows: pd.DataFrame) -> pd.DataFrame:
+    """One fit of the grid: the rows of a horizon and fold, marked with the task, to its trees and figures.
 
-def cross_validated_r2(samples: DataFrame, model: GBTRegressor, folds: int = 3, parallelism: int = 2) -> float:
-    evaluator = RegressionEvaluator(labelCol=model.getLabelCol(), predictionCol=model.getPredictionCol(), metricName="r2")
-    cv = CrossValidator(
-        estimator=model, evaluator=evaluator, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds,
-        seed=420, parallelism=parallelism,
-    )
-    return float(cv.fit(samples).avgMetrics[0])
+    Figures: of a cross-validation R2; of the holdouts mean bias, error of the model and of the baseline (for ROAS the mean
+    of the training rows) on the last fifth by target end; of the final revenue fit sd of the residuals and mean level.
+    """
+    rows = rows.sort_values(["day", "pick"], kind="stable")
+    h, fold, task = int(rows["horizon_days"].iloc[0]), int(rows["fold"].iloc[0]), rows["task"].iloc[0]
+    label, settings = grid(h)[task]
+    x, y = np.stack(rows["x"].to_numpy()), rows[label].to_numpy()
+    base, actual, n = rows["baseline_revenue_forecast"].to_numpy(), rows["future_revenue"].to_numpy(), len(rows)
+    revenue = lambda delta, part: np.maximum(np.expm1(np.log1p(np.maximum(base[part], 0.0)) + delta), 0.0)
+    if task.startswith("cv_"):
+        held = np.random.default_rng(420 + h).permutation(n) % CV_SPLITS == int(task[3:])
+        trees = boosting.fit(x[~held], y[~held], settings)
+        spread = ((y[held] - y[held].mean()) ** 2).sum()
+        figures = [float(1.0 - ((y[held] - trees.predict(x[held])) ** 2).sum() / spread)] if spread > 0 else []
+    elif task.startswith("holdout"):
+        cut = n - max(1, n // 5)
+        trees, last = boosting.fit(x[:cut], y[:cut], settings), slice(cut, n)
+        guess = trees.predict(x[last])
+        if task == "holdout_revenue":
+            bias = float((y[last] - guess).mean())
+            figures = [bias, float(np.abs(actual[last] - revenue(guess + bias, last)).mean()), float(np.abs(actual[last] - base[last]).mean())]
+        else:
+            figures = [0.0, float(np.abs(y[last] - guess).mean()), float(np.abs(y[last] - y[:cut].mean()).mean())]
+    else:
+        trees, figures = boosting.fit(x, y, settings), []
+        if task == "revenue":
+            figures = [float(np.std(actual - revenue(trees.predict(x), slice(0, n)), ddof=1)), float(np.abs(actual).mean())]
+    kept = trees if not task.startswith(("cv_", "holdout")) else Trees(0.0, *(np.zeros(0),) * 4)
+    return pd.DataFrame([(h, fold, task, n, figures, kept.start, *(v.ravel().tolist() for v in (kept.feature, kept.threshold, kept.value, kept.gain)))],
+                        columns=[c.split()[0] for c in FITS.split(", ")])
+
+
+def vector() -> Column:
+    return F.array(*[F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in FEATURES])
+
+
+def sample(samples: DataFrame, keys: Sequence[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` labelled rows of each horizon and fold by a hash of the row's name; all of them where there are fewer."""
+    pick = F.pmod(F.xxhash64(F.lit(420), *keys, *SEGMENT, "date", "horizon_days"), F.lit(1 << 30)) / float(1 << 30)
+    marked = samples.withColumn("pick", pick)
+    sizes = marked.groupBy("horizon_days", "fold").agg(F.count("*").alias("of"))
+    return marked.join(sizes, ["horizon_days", "fold"]).where((F.col("pick") * F.col("of") < rows) & (F.col("of") >= MIN_TRAINED_ROWS))
+
+
+def in_folds(samples: DataFrame, last: DataFrame, keys: Sequence[str] = (), folds: int = 0) -> DataFrame:
+    """Samples with fold 0, all of them, and each walk-forward fold that starts after the sample's target has ended."""
+    df = attach(samples, last, keys)
+    mine = F.filter(fold_list(F.col("_last"), folds), lambda f: (f["horizon_days"] == F.col("horizon_days")) & (F.col("target_end") < f["start"])) if folds else F.array()
+    number = F.transform(mine, lambda f: f["fold"]) if folds else F.array().cast("array<int>")
+    return df.withColumn("fold", F.explode(F.concat(F.array(F.lit(0)), number))).drop("_last")
+
+
+def fit_grid(samples: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Every fit of every horizon and fold, one task each. ``samples`` are rows of the training set with a fold."""
+    day = F.datediff("target_end", F.to_date(F.lit("1970-01-01")))
+    some = sample(samples, keys, rows).select("horizon_days", "fold", "pick", day.alias("day"), vector().alias("x"), "revenue_target", "roas_target", "future_revenue", "baseline_revenue_forecast")
+    tasks = F.explode(F.array(*[F.lit(t) for t in grid(30)])).alias("task")
+    return some.select("*", tasks).groupBy("horizon_days", "fold", "task").applyInPandas(fit_one, FITS)
 
 
 def revenue_weight(horizon: int, beats: bool, r2: float | None) -> float:
@@ -96,65 +156,46 @@ def revenue_weight(horizon: int, beats: bool, r2: float | None) -> float:
     return only if r2 is None or r2 < 0.05 else fair if r2 < 0.15 else strong
 
 
-def train_horizon(samples: DataFrame, horizon: int, scale: float = 1.0, cross_validate: bool = True) -> HorizonModel | None:
-    """Fit one horizon. ``samples`` are the assembled rows of that horizon; None if there are too few.
-
-    ``scale`` shortens the ensembles and ``cross_validate`` off leaves R2 unknown (null) and the
-    weight without its two higher tiers, both for quick runs. Only scalar metrics reach the driver. The band of the log residuals is an approximate quantile, within 0.01 % of rank.
-    """
-    rows = chronological(samples).persist()
-    try:
-        if rows.count() < MIN_TRAINED_ROWS:
-            return None
-
-
-        def trees(n: int) -> int:
-            return max(2, int(n * scale))
-
-        n, rate, depth, share = REVENUE_PARAMS[horizon]
-        revenue_gbt = booster("revenue_target", "revenue_delta", trees(n), rate, depth, share, 42 + horizon)
-        probe = booster("revenue_target", "revenue_delta", trees(ROAS_TREES[horizon]), 0.05, 2, 1.0, 142 + horizon)
-        roas_gbt = booster("roas_target", "roas_prediction", trees(ROAS_TREES[horizon]), 0.05, 2, 1.0, 142 + horizon)
-        train, held = rows.filter(~F.col("holdout")), rows.filter("holdout")
-
-        log_base = F.log1p(F.greatest("baseline_revenue_forecast", F.lit(0.0)))
-        scored = probe.fit(train).transform(held)
-        bias = scored.agg(F.coalesce(F.avg(F.col("revenue_target") - F.col("revenue_delta")), F.lit(0.0))).first()[0]
-        predicted = F.greatest(F.expm1(log_base + F.col("revenue_delta") + bias), F.lit(0.0))
-        errors = scored.agg(
-            F.avg(F.abs(F.col("future_revenue") - predicted)).alias("model"),
-            F.avg(F.abs(F.col("future_revenue") - F.col("baseline_revenue_forecast"))).alias("base"),
-        ).first()
-        beats = errors["model"] is not None and errors["model"] < errors["base"]
-        r2 = cross_validated_r2(rows, revenue_gbt) if cross_validate else None
-        weight = revenue_weight(horizon, beats, r2)
-
-        mean_roas = train.agg(F.avg("roas_target")).first()[0]
-        roas_errors = roas_gbt.fit(train).transform(held).agg(
-            F.avg(F.abs(F.col("roas_target") - F.col("roas_prediction"))).alias("model"),
-            F.avg(F.abs(F.col("roas_target") - F.lit(mean_roas))).alias("base"),
-        ).first()
-        roas_beats = roas_errors["model"] is not None and roas_errors["model"] < roas_errors["base"]
-
-        revenue, roas = revenue_gbt.fit(rows), roas_gbt.fit(rows)
-        fitted = revenue.transform(rows).withColumns(
-            {
-                "_log_residual": F.col("revenue_target") - F.col("revenue_delta"),
-                "_residual": F.col("future_revenue") - F.greatest(F.expm1(log_base + F.col("revenue_delta")), F.lit(0.0)),
-            }
-        )
-        stats = fitted.agg(
-            F.coalesce(F.stddev_samp("_residual"), F.lit(0.0)).alias("sd"),
-            F.avg(F.abs("future_revenue")).alias("level"),
-            F.percentile_approx("_log_residual", [0.12, 0.88], 10000).alias("band"),
-        ).first()
-        return HorizonModel(
-            revenue, roas, weight, 0.60 if roas_beats else 0.10, float(bias), max(stats["sd"], stats["level"] * 0.05),
-            tuple(stats["band"]),
-            {"cv_r2": r2, "beats": float(beats), "model_mae": errors["model"], "baseline_mae": errors["base"], "roas_beats": float(roas_beats)},
-        )
-    finally:
-        rows.unpersist()
+def collected(fits: DataFrame) -> dict[tuple[int, int], HorizonModel]:
+    """(horizon, fold) to its model: some ten rows of trees each, whatever the number of samples."""
+    found: dict[tuple[int, int], dict] = {}
+    for r in fits.collect():
+        found.setdefault((r.horizon_days, r.fold), {})[r.task] = r
+    few = {fold: sum(t["revenue"].n for (_, k), t in found.items() if k == fold) < LOW_SAMPLE_ROWS for _, fold in found}
+    models = {}
+    for (h, fold), t in sorted(found.items()):
+        r2 = [t[f"cv_{k}"].figures[0] for k in range(CV_SPLITS) if t[f"cv_{k}"].figures]
+        cv = float(np.mean(r2)) if r2 else None
+        (bias, mae, base_mae), (_, roas_mae, roas_base) = t["holdout_revenue"].figures, t["holdout_roas"].figures
+        sd, level = t["revenue"].figures
+        models[h, fold] = HorizonModel(
+            *[_trees(t[k], grid(h)[k][1]) for k in ("revenue", "roas", "lower", "upper")], revenue_weight(h, mae < base_mae, cv), 0.60 if roas_mae < roas_base else 0.10,
+            bias, max(sd, level * 0.05), {"cv_r2": cv, "beats": float(mae < base_mae), "model_mae": mae, "baseline_mae": base_mae, "roas_beats": float(roas_mae < roas_base)}, few[fold])
+    return models
+
+
+def _trees(r, s: Settings) -> Trees:
+    inner = 2**s.depth - 1
+    return Trees(r.start, np.array(r.feature, np.int64).reshape(-1, inner), np.array(r.threshold).reshape(-1, inner), np.array(r.value).reshape(-1, inner + 1), np.array(r.gain))
+
+
+def predictor(parts: dict[tuple[int, int], dict[str, Trees]]) -> Callable[..., Column]:
+    """A column of predictions by horizon, fold and feature vector; null where there is no model."""
+    names = sorted({n for p in parts.values() for n in p})
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def predict(h: pd.Series, fold: pd.Series, x: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame(np.nan, index=range(len(x)), columns=names)
+        h, fold = h.to_numpy(), fold.to_numpy()
+        for (a, b), trees in parts.items():
+            at = np.flatnonzero((h == a) & (fold == b))
+            if len(at):
+                rows = np.stack(x.to_numpy()[at])
+                for n, t in trees.items():
+                    out.loc[at, n] = t.predict(rows)
+        return out
+
+    return predict
 
 
 def residual_bands(fitted: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -232,35 +273,41 @@ def selected_weight(horizon: int, configured: float, policy: dict[int, float] =
     return max(configured, 0.0) if policy.get(horizon, 0.0) > 0 else 0.0
 
 
-def score(features: DataFrame, models: dict[int, HorizonModel]) -> DataFrame:
-    """Transform each horizon's vectors with its model; the caller gives horizons without one the baseline."""
-    parts = []
-    for h, m in models.items():
-        rows = assembled(features.filter(F.col("horizon_days") == h))
-        out = m.roas.transform(m.revenue.transform(rows))
-        log_base = F.log1p(F.greatest("baseline_revenue_forecast", F.lit(0.0)))
-        centre = log_base + F.col("revenue_delta") + m.log_bias
-        parts.append(
-            out.withColumns(
-                {
-                    "trained_revenue": F.expm1(centre),
-                    "lower_band": F.expm1(centre + m.band[0]),
-                    "upper_band": F.expm1(centre + m.band[1]),
-                    "trained_roas": F.col("roas_prediction"),
-                    "revenue_weight": F.lit(selected_weight(h, m.revenue_weight)),
-                    "roas_weight": F.lit(m.roas_weight),
-                    "residual_sd": F.lit(float(m.residual_sd)),
-                    "interval_multiplier": F.lit(float((INTERVAL_MULTIPLIER_LOW_SAMPLE if m.low_sample else INTERVAL_MULTIPLIER)[h])),
-                }
-            ).drop("features", "revenue_delta", "roas_prediction")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def trained_predictions(features: DataFrame, models: dict[int, HorizonModel], keys: Sequence[str] = (), fact: DataFrame | None = None) -> DataFrame:
+def score(features: DataFrame, models: dict[tuple[int, int], HorizonModel]) -> DataFrame:
+    """Forecasts of each vector by the model of its horizon and fold; the caller gives those without one the baseline."""
+    predict = predictor({k: {"revenue": m.revenue, "roas": m.roas, "lower": m.lower, "upper": m.upper} for k, m in models.items()})
+    figures = {
+        "revenue_weight": lambda h, m: selected_weight(h, m.revenue_weight), "roas_weight": lambda h, m: m.roas_weight, "residual_sd": lambda h, m: m.residual_sd,
+        "_bias": lambda h, m: m.log_bias, "interval_multiplier": lambda h, m: (INTERVAL_MULTIPLIER_LOW_SAMPLE if m.low_sample else INTERVAL_MULTIPLIER)[h],
+    }
+    of = F.struct("horizon_days", "fold")
+    known = {c: F.coalesce(*[F.when(of == F.struct(F.lit(h), F.lit(k)), F.lit(float(f(h, m)))) for (h, k), m in models.items()]) for c, f in figures.items()}
+    rows = features.withColumns(known).where(F.col("residual_sd").isNotNull()).withColumn("_p", predict("horizon_days", "fold", vector()))
+    centre = F.log1p(F.greatest("baseline_revenue_forecast", F.lit(0.0))) + F.col("_bias")
+    return rows.withColumns(
+        {
+            "trained_revenue": F.expm1(centre + F.col("_p.revenue")),
+            "lower_band": F.expm1(centre + F.col("_p.lower")),
+            "upper_band": F.expm1(centre + F.col("_p.upper")),
+            "trained_roas": F.col("_p.roas"),
+        }
+    ).drop("_p", "_bias")
+
+
+def trained_points(vectors: DataFrame, state: DataFrame, models: dict[tuple[int, int], HorizonModel], by: Sequence[str], pooled: DataFrame | None = None) -> DataFrame:
+    """(by, horizon_days, points, model_type) of the vectors that have a model and a figure from it."""
+    df = blend(score(vectors, models)).join(state, list(by))
+    if pooled is not None:
+        df = df.join(pooled, [c for c in by if c in pooled.columns], "left")
+    df = assemble_interval(df)
+    df = df.withColumn("expected_spend", F.col("spend_28") / F.least(F.col("n"), F.lit(28)) * F.col("horizon_days"))
+    df = roas_interval(df, F.col("blended_roas"))
+    df = df.withColumn("model_type", F.when(F.col("revenue_weight") <= 1e-9, TRAINED_ANCHORED).otherwise(TRAINED))
+    kept = list(dict.fromkeys([*by, "horizon_days", *POINTS, "model_type"]))
+    return df.select(*kept).filter(F.col("expected_revenue").isNotNull() & ~F.isnan("expected_revenue"))
+
+
+def trained_predictions(features: DataFrame, models: dict[tuple[int, int], HorizonModel], keys: Sequence[str] = (), fact: DataFrame | None = None) -> DataFrame:
     """All segments and horizons in the output contract. ``features`` are unfiltered as-of vectors.
 
     ``fact``, the campaign fact behind them, widens the intervals of thin campaigns by ``pooled_z``.
@@ -270,39 +317,51 @@ def trained_predictions(features: DataFrame, models: dict[int, HorizonModel], ke
     by = [*keys, *SEGMENT]
     state = segment_state(features.filter(F.col("horizon_days") == HORIZONS[0]).select(*by, "date", *["spend", "revenue"]), keys)
     safe = baseline_points(state, None, keys).select(*by, "horizon_days", *POINTS, F.lit(SAFE_BASELINE).alias("model_type"))
-    if not models:
+    now = {k: m for k, m in models.items() if k[1] == 0}
+    if not now:
         return sanitize_monotone(safe, keys)
-    scored = score(last_features(features, keys), models)
-    df = blend(scored).join(state.select(*by, "revenue_sd", "roas_residuals", "roas_sd"), by)
-    if fact is not None:
-        df = df.join(pooled_z(fact, keys), by, "left")
-    df = assemble_interval(df)
-    df = df.withColumn("expected_spend", F.col("spend_28") / F.least(F.col("n"), F.lit(28)) * F.col("horizon_days"))
-    df = roas_interval(df, F.col("blended_roas"))
-    df = df.withColumn("model_type", F.when(F.col("revenue_weight") <= 1e-9, TRAINED_ANCHORED).otherwise(TRAINED))
-    fitted = df.select(*by, "horizon_days", *POINTS, "model_type").filter(F.col("expected_revenue").isNotNull())
+    vectors = last_features(features, keys).withColumn("fold", F.lit(0))
+    fitted = trained_points(vectors, state.select(*by, "revenue_sd", "roas_residuals", "roas_sd"), now, by, None if fact is None else pooled_z(fact, keys))
     rest = safe.join(fitted.select(*by, "horizon_days"), [*by, "horizon_days"], "left_anti")
     return sanitize_monotone(fitted.unionByName(rest.select(fitted.columns)), keys)
 
 
-def fit_all(features: DataFrame, keys: Sequence[str] = (), scale: float = 1.0, cross_validate: bool = True) -> dict[int, HorizonModel]:
-    """One model per horizon that has enough samples. ``features`` should be a written table: each fit reads it."""
-    samples = assembled(training_set(features, keys))
-    models = {h: train_horizon(samples.filter(F.col("horizon_days") == h), h, scale, cross_validate) for h in HORIZONS}
-    found = {h: m for h, m in models.items() if m is not None}
-    low = bool(found) and samples.limit(LOW_SAMPLE_ROWS).count() < LOW_SAMPLE_ROWS
-    return {h: replace(m, low_sample=low) for h, m in found.items()}
+def trained_walk_forward(features: DataFrame, daily: DataFrame, models: dict[tuple[int, int], HorizonModel], keys: Sequence[str] = (), folds: int = 4) -> DataFrame:
+    """``walk_forward`` with the forecasts of each fold's own models in ``trained_*`` and their ``model_type``.
+
+    A fold's models saw samples whose targets ended before its start (``in_folds``), and its vectors are those of each
+    segment's last day before it. Folds without a model take the safe forecast.
+    """
+    by, at = [*keys, *SEGMENT], [*keys, *SEGMENT, "horizon_days", "fold"]
+    safe = walk_forward(daily, keys, folds).drop("_run_rate")
+    states = fold_states(daily, keys, folds)
+    cut = states.select(*at, F.col("last_date").alias("date"))
+    vectors = features.join(cut, [*by, "horizon_days", "date"])
+    trained = trained_points(vectors, states.select(*at, "revenue_sd", "roas_residuals", "roas_sd"), models, at)
+    renamed = trained.select(*at, "model_type", *[F.col(p).alias(f"trained_{p}") for p in POINTS])
+    df = safe.join(renamed, at, "left")
+    own = {f"trained_{p}": F.coalesce(f"trained_{p}", f"safe_{p}") for p in POINTS}
+    return df.withColumns({**own, "model_type": F.coalesce("model_type", F.lit(SAFE_BASELINE))})
 
 
-def training_report(spark: SparkSession, models: dict[int, HorizonModel]) -> DataFrame:
+def fit_all(features: DataFrame, keys: Sequence[str] = (), folds: int = 0, rows: int = SAMPLE_ROWS, samples: DataFrame | None = None) -> dict[tuple[int, int], HorizonModel]:
+    """Models by horizon and fold, where there are enough samples: fold 0 on all, ``folds`` more for a walk-forward.
+
+    ``samples`` is the training set of the features, if it is written already."""
+    last = features.groupBy(*keys).agg(F.max("date").alias("_last"))
+    samples = training_set(features, keys) if samples is None else samples
+    return collected(fit_grid(in_folds(samples, last, keys, folds), keys, rows))
+
+
+def training_report(spark: SparkSession, models: dict[tuple[int, int], HorizonModel]) -> DataFrame:
     """Evidence and weights of each fitted horizon: three rows of model scalars."""
     fields = ("cv_r2", "beats", "model_mae", "baseline_mae", "roas_beats")
     rows = [
         (h, *(None if m.diagnostics[f] is None else float(m.diagnostics[f]) for f in fields), float(m.revenue_weight), float(m.roas_weight),
-         m.log_bias, float(m.residual_sd), *map(float, m.band), m.revenue.getNumTrees, m.roas.getNumTrees)
-        for h, m in models.items()
+         float(m.log_bias), float(m.residual_sd), len(m.revenue.value), len(m.roas.value))
+        for (h, fold), m in models.items() if fold == 0
     ]
-    names = ", ".join(f"{f} double" for f in (*fields, "revenue_weight", "roas_weight", "log_bias", "residual_sd", "lower_band", "upper_band"))
+    names = ", ".join(f"{f} double" for f in (*fields, "revenue_weight", "roas_weight", "log_bias", "residual_sd"))
     return spark.createDataFrame(rows, f"horizon_days int, {names}, revenue_trees int, roas_trees int")
 
 
@@ -323,29 +382,20 @@ def estimate_missing_spend(fact: DataFrame, benchmarks: DataFrame, keys: Sequenc
     return out.withColumn("roas", safe_ratio("revenue", "spend")).drop("_s", "_r", "_channel", "_campaign_type")
 
 
-def feature_importance(model: GBTRegressionModel, samples: DataFrame, label: str, n: int = 6) -> DataFrame:
+def feature_importance(model: Trees, samples: DataFrame, label: str, n: int = 6) -> DataFrame:
     """Normalised importance of the top features, signed by their correlation with the label."""
-    weights = {f: float(w) for f, w in zip(FEATURES, model.featureImportances.toArray())}
+    weights = {f: float(w) for f, w in zip(FEATURES, model.gain, strict=True)}
     total = sum(weights.values()) or 1.0
     # One aggregate per feature in one pass; the model scalars then join as constants.
     y = F.col(label)
     one = samples.agg(*[F.try_divide(F.covar_pop(F.col(f), y), F.stddev_pop(f) * F.stddev_pop(y)).alias(f) for f in FEATURES])
-    long = one.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(f).alias("feature"), F.lit(w / total * 100.0).alias("importance"), F.col(f).alias("correlation"))
-                    for f, w in weights.items()
-                ]
-            )
-        )
-    )
+    rows = [F.struct(F.lit(f).alias("feature"), F.lit(w / total * 100.0).alias("importance"), F.col(f).alias("correlation")) for f, w in weights.items()]
     sign = F.when(F.col("correlation") < 0, "negative").otherwise("positive")
-    return long.orderBy(F.col("importance").desc(), "feature").limit(n).withColumn("direction", sign)
+    return one.select(F.inline(F.array(*rows))).orderBy(F.col("importance").desc(), "feature").limit(n).withColumn("direction", sign)
 
 
 def local_drivers(
-    current: DataFrame, samples: DataFrame, model: GBTRegressionModel, features: Sequence[str], by: Sequence[str], n: int = 3
+    current: DataFrame, samples: DataFrame, model: Trees, features: Sequence[str], by: Sequence[str], n: int = 3
 ) -> DataFrame:
     """Largest prediction change when one feature takes its median or a quartile; top n each way per row.
 
@@ -353,17 +403,16 @@ def local_drivers(
     """
     quartiles = samples.agg(*[F.percentile_approx(f, [0.5, 0.25, 0.75], 10000).alias(f"_q_{f}") for f in features])
     base = attach(current, quartiles, ())
+
     def replacements(f: str) -> Column:
         return F.transform(F.col(f"_q_{f}"), lambda v: F.struct(F.lit(f).alias("feature"), v.cast("double").alias("value")))
 
-    options = F.explode(F.flatten(F.array(*[replacements(f) for f in features])))
-    rows = base.withColumn("_o", options)
-    changed = rows.withColumns(
-        {f: F.when(F.col("_o.feature") == f, F.col("_o.value")).otherwise(F.col(f)) for f in features}
-    )
-    out = model.getPredictionCol()
-    before = model.transform(assembled(current)).select(*by, F.col(out).alias("_before"))
-    after = model.transform(assembled(changed)).select(*by, F.col("_o.feature").alias("feature"), F.col(out).alias("_after"))
+    rows = base.withColumn("_o", F.explode(F.flatten(F.array(*[replacements(f) for f in features]))))
+    changed = rows.withColumns({f: F.when(F.col("_o.feature") == f, F.col("_o.value")).otherwise(F.col(f)) for f in features})
+    predict = predictor({(0, 0): {"p": model}})
+    guess = predict(F.lit(0), F.lit(0), vector())["p"]
+    before = current.select(*by, guess.alias("_before"))
+    after = changed.select(*by, F.col("_o.feature").alias("feature"), guess.alias("_after"))
     impact = after.join(before, list(by)).withColumn("impact", F.col("_before") - F.col("_after"))
     strongest = impact.groupBy(*by, "feature").agg(F.max_by("impact", F.abs("impact")).alias("impact"))
     kept = strongest.filter(F.abs("impact") > 1e-6).withColumn("direction", F.when(F.col("impact") > 0, "positive").otherwise("negative"))

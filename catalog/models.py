@@ -11,8 +11,8 @@ from adtide.operators import rollup as R
 from adtide.operators import training as T
 from adtide.operators.forecast import segment_state
 from adtide.operators.windows import one_step_residuals
-from adtide.plans.facts import campaign_fact
-from adtide.schema import HORIZONS, INTERVAL_FLOOR_PCT, INTERVAL_MULTIPLIER, HORIZON_Z, LEVEL_INTERVAL_FACTOR, BASELINE_ANCHORED_SCALE, LONG_HORIZON_SCALE
+from adtide.plans.facts import campaign_fact, table
+from adtide.schema import BLEND_CANDIDATES, HORIZONS, INTERVAL_FLOOR_PCT, INTERVAL_MULTIPLIER, HORIZON_Z, LEVEL_INTERVAL_FACTOR, BASELINE_ANCHORED_SCALE, LONG_HORIZON_SCALE
 from adtide.session import checkpoint
 from catalog.base import clean, cte, div, query, r, sql
 from catalog.forecasts import per_h
@@ -266,31 +266,38 @@ def estimate_missing_spend(spark, sf):
 
 
 # --- fitted trees: figures depend on the fit, so SQL checks what the contract fixes ----------------
-SMOKE = 0.05  # share of the full tree counts; in full one set of fits takes more than 20 minutes on 8 threads
-FITTED: dict[tuple[str, str], tuple] = {}
+FITTED: dict[tuple, tuple] = {}
+FOLDS = 4
+
+
+def version(spark, sf) -> tuple:
+    """Changes when a file of the fact tables does."""
+    parts = [table(spark, sf, t).select(F.max("_metadata.file_modification_time").alias("t"), F.count("*").alias("n")).first() for t in ("orders", "customer", "part", "lineitem")]
+    return tuple((str(p.t), p.n) for p in parts)
 
 
 def trained(spark, sf):
-    """Features, models and campaign fact of one set of tables; a session fits them once."""
-    key = (spark.sparkContext.applicationId, sf)
+    """Features, models, campaign fact and samples of one set of tables; a session fits all horizons and folds once."""
+    key = (spark.sparkContext.applicationId, sf, version(spark, sf))
     if key not in FITTED:
         fact = checkpoint(campaign_fact(spark, sf))
         codes = [R.category_codes(fact, c) for c in ("channel", "campaign_type")]
         rows = checkpoint(X.segment_features(fact, *codes))
-        FITTED[key] = (rows, T.fit_all(rows, (), SMOKE, False), fact)
+        samples = checkpoint(X.training_set(rows))
+        FITTED[key] = (rows, T.fit_all(rows, (), FOLDS, samples=samples), fact, samples)
     return FITTED[key]
 
 
 @query("fc7_training_report")
 def training_report(spark, sf):
-    """Holdout errors and weights per horizon; cv_r2 is null, since the registered fits skip the cross-validation."""
+    """Cross-validated R2, holdout errors and weights per horizon."""
     return T.training_report(spark, trained(spark, sf)[1])
 
 
 @query("fc12_trained_predictions")
 def trained_predictions(spark, sf):
     """Trees per horizon, blend, intervals and the output contract (fc7 with fc9-fc12)."""
-    rows, models, fact = trained(spark, sf)
+    rows, models, fact, _ = trained(spark, sf)
     return T.trained_predictions(rows, models, (), fact)
 
 
@@ -300,7 +307,7 @@ def trained_predictions(spark, sf):
 )
 def trained_contract(spark, sf):
     """Every segment has each horizon, bounds are in order, and the centre stays within 0.5 to 2.5 baselines."""
-    rows, models, fact = trained(spark, sf)
+    rows, models, fact, _ = trained(spark, sf)
     out = T.trained_predictions(rows, models, (), fact)
     base = X.last_features(rows).select(*BY, "horizon_days", "baseline_revenue_forecast")
     b, e = F.col("baseline_revenue_forecast"), F.col("expected_revenue")
@@ -312,11 +319,10 @@ def trained_contract(spark, sf):
 
 def over_models(spark, sf, one):
     """One result for each horizon and target, marked with both."""
-    rows, models, _ = trained(spark, sf)
-    samples = T.assembled(X.training_set(rows))
+    rows, models, _, samples = trained(spark, sf)
     out = None
-    for h, m in models.items():
-        for target, model in (("revenue", m.revenue), ("roas", m.roas)):
+    for (h, fold), m in models.items():
+        for target, model in (("revenue", m.revenue), ("roas", m.roas)) if fold == 0 else ():
             part = one(rows.filter(F.col("horizon_days") == h), samples.filter(F.col("horizon_days") == h), model, target)
             part = part.withColumns({"horizon_days": F.lit(h), "target": F.lit(target)})
             out = part if out is None else out.unionByName(part)
@@ -333,3 +339,70 @@ def local_drivers(spark, sf):
     return over_models(
         spark, sf, lambda rows, samples, model, target: T.local_drivers(X.last_features(rows).select(*BY, *X.FEATURES), samples, model, X.FEATURES, BY)
     )
+
+
+# --- walk-forward of the fitted models (ev1 with its metrics, comparison and selection) -------------
+WALKED: dict[tuple, object] = {}
+
+
+def walked(spark, sf):
+    """The scored folds, written once a session: every metric starts from them."""
+    key = (spark.sparkContext.applicationId, sf, version(spark, sf))
+    if key not in WALKED:
+        rows, models, fact, _ = trained(spark, sf)
+        WALKED[key] = checkpoint(T.trained_walk_forward(rows, R.segment_daily(fact), models, (), FOLDS))
+    return WALKED[key]
+
+
+def walked_metrics(spark, sf):
+    return E.error_metrics(E.long_scores(walked(spark, sf)), ["horizon_days", "model", "target"])
+
+
+@query("ev1_trained_walk_forward")
+def trained_walk_forward(spark, sf):
+    """A row per segment, horizon and fold: actuals, safe forecast and that of models fit before the fold."""
+    return walked(spark, sf)
+
+
+@query(
+    "ev1_trained_contract",
+    sql(f"SELECT level, h AS horizon_days, CAST(k AS INTEGER) AS fold, start, count(*) AS n, sum(actual_revenue) AS actual_revenue, {r('sum(safe_expected_revenue)', 0)} AS safe_revenue, count(*) AS ordered FROM scored GROUP BY ALL", "scored"),
+)
+def trained_walk_contract(spark, sf):
+    """What the fits cannot change: every fold's segments, actuals and safe forecasts, and bounds around the centre."""
+    df = walked(spark, sf)
+    e = F.col("trained_expected_revenue")
+    ordered = (F.col("trained_lower_revenue") <= e) & (e <= F.col("trained_upper_revenue"))
+    return df.groupBy("level", "horizon_days", "fold", "start").agg(
+        F.count("*").alias("n"), F.sum("actual_revenue").alias("actual_revenue"), round_to(F.sum("safe_expected_revenue"), 0).alias("safe_revenue"), F.count_if(ordered).alias("ordered"))
+
+
+@query("ev2_trained_error_metrics")
+def trained_error_metrics(spark, sf):
+    return rounded(walked_metrics(spark, sf), *E.METRICS)
+
+
+@query("ev4_trained_paired_bootstrap")
+def trained_paired_bootstrap(spark, sf):
+    return E.paired_bootstrap(walked(spark, sf))
+
+
+@query("ev5_trained_blend_sweep")
+def trained_blend_sweep(spark, sf):
+    return E.blend_sweep(walked(spark, sf), BLEND_CANDIDATES)
+
+
+@query("ev6_trained_champion_challenger")
+def trained_champion_challenger(spark, sf):
+    return E.champion_challenger(walked_metrics(spark, sf), E.paired_bootstrap(walked(spark, sf)))
+
+
+@query("ev7_trained_winner_evidence")
+def trained_winner_evidence(spark, sf):
+    return E.winner_evidence(walked_metrics(spark, sf), ["horizon_days"])
+
+
+@query("ev12_trained_validation_table")
+def trained_validation_table(spark, sf):
+    metrics = walked_metrics(spark, sf)
+    return E.validation_table(metrics, E.winner_evidence(metrics, ["horizon_days"]))

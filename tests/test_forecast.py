@@ -108,12 +108,14 @@ def test_thin_campaigns_get_wider_intervals(spark):
 
 
 def test_unmeasured_r2_is_null(spark):
+    import numpy as np
+
     from adtide.operators import training as T
 
-    class Trees:
-        getNumTrees = 3
+    from adtide.operators.boosting import Settings, fit
 
-    one = T.HorizonModel(Trees, Trees, 0.1, 0.1, 0.0, 1.0, (0.0, 0.0), {"cv_r2": None, "beats": 1.0, "model_mae": 1.0, "baseline_mae": 2.0, "roas_beats": 0.0})
-    assert T.training_report(spark, {30: one}).first().cv_r2 is None
+    trees = fit(np.zeros((4, 2)), np.zeros(4), Settings(3, 0.1, 1))
+    one = T.HorizonModel(trees, trees, None, None, 0.1, 0.1, 0.0, 1.0, {"cv_r2": None, "beats": 1.0, "model_mae": 1.0, "baseline_mae": 2.0, "roas_beats": 0.0})
+    assert T.training_report(spark, {(30, 0): one}).first().cv_r2 is None
     assert [T.revenue_weight(30, True, r2) for r2 in (None, 0.04, 0.05, 0.15)] == [0.10, 0.10, 0.25, 0.60]
     assert T.revenue_weight(90, False, 0.5) == 0.08
