@@ -6,7 +6,7 @@ import csv
 import uuid
 from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,50 +14,61 @@ from pyspark.sql import functions as F
 from adtide.functions.exprs import non_negative
 from adtide.functions.text import channel_from_filename
 from adtide.schema import CANONICAL_COLUMNS, OUTPUT_COLUMNS, TEXT_DEFAULTS
-from adtide.session import shared_folder
+from adtide.session import checkpoint, shared_folder
 from adtide.sources.normalize import normalize_facts
-from adtide.sources.reconcile import union_sources
+from adtide.sources.reconcile import date_key, reconcile, union_sources
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """First line of one file; only that line leaves the executor."""
-    first = spark.read.text(path).head(1)
-    if not first or not first[0][0]:
-        return ()
-    return tuple(next(csv.reader([first[0][0].lstrip("﻿")])))
+def file_headers(spark: SparkSession, folder: str) -> list[tuple[str, tuple[str, ...], bool]]:
+    """(path, header, whether a quoted line break splits a record) of each ``*.csv`` that has a line with text.
+
+    One distributed pass over the lines: the header is the first line that is not blank, of which one row per file
+    reaches the driver, as the listing of the files does anyway.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    text = F.trim(F.regexp_replace("value", "^\ufeff", ""))
+    open_quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    found = lines.groupBy("path").agg(F.min(F.when(text != "", F.struct("block", "at", text.alias("text"))))["text"].alias("text"), F.max(open_quotes % 2 == 1).alias("split"))
+    return [(unquote(r.path), tuple(next(csv.reader([r.text]))), r.split) for r in found.where("text IS NOT NULL").collect()]
 
 
 def read_exports(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
-    """All ``*.csv`` of a folder in canonical columns with their file names; empty files are skipped.
+    """All ``*.csv`` of a folder in canonical columns with their file names; files without text are skipped.
 
-    Files with the same header line share one positional all-text scan, so headers that differ only in
-    case keep their own columns.
+    Blank lines before the header do not count. Files with the same header line share one positional all-text scan, so
+    headers that differ only in case keep their own columns. Files in which a quoted line break splits a record are read as
+    a whole (all files with ``multi_line``), others in splits. ``corrupt_record`` holds the text of a row with too many or
+    too few cells, whose other cells count as far as they go.
     """
-    listing = spark.read.option("pathGlobFilter", "*.csv").text(folder).inputFiles()
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p), listing))
-    shapes: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(listing, headers):
-        if header:
-            shapes[header].append(path)
+    shapes: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    for path, header, split in file_headers(spark, folder):
+        shapes[header, split or multi_line].append(path)
     if not shapes:
         raise ValueError(f"no readable CSV export in {folder}")
     frames = []
-    for header, paths in sorted(shapes.items()):
+    for (header, whole), paths in sorted(shapes.items()):
         physical = [f"c{i}" for i in range(len(header))]
         raw = (
-            spark.read.schema(", ".join(f"{c} STRING" for c in physical))
+            spark.read.schema(", ".join(f"{c} STRING" for c in [*physical, "corrupt_record"]))
             .option("header", True)
             .option("enforceSchema", True)
             .option("mode", "PERMISSIVE")
-            .option("multiLine", multi_line)
+            .option("columnNameOfCorruptRecord", "corrupt_record")
+            .option("multiLine", whole)
             .csv(sorted(paths))
-            .withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+            .withColumn("source_file", F.col("_metadata.file_name"))
         )
-        frames.append(normalize_facts(raw, dict(zip(physical, header)), carry=["source_file"]))
+        frames.append(normalize_facts(raw, dict(zip(physical, header)), carry=["source_file", "corrupt_record"]))
     return channel_from_source(union_sources(frames))
 
 
+def read_folder(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
+    """``read_exports`` with one revenue of record: store or web sales are spread over the media rows of their date."""
+    rows = read_exports(spark, folder, multi_line)
+    return reconcile(checkpoint(rows.withColumn("date", date_key(F.col("date")))))
+
+
 def channel_from_source(rows: DataFrame, file_column: str = "source_file") -> DataFrame:
     """Rows without a channel take it from their file's name where that names a platform."""
     missing = F.lower(F.trim("channel")).isin("", TEXT_DEFAULTS["channel"].lower(), "nan", "none", "null")

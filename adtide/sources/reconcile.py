@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adtide.functions.exprs import safe_ratio
 from adtide.functions.tables import attach
 from adtide.functions.text import parse_date
+from adtide.session import checkpoint
 
 WEIGHT_ORDER = ["revenue", "conversions", "spend", "clicks", "impressions"]
 
@@ -59,26 +60,30 @@ def reconcile(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     Authority rows remain only on dates without support; support-only dates are kept as they are.
     Keys without an authority pass through unchanged.
+
+    The totals of both sides come from one aggregation and are written, one row a date, so rows meet them in a single join
+    that needs no shuffle of the rows while the dates are few and splits a hot date otherwise.
     """
     tagged = attach(rows, revenue_authority(rows, keys), keys)
     on = [*keys, "date"]
-    is_authority = F.col("source_schema") == F.col("authority")
-    plain = tagged.filter(F.col("authority").isNull())
-    authority = tagged.filter(F.col("authority").isNotNull() & is_authority)
-    support = tagged.filter(F.col("authority").isNotNull() & ~is_authority)
-
-    daily = authority.groupBy(*on).agg(F.sum("revenue").alias("_authority_revenue"))
+    known = F.col("authority").isNotNull()
+    leads = known & (F.col("source_schema") == F.col("authority"))
+    of_support = lambda c: F.sum(F.when(~leads, F.col(c)))
+    totals = checkpoint(
+        tagged.filter(known).groupBy(*on).agg(
+            F.sum(F.when(leads, F.col("revenue"))).alias("_authority_revenue"), F.count_if(leads).alias("_leads"), F.count_if(~leads).alias("_rows"),
+            *[of_support(c).alias(f"_total_{c}") for c in WEIGHT_ORDER])
+    )
+    weight = F.when(F.lit(False), F.lit(0.0))
+    for c in WEIGHT_ORDER:
+        weight = weight.when(F.col(f"_total_{c}") > 0, safe_ratio(c, f"_total_{c}"))
+    weight = weight.otherwise(F.lit(1.0) / F.col("_rows"))
+    joined = tagged.join(totals, on, "left").filter(~known | ~leads | (F.col("_rows") == 0))
+    spread = known & ~leads & (F.col("_leads") > 0)
     label = F.concat(F.lit("reconciled_"), F.col("authority"))
-    matched = allocation_weights(support, on).join(daily, on, "left")
-    covered = F.col("_authority_revenue").isNotNull()
-    spread = matched.withColumns(
-        {
-            "revenue": F.when(covered, F.col("weight") * F.col("_authority_revenue")).otherwise(F.col("revenue")),
-            "source_schema": F.when(covered, F.concat(label, F.lit("_with_media"))).otherwise(F.col("source_schema")),
-        }
-    ).drop("weight", "_authority_revenue")
-    alone = authority.join(support.select(*on).distinct(), on, "left_anti").withColumn("source_schema", label)
-    return union_sources([plain, spread, alone]).drop("authority")
+    revenue = F.when(spread, weight * F.col("_authority_revenue")).otherwise(F.col("revenue"))
+    kind = F.when(spread, F.concat(label, F.lit("_with_media"))).when(leads, label).otherwise(F.col("source_schema"))
+    return joined.withColumns({"revenue": revenue, "source_schema": kind}).select(*rows.columns)
 
 
 def date_overlap(rows: DataFrame, source: str, keys: Sequence[str] = ()) -> DataFrame:

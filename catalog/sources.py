@@ -454,6 +454,19 @@ def reconcile_authority(spark, sf):
     return attach(rows, RC.revenue_authority(rows), ()).groupBy("authority").agg(F.count("*").alias("n"))
 
 
+@query(
+    "src1_read_folder",
+    sql(f"SELECT source_schema, channel, campaign_type, count(*) AS n, {r('sum(revenue)', 2)} AS revenue, sum(spend) AS spend FROM reconciled GROUP BY 1, 2, 3", "reconciled"),
+)
+def read_folder(spark, sf):
+    """The three exports as files of one folder, read back with one revenue of record."""
+    folder = EX.scratch_dir(spark, "folder")
+    for f in (ads_export, web_export, store_export):
+        f(spark, sf).drop("row").write.mode("append").option("header", True).csv(folder)
+    out = EX.read_folder(spark, folder).groupBy("source_schema", "channel", "campaign_type")
+    return rounded(out.agg(F.count("*").alias("n"), F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend")), "revenue", digits=2)
+
+
 @query("jn2_allocate_authority_revenue", sql(f"SELECT row, source_schema, date, channel, campaign_name, spend, {r('revenue')} AS revenue FROM reconciled", "reconciled"))
 def allocate_authority_revenue(spark, sf):
     out = RC.reconcile(keyed(spark, sf))

@@ -86,3 +86,25 @@ def test_reconciled_revenue_equals_the_authority(spark):
 def test_budgets_from_json(spark):
     df = spark.createDataFrame([('{"A": 5, "B": -3, "C": "x"}',), ("broken",)], "doc string")
     assert sorted((r.channel, r.budget) for r in exports.budgets_from_json(df, "doc").collect()) == [("A", 5.0), ("B", 0.0)]
+
+
+def test_blank_first_line_split_record_and_corrupt_row(spark, tmp_path):
+    (tmp_path / "blank.csv").write_text("\n  \ndate,channel,campaign_name,spend,revenue\n2026-01-01,Search,a,5,10\n")
+    (tmp_path / "split.csv").write_text('date,channel,campaign_name,spend,revenue\n2026-01-01,Search,"two\nlines",6,20\n2026-01-02,Search,b,7,30\n')
+    (tmp_path / "broken.csv").write_text("date,channel,campaign_name,spend,revenue\n2026-01-03,Search,c,8,40\n2026-01-03,Search,short\n")
+    (tmp_path / "none.csv").write_text("\n \n")
+    (tmp_path / "google ads é.csv").write_text("\ufeffdate,campaign_name,spend,revenue\n2026-01-04,d,9,50\n")
+    rows = exports.read_exports(spark, str(tmp_path)).collect()
+    got = {(r.source_file, r.campaign_name, r.spend, r.revenue, r.corrupt_record) for r in rows}
+    assert got == {
+        ("blank.csv", "a", 5.0, 10.0, None), ("split.csv", "two\nlines", 6.0, 20.0, None), ("split.csv", "b", 7.0, 30.0, None),
+        ("broken.csv", "c", 8.0, 40.0, None), ("broken.csv", "short", 0.0, 0.0, "2026-01-03,Search,short"), ("google ads é.csv", "d", 9.0, 50.0, None)}
+    assert {r.channel for r in rows if r.source_file.startswith("google")} == {"Google Ads"}
+
+
+def test_folder_counts_sales_once(spark, tmp_path):
+    (tmp_path / "store.csv").write_text("created_at,total_price,orders\n2026-01-01T00:00:00Z,100,2\n2026-01-05T00:00:00Z,40,1\n")
+    (tmp_path / "ads.csv").write_text("date,channel,campaign_type,campaign_name,spend,revenue\n2026-01-01,Search,s,a,5,30\n2026-01-01,Search,s,b,5,10\n2026-01-03,Search,s,b,5,8\n")
+    rows = sorted((r.date, r.campaign_name, r.revenue, r.source_schema) for r in exports.read_folder(spark, str(tmp_path)).collect())
+    assert [(d, v) for d, _, v, _ in rows] == [("2026-01-01", 75.0), ("2026-01-01", 25.0), ("2026-01-03", 8.0), ("2026-01-05", 40.0)]
+    assert rows[0][3] == "reconciled_shopify_with_media" and rows[3][3] == "reconciled_shopify"
