@@ -249,18 +249,43 @@ def conformal_scores(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.abs(F.col("actual_revenue") - expected) / expected)
 
 
+def values_at_ranks(df: DataFrame, by: Sequence[str], column: str, ranks: DataFrame) -> DataFrame:
+    """(by, name, value): the value at each ``rank`` (from 1, in ascending order) of a group of any size.
+
+    ``ranks`` has by, name and rank. Two passes: counts by narrow ranges of the value say which range holds the rank and how
+    many values lie below, then only that range is counted value by value. No task sees more of a group than the counts.
+    """
+    # Grows with the value: 64 ranges for each doubling of its size, from 2^-20 on, on either side of 0.
+    range_of = F.floor(F.signum(column) * F.log2(F.abs(F.col(column)) * float(1 << 20) + 1.0) * 64.0)
+    rows = df.filter(F.col(column).isNotNull()).withColumn("_range", range_of)
+    upto = lambda order, part: F.sum("_n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_upto", upto("_range", by))
+    held = sizes.join(ranks, list(by)).filter((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_n") < F.col("rank")))
+    held = held.select(*by, "_range", "name", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_left"))
+    inside = rows.join(held.select(*by, "_range").distinct(), [*by, "_range"]).groupBy(*by, "_range", column).agg(F.count("*").alias("_n"))
+    inside = inside.withColumn("_upto", upto(column, [*by, "_range"])).join(held, [*by, "_range"])
+    return inside.filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left"))).select(*by, "name", F.col(column).alias("value"))
+
+
 def conformal_quantiles(scores: DataFrame, by: Sequence[str], target: float = CONFORMAL_TARGET) -> DataFrame:
     """Split-conformal quantile of the scores, the next higher observed value."""
-    spec = Window.partitionBy(*by)
-    df = scores.withColumns({"_k": F.row_number().over(spec.orderBy("score")), "_n": F.count("*").over(spec)})
+    n = F.col("n")
     # alpha is 1 - target, as the level is defined on it.
-    level = F.least(F.ceil((F.col("_n") + 1) * (1.0 - (1.0 - target))) / F.col("_n"), F.lit(1.0))
-    pick = F.ceil(level * (F.col("_n") - 1)) + 1
-    return df.withColumn("_level", level).groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.max("_level").alias("quantile_level"),
-        F.max(F.when(F.col("_k") == pick, F.col("score"))).alias("quantile"),
-    )
+    level = F.least(F.ceil((n + 1) * (1.0 - (1.0 - target))) / n, F.lit(1.0))
+    sizes = scores.groupBy(*by).agg(F.count("*").alias("n")).withColumn("quantile_level", level)
+    ranks = sizes.select(*by, F.lit("q").alias("name"), (F.ceil(F.col("quantile_level") * (n - 1)) + 1).alias("rank"))
+    return sizes.join(values_at_ranks(scores, by, "score", ranks), list(by)).select(*by, "n", "quantile_level", F.col("value").alias("quantile"))
+
+
+def interpolated_quantiles(df: DataFrame, by: Sequence[str], column: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, n, one column per quantile), linear between the two neighbouring values, by exact ranks."""
+    sizes = df.groupBy(*by).agg(F.count(column).alias("n"))
+    at = {name: (F.col("n") - 1) * q for name, q in quantiles.items()}
+    wanted = F.inline(F.array(*[F.struct(F.lit(f"{name}{i}").alias("name"), (f(x) + 1).cast("long").alias("rank")) for name, x in at.items() for i, f in enumerate((F.floor, F.ceil))]))
+    found = values_at_ranks(df, by, column, sizes.select(*by, "n", wanted).drop("n"))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == f"{name}{i}", F.col("value"))).alias(f"_{name}{i}") for name in at for i in (0, 1)])
+    low, high = (lambda name: F.col(f"_{name}0")), (lambda name: F.col(f"_{name}1"))
+    return sizes.join(wide, list(by)).select(*by, "n", *[(low(k) + (high(k) - low(k)) * (x - F.floor(x))).alias(k) for k, x in at.items()])
 
 
 def calibration(quantiles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,7 @@ from adtide.functions.exprs import clamp, lookup, safe_ratio
 from adtide.functions.tables import attach
 from adtide.operators import boosting
 from adtide.operators.boosting import Settings, Trees
-from adtide.operators.evaluate import fold_list, fold_states, parent_channel_pool, walk_forward, z_calibration
+from adtide.operators.evaluate import fold_list, fold_states, interpolated_quantiles, parent_channel_pool, walk_forward, z_calibration
 from adtide.operators.features import FEATURES, last_features, training_set
 from adtide.operators.forecast import POINTS, baseline_points, roas_interval, sanitize_monotone, segment_state
 from adtide.operators.rollup import segment_daily
@@ -199,9 +199,8 @@ def predictor(parts: dict[tuple[int, int], dict[str, Trees]]) -> Callable[..., C
 
 
 def residual_bands(fitted: DataFrame, by: Sequence[str]) -> DataFrame:
-    """12% and 88% quantiles of residuals per group: the band of the two quantile models."""
-    q = F.percentile("residual", F.array(F.lit(0.12), F.lit(0.88)))
-    return fitted.groupBy(*by).agg(F.count("residual").alias("n"), q[0].alias("lower_q"), q[1].alias("upper_q"))
+    """12% and 88% quantiles of residuals per group, by exact ranks that no single task sorts."""
+    return interpolated_quantiles(fitted, by, "residual", {"lower_q": BAND["lower"], "upper_q": BAND["upper"]})
 
 
 def thin_weight(rows: Column, least: int = MIN_TRAINED_ROWS) -> Column:

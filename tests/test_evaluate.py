@@ -37,3 +37,19 @@ def test_fold_windows_do_not_overlap(spark):
     df = fact(spark, [(i, "A", 1, 1) for i in range(200)])
     starts = {r.fold: r.start for r in E.walk_forward(R.segment_daily(df)).filter("horizon_days = 30 and level = 'overall'").collect()}
     assert starts == {k + 1: day(199 - 30 * (k + 1) + 1) for k in range(4)}
+
+
+def test_ranks_of_any_values(spark):
+    """Signs, ties, zeros, tiny and huge values; every rank of every group."""
+    import random
+
+    rng = random.Random(6)
+    groups = {"a": [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 9) for _ in range(300)] + [0.0, -0.0, 0.0], "b": [5.0] * 40 + [rng.random() for _ in range(60)], "c": [1.25]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double")
+    ranks = spark.createDataFrame([(g, str(k), k + 1) for g, vs in groups.items() for k in range(len(vs))], "g string, name string, rank long")
+    got = {(r.g, int(r.name)): r.value for r in E.values_at_ranks(df, ["g"], "v", ranks).collect()}
+    assert got == {(g, k): v for g, vs in groups.items() for k, v in enumerate(sorted(vs))}
+    q = {r.g: r.m for r in E.interpolated_quantiles(df, ["g"], "v", {"m": 0.37}).collect()}
+    import numpy as np
+
+    assert all(abs(q[g] - np.quantile(vs, 0.37)) <= 1e-9 * max(1, abs(q[g])) for g, vs in groups.items())
