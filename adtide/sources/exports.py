@@ -57,7 +57,7 @@ def read_exports(spark: SparkSession, folder: str, multi_line: bool = False) ->
             .option("columnNameOfCorruptRecord", "corrupt_record")
             .option("multiLine", whole)
             .csv(sorted(paths))
-            .withColumn("source_file", F.col("_metadata.file_name"))
+            .withColumn("source_file", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))
         )
         frames.append(normalize_facts(raw, dict(zip(physical, header)), carry=["source_file", "corrupt_record"]))
     return channel_from_source(union_sources(frames))
