@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from adtide.llm.components import components
 from adtide.llm.packing import pack, unpacked
-from adtide.llm.store import materialise
+from adtide.llm.store import free_names, materialise
 from adtide.llm.words import chunks, mix, prefix, window_hash, words
 
 SHINGLE = 5
@@ -258,5 +258,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keep = jaccard_classes(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).desc_nulls_last()))
-    kept = docs.join(keep, id_col, "left_semi").withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    (own,) = free_names(docs, "turn")
+    kept = docs.join(keep, id_col, "left_semi").withColumn(own, turn).where(F.col(own) == 1).drop(own)
     return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from adtide.llm.store import materialise
+from adtide.llm.store import free_names, materialise
 from adtide.llm.words import chunks, word_counts
 
 MAX_PATTERNS = 100_000
@@ -172,7 +172,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it (see ``mix_sources``)."""
     chosen, _ = mix_sources(docs, id_col, text_col, **options)
-    times = chosen.select(F.col(id_col).alias("_id"), F.col("pattern").alias("_pattern"), "repeats").where("repeats > 0").distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (membership(options.get("sources")) == F.col("_pattern"))
-    return (docs.join(times.withColumnRenamed("repeats", "_repeats"), same)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select(docs.columns))
+    own = free_names(docs, "id", "pattern", "repeats", "copy")
+    times = chosen.select(F.col(id_col).alias(own[0]), F.col("pattern").alias(own[1]), F.col("repeats").alias(own[2])).where(F.col(own[2]) > 0).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(own[0])) & (membership(options.get("sources")) == F.col(own[1]))
+    return (docs.join(times, same)
+            .withColumn(own[3], F.explode(F.sequence(F.lit(1).cast("long"), F.col(own[2])))).select(docs.columns))

@@ -27,3 +27,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to be none of the frame's."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
