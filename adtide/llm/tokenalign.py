@@ -21,6 +21,9 @@ COMMON = 1 << 15  # id pairs that go to every task: those with over a 2^-15 of a
 PAIRS = 1 << 20  # pairs expanded at a time
 KNOWN = 1 << 18  # parts of texts whose ids a task remembers, of at most LONG characters each
 LONG = 100
+RUN = 20_000  # characters of a run without or of blanks from which on a text is encoded by merges
+# Splits a text for byte-level tokenizers that use the usual pattern. Fixed value.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder(NamedTuple):
@@ -28,6 +31,7 @@ class Encoder(NamedTuple):
 
     encode: Callable[[list[str]], list[np.ndarray]]
     pieces: list[bytes]
+    ranked: bool = False
 
 
 def arrays(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], list[np.ndarray]]:
@@ -69,9 +73,11 @@ def by_parts(encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes]
     return run
 
 
-def byte_level(data: bytes) -> Encoder:
+def byte_level(data: bytes, ranked: bool | None = None) -> Encoder:
     """A byte-level tokenizer from its JSON; strings of special tokens are plain text.
 
+    ``ranked`` says whether its ranks give the ids of its merges; if it is not given, that is tried out here.
+
     Where its pattern splits words off first (``use_regex``), no match holds a blank behind a character that is none, and none
     looks back, so texts may be cut there.
     """
@@ -90,7 +96,45 @@ def byte_level(data: bytes) -> Encoder:
     plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     words = shape.get("normalizer") is None and plain.items() <= (shape.get("pre_tokenizer") or {}).items()
     encode = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    return Encoder(by_parts(encode, pieces, r"(?<=\S)(?=[ \n])", r"^[^ \n]|\s\Z|\A\Z") if words else arrays(encode), pieces)
+    if not words:
+        return Encoder(arrays(encode), pieces)
+    whole = by_parts(encode, pieces, r"(?<=\S)(?=[ \n])", r"^[^ \n]|\s\Z|\A\Z")
+    fast = None if ranked is False else by_ranks(shape, pieces, None if ranked else encode)
+    return Encoder(whole if fast is None else shared(fast, whole), pieces, fast is not None)
+
+
+def by_ranks(shape: dict, pieces: list[bytes], merged: Callable[[list[str]], list[list[int]]] | None) -> Callable[[list[str]], list[np.ndarray]] | None:
+    """The same ids from ranks instead of merges, or nothing where the JSON's merges do not make its ids so.
+
+    Ids must rise with the merges, each of which makes a piece, and every piece that is a text must encode as by ``merged``.
+    """
+    import tiktoken
+
+    model, special = shape["model"], {x["content"] for x in shape["added_tokens"]}
+    ids = {p: k for p, k in model["vocab"].items() if p not in special}
+    made = [ids.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    plain = not any(model.get(f) for f in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or len(made) + 256 != len(ids) or made != sorted(set(made)) or min(made, default=0) < 256:
+        return None
+    own = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={pieces[k]: k for k in ids.values()}, special_tokens={})
+    texts = [] if merged is None else [p for p in (pieces[k].decode(errors="replace") for k in ids.values()) if "\ufffd" not in p]
+    if merged is not None and list(map(own.encode_ordinary, texts)) != merged(texts):
+        return None
+    return arrays(lambda texts: list(map(own.encode_ordinary, texts)))
+
+
+def shared(fast: Callable[[list[str]], list[np.ndarray]], slow: Callable[[list[str]], list[np.ndarray]]) -> Callable[[list[str]], list[np.ndarray]]:
+    """``fast`` but for texts with a run of over ``RUN`` characters that are all blank or all not: its pattern backtracks there."""
+    runs = re.compile(rf"(?<!\S)\S{{{RUN}}}|(?<!\s)\s{{{RUN}}}").search
+
+    def run(texts: list[str]) -> list[np.ndarray]:
+        heavy = [k for k, x in enumerate(texts) if len(x) >= RUN and runs(x)]
+        out = dict(zip(heavy, slow([texts[k] for k in heavy]), strict=True)) if heavy else {}
+        light = [k for k in range(len(texts)) if k not in out]
+        out.update(zip(light, fast([texts[k] for k in light]), strict=True))
+        return [out[k] for k in range(len(texts))]
+
+    return run
 
 
 def sentence_piece(data: bytes) -> Encoder:
@@ -212,13 +256,13 @@ def group_texts(found: Alignment, marked: list[str]) -> list[str]:
 ROWS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, links array<long>"
 
 
-def _aligner(a_data, b_data, digests: bool):
+def _aligner(a_data, b_data, ranked: bool, digests: bool):
     made: list = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", TEXT_BYTES):
             if not made:
-                made.extend((byte_level(a_data.value), sentence_piece(b_data.value)))
+                made.extend((byte_level(a_data.value, ranked), sentence_piece(b_data.value)))
                 lengths = tuple(np.array([len(p) for p in x.pieces], np.int64) for x in made)
                 sizes = tuple(map(len, lengths))
                 marked = [f"{i}{m}" for i in range(max(sizes)) for m in ",|;"]
@@ -245,7 +289,7 @@ def token_groups(docs: DataFrame, a_data: bytes, b_data: bytes, digests: bool =
     ``links`` how often each is linked. Texts that are null, empty, or changed by a tokenizer have zeros and empty groups.
     """
     context = docs.sparkSession.sparkContext
-    run = _aligner(context.broadcast(a_data), context.broadcast(b_data), digests)
+    run = _aligner(context.broadcast(a_data), context.broadcast(b_data), byte_level(a_data).ranked, digests)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, ROWS)
 

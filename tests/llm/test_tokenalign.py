@@ -1,6 +1,7 @@
 """Token alignment against plain loops over byte offsets."""
 
 import hashlib
+import json
 import os
 import random
 from collections import Counter
@@ -167,8 +168,9 @@ def test_query(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == plain(rows, data())
 
 
-def test_parts_as_whole_texts():
-    """Encoding the parts of texts gives the ids of the whole texts, whatever blanks stand between them."""
+@pytest.mark.parametrize("ranked", [None, False])
+def test_parts_as_whole_texts(ranked):
+    """Encoding by ranks, or the parts of texts by merges, gives the ids of the whole texts, whatever blanks stand between them."""
     from tokenizers import Tokenizer
 
     rng = random.Random(1)
@@ -177,6 +179,27 @@ def test_parts_as_whole_texts():
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(80))) for _ in range(6000)]
     t = Tokenizer.from_str(data()[0].decode())
     t.encode_special_tokens = True
-    encode = tokenalign.byte_level(data()[0]).encode
+    made = tokenalign.byte_level(data()[0], ranked)
+    assert made.ranked is (ranked is None)
+    encode = made.encode
     for part in (texts[:3000], texts[3000:], texts[2000:4000]):
         assert [x.tolist() for x in encode([" " + x for x in part])] == [e.ids for e in t.encode_batch([" " + x for x in part], add_special_tokens=False)]
+
+
+def test_ranks_over_characters_and_long_runs(monkeypatch):
+    """Ranks give the merges' ids for characters of all planes; texts with long runs go by merges; other merges refuse ranks."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(data()[0].decode())
+    t.encode_special_tokens = True
+    made = tokenalign.byte_level(data()[0])
+    chars = [chr(c) for c in [*range(0x3400), *range(0x3400, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}{c}1{c} \n{c} x" for c in chars[k : k + 256]) for k in range(0, len(chars), 256)]
+    assert [x.tolist() for x in made.encode(texts)] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokenalign, "RUN", 50)
+    made = tokenalign.byte_level(data()[0])
+    runs = ["", "b" * 49, "b" * 50 + " c", " " * 80 + "d", "x " * 60]
+    assert [x.tolist() for x in made.encode(runs)] == [t.encode(x, add_special_tokens=False).ids for x in runs]
+    shape = json.loads(data()[0])
+    shape["model"]["merges"].reverse()
+    assert not tokenalign.byte_level(json.dumps(shape).encode()).ranked
