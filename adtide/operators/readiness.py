@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adtide.functions.exprs import freshness, present, round_score, round_to, safe_ratio
 from adtide.functions.tables import attach
-from adtide.operators.quality import row_issues
+from adtide.operators.quality import campaign_inconsistency
 from adtide.operators.rollup import daily_channel
 from adtide.operators.signals import detect_anomalies
 from adtide.schema import CANONICAL_COLUMNS, MEASURES, PLACEHOLDER_TEXT, READINESS_WEIGHTS, SCHEMA_CONFIDENCE, TEXT_DIMS
@@ -62,18 +62,22 @@ def outlier_rate(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def issue_rates(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Distinct rows with a blocking issue, duplicate rows, and unreadable numbers."""
-    issues = row_issues(flagged, keys)
+    """Distinct rows with a blocking issue, duplicate rows, and unreadable numbers.
 
-    def rows_of(types: list[str]) -> Column:
-        return F.countDistinct(F.when(F.col("type").isin(types), F.col("row")))
-
-    by_type = issues.groupBy(*keys).agg(
-        rows_of(INVALID_ISSUES).alias("invalid_rows"), rows_of(["duplicate"]).alias("duplicate_rows")
-    )
+    A row's issues are two bits; only rows that have one are shuffled, a number and its bits each, so that equal numbers
+    count once. A campaign's mapping conflict blocks its first row.
+    """
+    types = F.transform("issues", lambda i: i["type"])
+    blocked = F.arrays_overlap(types, F.array(*map(F.lit, INVALID_ISSUES)))
+    bits = F.when(blocked, 1).otherwise(0) + F.when(F.array_contains(types, "duplicate"), 2).otherwise(0)
+    listed = flagged.filter(F.size("issues") > 0).select(*keys, "row", bits.alias("_bits"))
+    conflicts = campaign_inconsistency(flagged, keys).select(*keys, "row", F.lit(1).alias("_bits"))
+    rows = listed.unionByName(conflicts).groupBy(*keys, "row").agg(F.bit_or("_bits").alias("_bits"))
+    count = lambda bit, name: F.count_if(F.col("_bits").bitwiseAND(bit) > 0).alias(name)
+    by_row = rows.groupBy(*keys).agg(count(1, "invalid_rows"), count(2, "duplicate_rows"))
     cells = flagged.groupBy(*keys).agg(F.sum(F.size("invalid_fields")).alias("invalid_cells"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("invalid_rows", "duplicate_rows")}
-    return attach(cells, by_type, keys).withColumns(zero)
+    return attach(cells, by_row, keys).withColumns(zero)
 
 
 def schema_scores(kinds: DataFrame, issue_lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

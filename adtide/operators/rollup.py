@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from adtide.functions.exprs import clamp, pct_change, round_to, safe_ratio
 from adtide.functions.tables import attach
 from adtide.schema import MEASURES
+from adtide.session import checkpoint
 
 
 def sums(columns: Sequence[str] = MEASURES) -> list[Column]:
@@ -192,13 +193,34 @@ def roas_benchmarks(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def category_codes(fact: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Alphabetical codes 1..n of a dimension's distinct values (the distinct runs before the ranking)."""
+def few_codes(fact: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``category_codes`` of a dimension with few values for each key, such as channels and types: ranked in one window."""
     values = fact.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value")).distinct()
     code = F.dense_rank().over(Window.partitionBy(*keys).orderBy("value"))
     return values.withColumn("code", code.cast("bigint"))
 
 
+def category_codes(fact: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Alphabetical codes 1..n of a dimension's distinct values, however many; nulls have none.
+
+    Values are dealt to ranges in their order and written once; a code is the number of values in the earlier ranges of
+    the key, one sum per range, and the rank within the range.
+    """
+    values = fact.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value")).distinct()
+    dealt = checkpoint(values.repartitionByRange(*keys, "value").withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    listed = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_range", "_n"))).alias("_s"))
+
+    def start(s: Column, i: Column) -> Column:
+        earlier = F.aggregate(F.slice("_s", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x["_n"])
+        return F.struct(s["_range"].alias("_range"), earlier.alias("_start"))
+
+    starts = listed.select(*keys, F.inline(F.transform("_s", start)))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("value")))
+    joined = ranked.join(starts, [*keys, "_range"])
+    return joined.select(*keys, "value", (F.col("_start") + F.col("_rank")).alias("code"))
+
+
 def encode_category(fact: DataFrame, codes: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Attach codes; values missing from the map become 0."""
     renamed = codes.withColumnRenamed("value", column).withColumnRenamed("code", f"{column}_code")

@@ -120,7 +120,7 @@ cte("feature_rows", "SELECT level, segment, date, h AS horizon_days, n, spend, r
 
 def features(spark, sf):
     fact = campaign_fact(spark, sf)
-    return X.segment_features(fact, R.category_codes(fact, "channel"), R.category_codes(fact, "campaign_type"))
+    return X.segment_features(fact, R.few_codes(fact, "channel"), R.few_codes(fact, "campaign_type"))
 
 
 # Features that follow from the horizon; the others are one value for each segment and day.
@@ -281,7 +281,7 @@ def trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf, version(spark, sf))
     if key not in FITTED:
         fact = checkpoint(campaign_fact(spark, sf))
-        codes = [R.category_codes(fact, c) for c in ("channel", "campaign_type")]
+        codes = [R.few_codes(fact, c) for c in ("channel", "campaign_type")]
         rows = checkpoint(X.segment_features(fact, *codes))
         samples = checkpoint(X.training_set(rows))
         FITTED[key] = (rows, T.fit_all(rows, (), FOLDS, samples=samples), fact, samples)
