@@ -18,7 +18,7 @@ from adtide.operators import boosting
 from adtide.operators.boosting import Settings, Trees
 from adtide.operators.evaluate import fold_list, fold_states, interpolated_quantiles, parent_channel_pool, walk_forward, z_calibration
 from adtide.operators.features import FEATURES, last_features, training_set
-from adtide.operators.forecast import POINTS, baseline_points, roas_interval, sanitize_monotone, segment_state
+from adtide.operators.forecast import POINTS, baseline_points, planned_spend, roas_interval, sanitize_monotone, segment_state
 from adtide.operators.rollup import segment_daily
 from adtide.operators.windows import SEGMENT, one_step_residuals
 from adtide.schema import (
@@ -35,6 +35,7 @@ from adtide.schema import (
     SAFE_BASELINE,
     TRAINED,
     TRAINED_ANCHORED,
+    TRAINED_ESTIMATED_SPEND,
 )
 
 # Functions of fits and predictions travel to Python workers by value.
@@ -299,28 +300,55 @@ def trained_points(vectors: DataFrame, state: DataFrame, models: dict[tuple[int,
     if pooled is not None:
         df = df.join(pooled, [c for c in by if c in pooled.columns], "left")
     df = assemble_interval(df)
-    df = df.withColumn("expected_spend", F.col("spend_28") / F.least(F.col("n"), F.lit(28)) * F.col("horizon_days"))
+    if "expected_spend" not in df.columns:
+        df = df.withColumn("expected_spend", F.col("spend_28") / F.least(F.col("n"), F.lit(28)) * F.col("horizon_days"))
     df = roas_interval(df, F.col("blended_roas"))
     df = df.withColumn("model_type", F.when(F.col("revenue_weight") <= 1e-9, TRAINED_ANCHORED).otherwise(TRAINED))
     kept = list(dict.fromkeys([*by, "horizon_days", *POINTS, "model_type"]))
     return df.select(*kept).filter(F.col("expected_revenue").isNotNull() & ~F.isnan("expected_revenue"))
 
 
-def trained_predictions(features: DataFrame, models: dict[tuple[int, int], HorizonModel], keys: Sequence[str] = (), fact: DataFrame | None = None) -> DataFrame:
+def with_plan(vectors: DataFrame, planned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Vectors under a plan (``planned_spend``): planned spend where the segment has a budget, else its 7-day run rate."""
+    h = F.col("horizon_days")
+    run = F.col("spend_28") / F.least(F.col("n"), F.lit(28)) * h
+    budgeted = F.greatest(F.col("planned_daily_spend") * h, F.lit(0.0))
+    spend = F.when(F.coalesce("has_budget", F.lit(False)), budgeted).otherwise(F.col("projected_spend_horizon"))
+    df = vectors.join(planned, [*keys, *SEGMENT], "left").withColumns({"projected_spend_horizon": spend, "expected_spend": spend})
+    delta = safe_ratio(F.col("expected_spend") - run, run)
+    return df.withColumn("planned_spend_delta_28_horizon", delta).drop("planned_daily_spend", "has_budget")
+
+
+def trained_predictions(
+    features: DataFrame,
+    models: dict[tuple[int, int], HorizonModel],
+    keys: Sequence[str] = (),
+    fact: DataFrame | None = None,
+    budgets: DataFrame | None = None,
+    estimated: DataFrame | None = None,
+) -> DataFrame:
     """All segments and horizons in the output contract. ``features`` are unfiltered as-of vectors.
 
-    ``fact``, the campaign fact behind them, widens the intervals of thin campaigns by ``pooled_z``.
+    ``fact``, the campaign fact behind them, widens the intervals of thin campaigns by ``pooled_z``. ``budgets`` (keys, channel,
+    budget for 30 days; needs ``fact``) replace the run-rate spend of their channels. ``estimated`` has one row (keys,
+    spend_estimated) for each key, as ``estimate_missing_spend`` marks them, and labels the forecasts that rest on such spend.
 
     A horizon without a fitted model, and any segment that a model gives no figure, takes the safe baseline.
     """
     by = [*keys, *SEGMENT]
     state = segment_state(features.filter(F.col("horizon_days") == HORIZONS[0]).select(*by, "date", *["spend", "revenue"]), keys)
-    safe = baseline_points(state, None, keys).select(*by, "horizon_days", *POINTS, F.lit(SAFE_BASELINE).alias("model_type"))
+    planned = None if budgets is None else planned_spend(fact, budgets, keys)
+    safe = baseline_points(state, planned, keys).select(*by, "horizon_days", *POINTS, F.lit(SAFE_BASELINE).alias("model_type"))
     now = {k: m for k, m in models.items() if k[1] == 0}
     if not now:
         return sanitize_monotone(safe, keys)
     vectors = last_features(features, keys).withColumn("fold", F.lit(0))
+    if planned is not None:
+        vectors = with_plan(vectors, planned, keys)
     fitted = trained_points(vectors, state.select(*by, "revenue_sd", "roas_residuals", "roas_sd"), now, by, None if fact is None else pooled_z(fact, keys))
+    if estimated is not None:
+        label = F.when(F.col("spend_estimated") & (F.col("model_type") == TRAINED), TRAINED_ESTIMATED_SPEND).otherwise(F.col("model_type"))
+        fitted = attach(fitted, estimated, keys).withColumn("model_type", label).drop("spend_estimated")
     rest = safe.join(fitted.select(*by, "horizon_days"), [*by, "horizon_days"], "left_anti")
     return sanitize_monotone(fitted.unionByName(rest.select(fitted.columns)), keys)
 

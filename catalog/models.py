@@ -9,13 +9,13 @@ from adtide.operators import evaluate as E
 from adtide.operators import features as X
 from adtide.operators import rollup as R
 from adtide.operators import training as T
-from adtide.operators.forecast import segment_state
+from adtide.operators.forecast import planned_spend, segment_state
 from adtide.operators.windows import one_step_residuals
 from adtide.plans.facts import campaign_fact, table
 from adtide.schema import BLEND_CANDIDATES, HORIZONS, INTERVAL_FLOOR_PCT, INTERVAL_MULTIPLIER, HORIZON_Z, LEVEL_INTERVAL_FACTOR, BASELINE_ANCHORED_SCALE, LONG_HORIZON_SCALE
 from adtide.session import checkpoint
 from catalog.base import clean, cte, div, query, r, sql
-from catalog.forecasts import per_h
+from catalog.forecasts import demo_budgets, per_h
 from catalog.rollups import rounded
 
 BY = ["level", "segment"]
@@ -317,6 +317,48 @@ def trained_contract(spark, sf):
         F.countDistinct("segment").alias("segments"), F.count("*").alias("n"), F.count_if(ordered).alias("ordered"), F.count_if(held).alias("within"))
 
 
+@query(
+    "fc12_trained_budget_features",
+    sql(
+        f"""SELECT level, segment, CAST(horizon_days AS INTEGER) AS horizon_days, {r('spend')} AS projected_spend, {r(div('spend - run', 'run'))} AS planned_delta
+FROM (SELECT f.level, f.segment, f.horizon_days, f.recent_spend_28 / least(f.n, 28) * f.horizon_days AS run,
+ CASE WHEN coalesce(p.has_budget, false) THEN p.planned_daily_spend * f.horizon_days ELSE f.projected_spend_horizon END AS spend
+ FROM (SELECT * FROM feature_rows QUALIFY date = max(date) OVER (PARTITION BY level, segment)) f LEFT JOIN planned p ON p.level = f.level AND p.segment = f.segment)""",
+        "feature_rows",
+        "planned",
+    ),
+)
+def trained_budget_features(spark, sf):
+    """What channel budgets change in the vectors that the fitted trees read."""
+    fact = campaign_fact(spark, sf)
+    df = T.with_plan(X.last_features(features(spark, sf)), planned_spend(fact, demo_budgets(fact)))
+    return df.select(*BY, F.col("horizon_days").cast("int").alias("horizon_days"), round_to("projected_spend_horizon", 4).alias("projected_spend"),
+                     round_to("planned_spend_delta_28_horizon", 4).alias("planned_delta"))
+
+
+@query("fc12_trained_budget_predictions")
+def trained_budget_predictions(spark, sf):
+    """The trained path under channel budgets."""
+    rows, models, fact, _ = trained(spark, sf)
+    return T.trained_predictions(rows, models, (), fact, demo_budgets(fact))
+
+
+@query(
+    "fc12_trained_estimated_contract",
+    sql("SELECT level, CAST(h AS INTEGER) AS horizon_days, count(*) AS n, count(*) AS ordered, CAST(0 AS BIGINT) AS unmarked FROM state, (SELECT unnest([30, 60, 90]) AS h) GROUP BY level, h", "state"),
+)
+def trained_estimated_contract(spark, sf):
+    """Facts whose spend is all missing: it is estimated, each segment has its forecasts, and none passes for plainly trained."""
+    _, models, fact, _ = trained(spark, sf)
+    filled = checkpoint(T.estimate_missing_spend(fact.withColumn("spend", F.lit(0.0)), R.roas_benchmarks(fact)))
+    codes = [R.few_codes(fact, c) for c in ("channel", "campaign_type")]
+    marked = filled.agg(F.max("spend_estimated").alias("spend_estimated"))
+    out = T.trained_predictions(X.segment_features(filled, *codes), models, (), filled, None, marked)
+    ordered = F.col("expected_revenue").between(F.col("lower_revenue"), F.col("upper_revenue"))
+    return out.groupBy("level", F.col("horizon_days").cast("int").alias("horizon_days")).agg(
+        F.count("*").alias("n"), F.count_if(ordered).alias("ordered"), F.count_if(F.col("model_type") == "trained_model").alias("unmarked"))
+
+
 def over_models(spark, sf, one):
     """One result for each horizon and target, marked with both."""
     rows, models, _, samples = trained(spark, sf)

@@ -88,8 +88,33 @@ def test_later_rows_do_not_reach_a_fold(spark, plain):
     assert {t for *_, t in out[0].values()} == {"trained_model"}
 
 
-def test_report_measures_r2(spark, plain):
-    models = T.fit_all(plain[0])
+@pytest.fixture(scope="module")
+def models(plain):
+    return T.fit_all(plain[0])
+
+
+def test_budgets_and_estimated_spend(spark, plain, models):
+    """Budgets move only their channel's segments; forecasts on estimated spend say so."""
+    df = fact(spark, series(330))
+    budgets = spark.createDataFrame([(" a ", 3000.0), ("Other", 5.0)], "channel string, budget double")
+    last = X.last_features(plain[0])
+    before = {(r.level, r.segment, r.horizon_days): r for r in last.collect()}
+    after = {(r.level, r.segment, r.horizon_days): r for r in T.with_plan(last, T.planned_spend(df, budgets)).collect()}
+    b = before["channel", "B", 60].projected_spend_horizon
+    assert after["channel", "B", 60].projected_spend_horizon == b and after["channel", "A", 60].projected_spend_horizon == pytest.approx(6000)
+    assert after["overall", "all", 60].projected_spend_horizon == pytest.approx(6000 + b)
+    run = before["channel", "A", 60].spend_28 / 28 * 60
+    assert after["channel", "A", 60].planned_spend_delta_28_horizon == pytest.approx(6000 / run - 1)
+    point = lambda out: {(r.segment, r.horizon_days): (r.expected_revenue, r.expected_roas, r.upper_roas) for r in out.where("level = 'channel'").collect()}
+    without, planned = point(T.trained_predictions(plain[0], models, (), df)), point(T.trained_predictions(plain[0], models, (), df, budgets))
+    assert len(planned) == 6 and {k for k in without if without[k] != planned[k]} <= {("A", h) for h in (30, 60, 90)}
+    filled = T.estimate_missing_spend(df.withColumn("spend", F.lit(0.0)), R.roas_benchmarks(df))
+    rows = X.segment_features(filled, R.few_codes(df, "channel"), R.few_codes(df, "campaign_type"))
+    out = T.trained_predictions(rows, models, (), filled, None, filled.agg(F.max("spend_estimated").alias("spend_estimated"))).collect()
+    assert len(out) == 18 and {r.model_type for r in out} <= {"trained_model_estimated_spend", "trained_model_baseline_anchored"}
+
+
+def test_report_measures_r2(spark, plain, models):
     report = {r.horizon_days: r for r in T.training_report(spark, models).collect()}
     assert set(report) == {30, 60, 90} and all(r.cv_r2 is not None for r in report.values())
     assert {h: (r.revenue_trees, r.roas_trees) for h, r in report.items()} == {30: (200, 80), 60: (85, 70), 90: (75, 60)}
