@@ -346,19 +346,35 @@ def z_calibration(residuals: DataFrame, by: Sequence[str], column: str = "revenu
 
 
 def parent_channel_pool(fact_rows: DataFrame, residuals: DataFrame, keys: Sequence[str] = (), thin: int = 30) -> DataFrame:
-    """Residuals of thin campaigns together with those of their channel.
+    """(keys, segment, n, total, z) of campaigns with fewer than ``thin`` rows: their residuals pooled with those of the
+    channel of their last row.
 
-    ``fact_rows`` gives each campaign's row count and last channel; ``residuals`` is the segment residual series.
+    ``fact_rows`` gives each campaign's row count and last channel; ``residuals`` is the segment residual series. z is that of
+    ``z_calibration`` over the pool, 0 for a constant pool or one under 8 values. Either side is one sorted list (fewer
+    than ``thin`` values, and one a day of the channel), so no row per campaign and channel day is shuffled.
     """
-    last = fact_rows.groupBy(*keys, "campaign_name").agg(
+    last = fact_rows.groupBy(*keys, F.col("campaign_name").alias("segment")).agg(
         F.count("*").alias("_rows"), F.max_by("channel", F.struct("date", "channel")).alias("_channel")
     ).filter(F.col("_rows") < thin)
-    own = residuals.filter(F.col("level") == "campaign").join(
-        last.withColumnRenamed("campaign_name", "segment"), [*keys, "segment"]
-    ).select(*keys, "segment", "revenue_residual")
-    parent = residuals.filter(F.col("level") == "channel").withColumnRenamed("segment", "_channel")
-    pooled = last.join(parent, [*keys, "_channel"]).select(*keys, F.col("campaign_name").alias("segment"), "revenue_residual")
-    return own.unionByName(pooled)
+    known = residuals.filter(F.col("revenue_residual").isNotNull())
+
+    def values(rows: DataFrame, segment: str, name: str) -> DataFrame:
+        return rows.groupBy(*keys, F.col("segment").alias(segment)).agg(F.sort_array(F.collect_list("revenue_residual")).alias(name))
+
+    own = known.filter(F.col("level") == "campaign").join(last.select(*keys, "segment"), [*keys, "segment"])
+    channels = values(known.filter(F.col("level") == "channel"), "_channel", "_theirs")
+    df = last.join(values(own, "segment", "_own"), [*keys, "segment"], "left").join(channels, [*keys, "_channel"], "left")
+    none = F.array().cast("array<double>")
+    df = df.select(*keys, "segment", F.concat(F.coalesce("_own", none), F.coalesce("_theirs", none)).alias("_e"))
+    df = df.withColumn("n", F.size("_e").cast("bigint")).filter(F.col("n") > 0)
+    df = df.withColumn("total", F.aggregate("_e", F.lit(0.0), lambda t, e: t + e)).withColumn("_m", F.col("total") / F.col("n"))
+    df = df.withColumn("_d", F.array_sort(F.transform("_e", lambda e: F.abs(e - F.col("_m"))))).drop("_e")
+    df = df.withColumn("_sd", F.sqrt(F.try_divide(F.aggregate("_d", F.lit(0.0), lambda t, d: t + d * d), F.col("n") - 1)))
+    at = (F.col("n") - 1) * 0.72
+    low, high = (F.element_at("_d", (f(at) + 1).cast("int")) for f in (F.floor, F.ceil))
+    q = F.try_divide(low + (high - low) * (at - F.floor(at)), F.col("_sd"))
+    usable = (F.col("n") >= 8) & (F.coalesce("_sd", F.lit(0.0)) > 1e-9)
+    return df.select(*keys, "segment", "n", "total", F.when(usable, round_to(clamp(q, 0.75, 1.65), 4)).otherwise(0.0).alias("z"))
 
 
 def path_consistency(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from adtide.functions.exprs import clamp, lookup, safe_ratio
 from adtide.functions.tables import attach
 from adtide.operators import boosting
 from adtide.operators.boosting import Settings, Trees
-from adtide.operators.evaluate import fold_list, fold_states, interpolated_quantiles, parent_channel_pool, walk_forward, z_calibration
+from adtide.operators.evaluate import fold_list, fold_states, interpolated_quantiles, parent_channel_pool, walk_forward
 from adtide.operators.features import FEATURES, last_features, training_set
 from adtide.operators.forecast import POINTS, baseline_points, planned_spend, roas_interval, sanitize_monotone, segment_state
 from adtide.operators.rollup import segment_daily
@@ -229,8 +229,7 @@ def pooled_z(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, level, segment, pooled_z) of the campaigns with fewer than 30 rows: z of their residuals pooled with those
     of their channel, 0 for constant ones. Campaigns with fewer than 8 pooled residuals have no row."""
     by = [*keys, *SEGMENT]
-    pool = parent_channel_pool(fact, one_step_residuals(segment_daily(fact, keys), by), keys)
-    z = z_calibration(pool, [*keys, "segment"], fallback=0.0).filter(F.col("n") >= 8)
+    z = parent_channel_pool(fact, one_step_residuals(segment_daily(fact, keys), by), keys).filter(F.col("n") >= 8)
     return z.select(*keys, F.lit("campaign").alias("level"), "segment", F.col("z").alias("pooled_z"))
 
 

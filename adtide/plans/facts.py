@@ -5,7 +5,7 @@ Amounts are whole currency units per order line, so sums do not depend on the or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtide.functions.exprs import safe_ratio
@@ -15,8 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def campaign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with its campaign dimensions; the two dimension joins stay on their own side."""
+def item_campaign() -> Column:
+    """Every part as its own campaign: many campaigns with few rows each."""
+    return F.concat(F.lit("item "), F.col("p_partkey").cast("string"))
+
+
+def campaign_lines(spark: SparkSession, sf_dir: str, campaign: Column | None = None) -> DataFrame:
+    """One row per order line with its campaign dimensions; the two dimension joins stay on their own side.
+
+    ``campaign`` names the campaign of a part, its brand if not given.
+    """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("date")
     )
@@ -26,7 +34,7 @@ def campaign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(
         "p_partkey",
         F.col("p_type").alias("campaign_type"),
-        F.col("p_brand").alias("campaign_name"),
+        (F.col("p_brand") if campaign is None else campaign).alias("campaign_name"),
         "p_size",
     )
     lines = table(spark, sf_dir, "lineitem").select(
@@ -50,11 +58,11 @@ def campaign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def campaign_fact(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def campaign_fact(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = (), campaign: Column | None = None) -> DataFrame:
     """date x channel x campaign type x campaign facts, optionally per account."""
     grain = [*keys, "date", "channel", "campaign_type", "campaign_name"]
     return (
-        campaign_lines(spark, sf_dir)
+        campaign_lines(spark, sf_dir, campaign)
         .groupBy(*grain)
         .agg(
             F.sum("spend").alias("spend"),

@@ -12,10 +12,10 @@ from adtide.operators import evaluate as E
 from adtide.operators import forecast as FC
 from adtide.operators import rollup as R
 from adtide.operators.windows import one_step_residuals
-from adtide.plans.facts import campaign_fact
+from adtide.plans.facts import campaign_fact, item_campaign
 from adtide.schema import ALT_INTERVAL_FLOOR_PCT, BLEND_CANDIDATES, INTERVAL_FLOOR_PCT
 from adtide.session import checkpoint
-from catalog.base import cte, div, query, r, sql
+from catalog.base import LINES, cte, div, query, r, sql
 from catalog.forecasts import P6, per_h, points_sql, state_sql
 from catalog.rollups import rounded
 
@@ -255,28 +255,39 @@ def z_calibration(spark, sf):
     return E.z_calibration(one_step_residuals(R.segment_daily(campaign_fact(spark, sf)), BY), BY)
 
 
-THIN = 2300
+cte("item_lines", LINES.replace("p.p_brand AS", "'item ' || CAST(p.p_partkey AS VARCHAR) AS"))
+cte("item_fact", "SELECT date, channel, campaign_type, campaign_name, sum(revenue) AS revenue FROM item_lines GROUP BY ALL", "item_lines")
+cte("thin", "SELECT campaign_name, arg_max(channel, strftime(date, '%Y-%m-%d') || channel) AS channel FROM item_fact GROUP BY 1 HAVING count(*) < 30", "item_fact")
 cte(
+    "item_residuals",
+    """
+SELECT level, segment, revenue - avg(revenue) OVER (PARTITION BY level, segment ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS e FROM (
+ SELECT 'campaign' AS level, campaign_name AS segment, date, sum(revenue) AS revenue FROM item_fact GROUP BY ALL
+ UNION ALL SELECT 'channel', channel, date, sum(revenue) FROM item_fact GROUP BY ALL)""",
+    "item_fact",
+)
+cte(
+    "pool",
+    """
+SELECT t.campaign_name AS segment, r.e FROM thin t JOIN item_residuals r ON (r.level = 'campaign' AND r.segment = t.campaign_name) WHERE r.e IS NOT NULL
+UNION ALL SELECT t.campaign_name, r.e FROM thin t JOIN item_residuals r ON (r.level = 'channel' AND r.segment = t.channel) WHERE r.e IS NOT NULL""",
     "thin",
-    f"SELECT campaign_name, arg_max(channel, strftime(date, '%Y-%m-%d') || channel) AS channel FROM fact GROUP BY 1 HAVING count(*) < {THIN}",
-    "fact",
+    "item_residuals",
 )
 
 
 @query(
     "jn8_parent_channel_pool",
     sql(
-        f"""SELECT segment, count(*) AS n, {r('sum(e)', 2)} AS total FROM (SELECT r.segment, r.revenue_residual AS e FROM residuals r JOIN thin t ON r.level = 'campaign' AND r.segment = t.campaign_name
-UNION ALL SELECT t.campaign_name, r.revenue_residual FROM residuals r JOIN thin t ON r.level = 'channel' AND r.segment = t.channel) WHERE e IS NOT NULL GROUP BY 1""",
-        "residuals",
-        "thin",
+        f"""SELECT s.segment, max(s.n) AS n, {r('max(s.total)', 2)} AS total, CASE WHEN max(s.n) >= 8 AND max(s.sd) > 1e-9 THEN {r('least(greatest(quantile_cont(abs((p.e - s.m) / s.sd), 0.72), 0.75), 1.65)')} ELSE 0 END AS z
+FROM pool p JOIN (SELECT segment, count(*) AS n, sum(e) AS total, avg(e) AS m, stddev_samp(e) AS sd FROM pool GROUP BY 1) s USING (segment) GROUP BY 1""",
+        "pool",
     ),
 )
 def parent_channel_pool(spark, sf):
-    fact = campaign_fact(spark, sf)
-    res = one_step_residuals(R.segment_daily(fact), BY)
-    pool = E.parent_channel_pool(fact, res, (), THIN).filter(F.col("revenue_residual").isNotNull())
-    return rounded(pool.groupBy("segment").agg(F.count("*").alias("n"), F.sum("revenue_residual").alias("total")), "total", digits=2)
+    """Every part as a campaign, so that about half of the campaigns have fewer than 30 rows."""
+    fact = campaign_fact(spark, sf, campaign=item_campaign())
+    return rounded(E.parent_channel_pool(fact, one_step_residuals(R.segment_daily(fact), BY)), "total", digits=2)
 
 
 @query(

@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from adtide.operators import evaluate as E
 from adtide.operators import rollup as R
 from helpers import day, fact
@@ -53,3 +55,41 @@ def test_ranks_of_any_values(spark):
     import numpy as np
 
     assert all(abs(q[g] - np.quantile(vs, 0.37)) <= 1e-9 * max(1, abs(q[g])) for g, vs in groups.items())
+
+
+def test_thin_campaigns_pool_the_residuals_of_their_channel(spark):
+    """Against a plain computation; a campaign with enough rows and one without any residual of its own are covered."""
+    import numpy as np
+
+    from adtide.operators.windows import one_step_residuals
+
+    days = [(i, c, f"{c}{k}", 100.0 + (i * (7 + k)) % 31) for c, k, n in (("A", 1, 60), ("A", 2, 12), ("B", 1, 9), ("B", 2, 1), ("C", 1, 40)) for i in range(n)]
+    df = spark.createDataFrame(
+        [(day(i), c, "Search", name, 10.0, 1.0, 1.0, 1.0, v) for i, c, name, v in days],
+        "date date, channel string, campaign_type string, campaign_name string, spend double, clicks double, impressions double, conversions double, revenue double",
+    )
+    residuals = one_step_residuals(R.segment_daily(df), ["level", "segment"])
+    got = {r.segment: (r.n, r.total, r.z) for r in E.parent_channel_pool(df, residuals).collect()}
+
+    def series(pick):
+        by_day = {}
+        for i, c, name, v in days:
+            if pick(c, name):
+                by_day[i] = by_day.get(i, 0.0) + v
+        values = [by_day[i] for i in sorted(by_day)]
+        return [v - np.mean(values[max(0, i - 7) : i]) for i, v in enumerate(values) if i]
+
+    want = {}
+    for c, name in {(c, name) for _, c, name, _ in days}:
+        if sum(x[2] == name for x in days) < 30:
+            pool = np.array(series(lambda a, b: b == name) + series(lambda a, b: a == c))
+            z = 0.0
+            if len(pool) >= 8 and pool.std(ddof=1) > 1e-9:
+                z = float(np.clip(np.quantile(np.abs(pool - pool.mean()) / pool.std(ddof=1), 0.72), 0.75, 1.65))
+            want[name] = (len(pool), pool.sum(), z)
+    assert set(got) == set(want) == {"A2", "B1", "B2"}
+    for name, (n, total, z) in want.items():
+        assert got[name][0] == n and abs(got[name][1] - total) < 1e-6 and abs(got[name][2] - z) < 1e-4
+    assert got["A2"][2] > 0
+    both = E.parent_channel_pool(df.withColumn("account", F.lit(1)), residuals.withColumn("account", F.lit(1)), ["account"])
+    assert {(r.account, r.segment, r.z) for r in both.collect()} == {(1, k, v[2]) for k, v in got.items()}
