@@ -274,11 +274,13 @@ def structured_evidence(spark, sf):
 @query(
     "st10_evidence_labels",
     sql(
-        """SELECT date, channel, metric, CASE WHEN NOT power_passed OR low_power_reasons <> '' THEN 'underpowered_sample_watch'
- WHEN confidence = 'low' OR (lower_revenue <= 0 AND upper_revenue >= 0) THEN 'anomaly_timing_watch'
+        """SELECT e.date, e.channel, e.metric, CASE WHEN NOT power_passed OR low_power_reasons <> '' THEN 'underpowered_sample_watch'
+ WHEN confidence = 'low' OR (lower_revenue <= 0 AND upper_revenue >= 0) THEN CASE WHEN a.channel IS NULL THEN 'volatility_watch'
+  WHEN effect_direction = 'positive' AND incremental_revenue > 0 THEN 'noisy_positive_signal' ELSE 'anomaly_timing_watch' END
  WHEN (effect_direction = 'negative' OR incremental_revenue < 0) AND p_value <= 0.10 AND effect_strength >= 0.20 THEN 'statistically_supported_decline'
  WHEN effect_direction = 'negative' OR incremental_revenue < 0 THEN 'efficiency_compression'
- WHEN p_value <= 0.10 AND (abs(roas_effect * 100.0) >= 15 OR effect_strength >= 0.35) THEN 'statistically_supported_lift' ELSE 'incremental_growth' END AS evidence_label FROM estimates
+ WHEN p_value <= 0.10 AND (abs(roas_effect * 100.0) >= 15 OR effect_strength >= 0.35) THEN 'statistically_supported_lift' ELSE 'incremental_growth' END AS evidence_label
+ FROM estimates e LEFT JOIN (SELECT DISTINCT date, channel FROM anomalies) a ON a.channel = e.channel AND a.date = e.date
 UNION ALL SELECT c.date, c.channel, 'none' AS metric, CASE WHEN count(a.channel) = 0 THEN 'stable_run_rate' ELSE 'anomaly_timing_watch' END AS evidence_label
  FROM chan c LEFT JOIN anomalies a ON a.channel = c.channel AND a.date = c.date LEFT JOIN estimates e ON e.channel = c.channel AND e.date = c.date
  WHERE e.channel IS NULL GROUP BY 1, 2""",
@@ -288,14 +290,19 @@ UNION ALL SELECT c.date, c.channel, 'none' AS metric, CASE WHEN count(a.channel)
     ),
 )
 def evidence_labels(spark, sf):
-    """The label of every estimate, and of every channel day without one: there an anomaly decides."""
+    """The label of every estimate, and of every channel day without one. An anomaly of the channel on that day is one that
+    supports the timing; the last full window of a channel may have none."""
     series = daily(spark, sf)
-    df = C.present_estimates(effects(spark, sf)).withColumns({"has_anomaly": F.lit(True), "delta_percent": F.col("roas_effect") * 100.0})
-    known = df.select("date", "channel", "metric", C.evidence_label().alias("evidence_label"))
     seen = S.detect_anomalies(series).select("date", "channel").distinct().withColumn("has_anomaly", F.lit(True))
-    rest = series.select("date", "channel").join(df.select("date", "channel"), ["date", "channel"], "left_anti").join(seen, ["date", "channel"], "left")
-    rest = C.without_estimate(rest.withColumn("has_anomaly", F.coalesce("has_anomaly", F.lit(False))))
-    return known.unionByName(rest.select("date", "channel", F.lit("none").alias("metric"), "evidence_label"))
+
+    def flagged(df):
+        return df.join(seen, ["date", "channel"], "left").withColumn("has_anomaly", F.coalesce("has_anomaly", F.lit(False)))
+
+    df = C.present_estimates(effects(spark, sf))
+    known = flagged(df).withColumn("delta_percent", F.col("roas_effect") * 100.0)
+    known = known.select("date", "channel", "metric", C.evidence_label().alias("evidence_label"))
+    rest = series.select("date", "channel").join(df.select("date", "channel"), ["date", "channel"], "left_anti")
+    return known.unionByName(C.without_estimate(flagged(rest)).select("date", "channel", F.lit("none").alias("metric"), "evidence_label"))
 
 
 @query(
