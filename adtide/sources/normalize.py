@@ -28,6 +28,8 @@ from adtide.schema import (
 
 MICROS_HEADERS = {"metrics_cost_micros", "cost_micros"}
 MICROSOFT_HEADERS = {"timeperiod", "campaigntype", "campaignname"}
+# Core fields and what stands in for one that a source lacks.
+MISSING_FIELD_DEFAULTS = {"date": "synthetic date", "revenue": "0", "spend": "0"}
 
 
 def detect_source_schema(headers: Sequence[str]) -> str:
@@ -202,10 +204,18 @@ def normalize_tagged(df: DataFrame, source: str = "source_file", keys: Sequence[
     )
 
 
-def adapter_issues(normalized: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts of unreadable numbers per field."""
-    return (
+def adapter_issues(normalized: DataFrame, by: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
+    """Issue lines (by, field, issue, n, replaced_by): unreadable numbers of a field, and with ``profile``, the
+    ``source_profile`` of the same groups, core fields that a source does not have (n: all its rows)."""
+    unreadable = (
         normalized.select(*by, F.explode("invalid_fields").alias("field"))
         .groupBy(*by, "field")
         .agg(F.count("*").alias("n"))
+        .select(*by, "field", F.lit("invalid_values").alias("issue"), "n", F.lit("0").alias("replaced_by"))
     )
+    if profile is None:
+        return unreadable
+    names = F.array(*map(F.lit, MISSING_FIELD_DEFAULTS))
+    absent = profile.select(*by, F.explode(F.array_except(names, "mapped")).alias("field"), F.lit("missing_field").alias("issue"), F.col("source_rows").alias("n"))
+    default = F.coalesce(*[F.when(F.col("field") == f, v) for f, v in MISSING_FIELD_DEFAULTS.items()])
+    return unreadable.unionByName(absent.withColumn("replaced_by", default))

@@ -11,6 +11,7 @@ from adtide.operators import quality as Q
 from adtide.operators import rollup as R
 from adtide.plans.facts import campaign_fact, campaign_lines, table
 from adtide.plans.raw_exports import ads_export, store_export, web_export
+from adtide.schema import SOURCE_SIGNATURES
 from adtide.session import checkpoint
 from adtide.sources import exports as EX
 from adtide.sources import normalize as N
@@ -261,22 +262,69 @@ def normalize_tagged(spark, sf):
     )
 
 
+HEADERS = {
+    "ads": ["Day", "Platform", "Campaign", "Campaign type", "Cost", "Clicks", "Impressions", "Conversions", "Conversion value"],
+    "web": ["Event date", "Session source", "Session medium", "Session campaign name", "Purchase revenue", "Sessions", "Transactions"],
+    "store": ["created_at", "total_price", "orders", "product_type"],
+    "fact": ["date", "channel", "campaign_type", "campaign_name", "spend", "clicks", "impressions", "conversions", "revenue", "roas"],
+    "totals": ["date", "total"],
+}
+HEADERS["upload"] = [*HEADERS["ads"], *HEADERS["web"], *HEADERS["store"]]
+ROWS = {"ads": "lines", "web": "lines", "store": "orders", "fact": "fact", "totals": "lines", "upload": "three"}
+
+
+def signature_hits(names: list[str]) -> str:
+    return f"CAST(len(list_filter(names, lambda x: list_contains({names!r}, x))) >= 2 AS INTEGER)"
+
+
 @query(
     "prj1_detect_source_schema",
     sql(
-        "SELECT source_schema, count(*) AS n FROM three GROUP BY 1 UNION ALL SELECT 'canonical', count(*) FROM fact UNION ALL SELECT 'generic_marketing', count(*) FROM lines",
+        f"""SELECT layout, CASE kinds WHEN 0 THEN 'generic_marketing' WHEN 1 THEN CASE WHEN ads = 1 THEN 'ads' WHEN ga4 = 1 THEN 'ga4' ELSE 'shopify' END ELSE 'mixed' END AS source_schema, n
+FROM (SELECT *, {' + '.join(SOURCE_SIGNATURES)} AS kinds FROM (SELECT layout, n, {', '.join(f'{signature_hits(v)} AS {k}' for k, v in SOURCE_SIGNATURES.items())}
+FROM (SELECT layout, n, list_distinct(list_transform(headers, lambda h: trim(regexp_replace(lower(h), '[^a-z0-9]+', '_', 'g'), '_'))) AS names FROM (
+"""
+        + " UNION ALL ".join(f"SELECT '{k}' AS layout, {v!r} AS headers, (SELECT count(*) FROM {ROWS[k]}) AS n" for k, v in HEADERS.items())
+        + "))))",
         "three",
         "fact",
     ),
 )
 def detect_source_schema(spark, sf):
-    """Header classes of five layouts with the rows each covers."""
-    fact = campaign_fact(spark, sf)
-    generic = campaign_lines(spark, sf).select("date", F.col("revenue").alias("total"))
-    odd = [RC.union_sources([f(spark, sf).drop("row").select(F.lit(N.detect_source_schema(f(spark, sf).drop("row").columns)).alias("source_schema")) for f in (ads_export, web_export, store_export)])]
-    # The canonical layout also carries two ad signatures; a bare canonical header set without them is rarer.
-    named = [fact.select(F.lit("canonical").alias("source_schema")), generic.select(F.lit(N.detect_source_schema(generic.columns)).alias("source_schema"))]
-    return RC.union_sources([*odd, *named]).groupBy("source_schema").agg(F.count("*").alias("n"))
+    """The class of six header sets, with the rows each covers. The fact's headers carry ad signatures, which decide first."""
+    frames = {
+        "ads": ads_export(spark, sf).drop("row"), "web": web_export(spark, sf).drop("row"), "store": store_export(spark, sf).drop("row"),
+        "fact": campaign_fact(spark, sf), "totals": campaign_lines(spark, sf).select("date", F.col("revenue").alias("total")),
+        "upload": tagged_upload(spark, sf).drop("source_file"),
+    }
+    kinds = [df.select(F.lit(k).alias("layout"), F.lit(N.detect_source_schema(df.columns)).alias("source_schema")) for k, df in frames.items()]
+    return RC.union_sources(kinds).groupBy("layout", "source_schema").agg(F.count("*").alias("n"))
+
+
+def upload_issues(spark, sf):
+    """Source profile and issue lines of two uploads: all three sources, and the store export alone."""
+    shop = F.when(F.col("source_file") == "store.csv", "store")
+    rows = tagged_upload(spark, sf).withColumn("upload", F.explode(F.array_compact(F.array(F.lit("all"), shop))))
+    by = ["upload", "source_file"]
+    kinds = checkpoint(N.source_profile(rows, "source_file", ["upload"]))
+    return kinds, N.adapter_issues(N.normalize_tagged(rows, "source_file", ["upload"]), by, kinds)
+
+
+cte(
+    "issue_lines",
+    """
+SELECT 'all' AS upload, 'google_ads.csv' AS source_file, 'spend' AS field, 'invalid_values' AS issue, CAST(sum(bad_spend) AS BIGINT) AS n, '0' AS replaced_by FROM ads_norm HAVING sum(bad_spend) > 0
+UNION ALL SELECT 'all', 'web.csv', 'spend', 'missing_field', count(*), '0' FROM web_raw
+UNION ALL SELECT u, 'store.csv', 'spend', 'missing_field', count(*), '0' FROM store_raw, (SELECT unnest(['all', 'store']) AS u) GROUP BY u""",
+    "ads_norm",
+    "web_raw",
+    "store_raw",
+)
+
+
+@query("prj3_issue_lines", sql("SELECT * FROM issue_lines", "issue_lines"))
+def issue_lines(spark, sf):
+    return upload_issues(spark, sf)[1]
 
 
 @query(
@@ -446,12 +494,24 @@ def keyed(spark, sf):
     return checkpoint(rows.withColumn("date", RC.date_key(F.col("date"))))
 
 
-@query("jn1_reconcile_authority", sql("SELECT 'shopify' AS authority, count(*) AS n FROM three", "three"))
+@query(
+    "jn1_reconcile_authority",
+    sql(
+        """SELECT upload, CASE WHEN shop AND (web OR ads) THEN 'shopify' WHEN web AND ads THEN 'ga4' END AS authority, n FROM (
+SELECT upload, bool_or(source_schema = 'shopify') AS shop, bool_or(source_schema = 'ga4') AS web, bool_or(source_schema = 'ads') AS ads, count(*) AS n FROM (
+ SELECT 'all' AS upload, source_schema FROM three UNION ALL SELECT 'without store', source_schema FROM three WHERE source_schema <> 'shopify'
+ UNION ALL SELECT 'ads alone', source_schema FROM three WHERE source_schema = 'ads') GROUP BY upload)""",
+        "three",
+    ),
+)
 def reconcile_authority(spark, sf):
-    rows = three_sources(spark, sf)
+    """Three uploads of an account: all sources, those without the store, and the ads alone, which have no authority."""
     from adtide.functions.tables import attach
 
-    return attach(rows, RC.revenue_authority(rows), ()).groupBy("authority").agg(F.count("*").alias("n"))
+    kind = F.col("source_schema")
+    uploads = F.array_compact(F.array(F.lit("all"), F.when(kind != "shopify", "without store"), F.when(kind == "ads", "ads alone")))
+    rows = three_sources(spark, sf).select("source_schema", F.explode(uploads).alias("upload"))
+    return attach(rows, RC.revenue_authority(rows, ["upload"]), ["upload"]).groupBy("upload", "authority").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -490,13 +550,24 @@ def date_overlap(spark, sf):
     return rounded(RC.date_overlap(keyed(spark, sf), "source_schema"), "date_overlap_pct")
 
 
-@query("set3_duplicate_sources", sql("SELECT CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) AS duplicate_sources FROM three", "three"))
+@query(
+    "set3_duplicate_sources",
+    sql(
+        """SELECT upload, CAST(count(*) - count(DISTINCT print) AS BIGINT) AS duplicate_sources FROM (SELECT upload, source_file, (count(*), sum(CAST(h AS HUGEINT)), bit_xor(h)) AS print FROM (
+ SELECT upload, source_file, hash(date, channel, campaign_type, campaign_name, spend, clicks, impressions, conversions, revenue, roas) AS h FROM (
+  SELECT 'plain' AS upload, source_schema AS source_file, * FROM three UNION ALL SELECT 'doubled', source_schema, * FROM three UNION ALL SELECT 'doubled', 'copy', * FROM three WHERE source_schema = 'ga4')) GROUP BY 1, 2) GROUP BY 1""",
+        "three",
+    ),
+)
 def duplicate_sources(spark, sf):
-    """The three sources plus a second, shuffled copy of one of them."""
-    rows = three_sources(spark, sf).withColumn("source_file", F.col("source_schema"))
-    copy = rows.filter(F.col("source_schema") == "ga4").withColumn("source_file", F.lit("copy"))
-    columns = [c for c in rows.columns if c not in ("row", "source_file", "source_schema", "invalid_fields")]
-    return RC.duplicate_sources(RC.union_sources([rows, copy]), "source_file", columns)
+    """The three sources as they are, and with a second copy of one of them under another name."""
+    rows = three_sources(spark, sf)
+    files = F.array_compact(
+        F.array(*[F.struct(F.lit(u).alias("upload"), F.col("source_schema").alias("source_file")) for u in ("plain", "doubled")],
+                F.when(F.col("source_schema") == "ga4", F.struct(F.lit("doubled").alias("upload"), F.lit("copy").alias("source_file"))))
+    )
+    columns = [c for c in rows.columns if c not in ("row", "source_schema", "invalid_fields")]
+    return RC.duplicate_sources(rows.select("*", F.inline(files)), "source_file", columns, ["upload"])
 
 
 @query(

@@ -108,3 +108,15 @@ def test_folder_counts_sales_once(spark, tmp_path):
     rows = sorted((r.date, r.campaign_name, r.revenue, r.source_schema) for r in exports.read_folder(spark, str(tmp_path)).collect())
     assert [(d, v) for d, _, v, _ in rows] == [("2026-01-01", 75.0), ("2026-01-01", 25.0), ("2026-01-03", 8.0), ("2026-01-05", 40.0)]
     assert rows[0][3] == "reconciled_shopify_with_media" and rows[3][3] == "reconciled_shopify"
+
+
+def test_issue_lines_name_unreadable_numbers_and_missing_fields(spark):
+    """A source without a date, one without spend and with a bad number, and one that is complete."""
+    rows = [("a", None, "x", "5", "n/a"), ("a", None, "y", "6", "7"), ("b", "2026-01-01", "z", None, "bad"), ("b", "2026-01-02", "z", None, "4"), ("c", "2026-01-01", "z", "1", "2")]
+    df = spark.createDataFrame(rows, "source_file string, date string, channel string, spend string, revenue string")
+    profile = normalize.source_profile(df, "source_file")
+    lines = normalize.adapter_issues(normalize.normalize_tagged(df), ["source_file"], profile).collect()
+    assert {(r.source_file, r.field, r.issue, r.n, r.replaced_by) for r in lines} == {
+        ("a", "date", "missing_field", 2, "synthetic date"), ("a", "revenue", "invalid_values", 1, "0"),
+        ("b", "spend", "missing_field", 2, "0"), ("b", "revenue", "invalid_values", 1, "0"),
+    }
