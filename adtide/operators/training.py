@@ -408,16 +408,32 @@ def estimate_missing_spend(fact: DataFrame, benchmarks: DataFrame, keys: Sequenc
     return out.withColumn("roas", safe_ratio("revenue", "spend")).drop("_s", "_r", "_channel", "_campaign_type")
 
 
+def label_correlations(samples: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, correlation) of every feature with the label, all in one pass; null for constant ones."""
+    y = F.col(label)
+
+    def correlation(f: str) -> Column:
+        spread = F.stddev_pop(f) * F.stddev_pop(y)
+        return F.when(spread > 1e-12, F.covar_pop(F.col(f), y) / spread)
+
+    one = samples.groupBy(*by).agg(*[correlation(f).alias(f"_r_{f}") for f in FEATURES])
+    return one.select(*by, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_r_{f}").alias("correlation")) for f in FEATURES])))
+
+
+def feature_quartiles(samples: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, n, mid, low, high): exact interpolated median and quartiles, found by rank without sorting a feature in one task."""
+    long = samples.select(*by, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])))
+    return interpolated_quantiles(long, [*by, "feature"], "value", {"mid": 0.5, "low": 0.25, "high": 0.75})
+
+
 def feature_importance(model: Trees, samples: DataFrame, label: str, n: int = 6) -> DataFrame:
     """Normalised importance of the top features, signed by their correlation with the label."""
     weights = {f: float(w) for f, w in zip(FEATURES, model.gain, strict=True)}
     total = sum(weights.values()) or 1.0
-    # One aggregate per feature in one pass; the model scalars then join as constants.
-    y = F.col(label)
-    one = samples.agg(*[F.try_divide(F.covar_pop(F.col(f), y), F.stddev_pop(f) * F.stddev_pop(y)).alias(f) for f in FEATURES])
-    rows = [F.struct(F.lit(f).alias("feature"), F.lit(w / total * 100.0).alias("importance"), F.col(f).alias("correlation")) for f, w in weights.items()]
+    share = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, w / total * 100.0)])
+    rows = label_correlations(samples, label).select("feature", share[F.col("feature")].alias("importance"), "correlation")
     sign = F.when(F.col("correlation") < 0, "negative").otherwise("positive")
-    return one.select(F.inline(F.array(*rows))).orderBy(F.col("importance").desc(), "feature").limit(n).withColumn("direction", sign)
+    return rows.orderBy(F.col("importance").desc(), "feature").limit(n).withColumn("direction", sign)
 
 
 def local_drivers(
@@ -427,13 +443,10 @@ def local_drivers(
 
     All replacements are rows of one frame, so the model runs once over segments x features x 3.
     """
-    quartiles = samples.agg(*[F.percentile_approx(f, [0.5, 0.25, 0.75], 10000).alias(f"_q_{f}") for f in features])
-    base = attach(current, quartiles, ())
-
-    def replacements(f: str) -> Column:
-        return F.transform(F.col(f"_q_{f}"), lambda v: F.struct(F.lit(f).alias("feature"), v.cast("double").alias("value")))
-
-    rows = base.withColumn("_o", F.explode(F.flatten(F.array(*[replacements(f) for f in features]))))
+    values = feature_quartiles(samples, features).select("feature", F.explode(F.array("mid", "low", "high")).alias("value"))
+    # One row of at most three values per feature.
+    quartiles = values.agg(F.collect_list(F.struct("feature", "value")).alias("_q"))
+    rows = attach(current, quartiles, ()).withColumn("_o", F.explode("_q")).drop("_q")
     changed = rows.withColumns({f: F.when(F.col("_o.feature") == f, F.col("_o.value")).otherwise(F.col(f)) for f in features})
     predict = predictor({(0, 0): {"p": model}})
     guess = predict(F.lit(0), F.lit(0), vector())["p"]

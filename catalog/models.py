@@ -376,6 +376,43 @@ def feature_importance(spark, sf):
     return over_models(spark, sf, lambda rows, samples, model, target: T.feature_importance(model, samples, f"{target}_target"))
 
 
+def listed(cells) -> str:
+    """One aggregate struct per feature, as rows."""
+    return f"SELECT horizon_days, unnest([{', '.join(cells)}], recursive := true) FROM samples GROUP BY horizon_days"
+
+
+def r_sql(f: str, y: str) -> str:
+    spread = f"(stddev_pop({f}) * stddev_pop({y}))"
+    return r(f"CASE WHEN {spread} > 1e-12 THEN covar_pop({f}, {y}) / {spread} END")
+
+
+@query(
+    "fc18_label_correlations",
+    sql(
+        "SELECT * FROM (" + listed(f"{{'feature': '{f}', 'revenue_correlation': {r_sql(f, 'revenue_target')}, 'roas_correlation': {r_sql(f, 'roas_target')}}}" for f in X.FEATURES) + ")",
+        "samples",
+    ),
+)
+def label_correlations(spark, sf):
+    """What the fits cannot change in fc18: the correlation behind each direction, for all features, horizons and targets."""
+    samples = checkpoint(X.training_set(features(spark, sf)))
+    sides = [T.label_correlations(samples, f"{t}_target", ["horizon_days"]).withColumnRenamed("correlation", f"{t}_correlation") for t in ("revenue", "roas")]
+    return rounded(sides[0].join(sides[1], ["horizon_days", "feature"]), "revenue_correlation", "roas_correlation")
+
+
+@query(
+    "fc17_replacement_values",
+    sql(
+        "SELECT * FROM (" + listed(f"{{'feature': '{f}', 'n': count({f}), " + ", ".join(f"'{k}': {r(f'quantile_cont(CAST({f} AS DOUBLE), {q})')}" for k, q in (("mid", 0.5), ("low", 0.25), ("high", 0.75))) + "}" for f in X.FEATURES) + ")",
+        "samples",
+    ),
+)
+def replacement_values(spark, sf):
+    """What the fits cannot change in fc17: the exact values that stand in for each feature."""
+    samples = checkpoint(X.training_set(features(spark, sf)))
+    return rounded(T.feature_quartiles(samples, X.FEATURES, ["horizon_days"]), "mid", "low", "high")
+
+
 @query("fc17_local_drivers")
 def local_drivers(spark, sf):
     return over_models(

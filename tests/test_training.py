@@ -120,3 +120,23 @@ def test_report_measures_r2(spark, plain, models):
     assert {h: (r.revenue_trees, r.roas_trees) for h, r in report.items()} == {30: (200, 80), 60: (85, 70), 90: (75, 60)}
     out = T.trained_predictions(plain[0], models)
     assert out.count() == 18 and out.where("lower_revenue > expected_revenue OR expected_revenue > upper_revenue").count() == 0
+
+
+def test_quartiles_and_correlations_are_exact(spark):
+    """Against numpy: nulls, a constant feature and ties."""
+    rng = np.random.default_rng(4)
+    names = X.FEATURES
+    values = np.round(rng.normal(size=(200, len(names))), 1)
+    values[:, 3] = 2.0
+    y = values[:, 0] * 2 + rng.normal(size=200)
+    rows = [(*map(float, v), float(t)) for v, t in zip(values, y)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in (*names, "label")))
+    df = df.withColumn(names[1], F.when(F.col(names[1]) < 0, None).otherwise(F.col(names[1])))
+    kept = {n: values[:, i] if i != 1 else values[values[:, 1] >= 0, 1] for i, n in enumerate(names)}
+    got = {r.feature: r for r in T.feature_quartiles(df, names).collect()}
+    assert set(got) == set(names)
+    for n in names:
+        assert got[n].n == len(kept[n]) and np.allclose([got[n].low, got[n].mid, got[n].high], np.quantile(kept[n], [0.25, 0.5, 0.75]))
+    signs = {r.feature: r.correlation for r in T.label_correlations(df, "label").collect()}
+    assert signs[names[3]] is None
+    assert abs(signs[names[0]] - np.corrcoef(values[:, 0], y)[0, 1]) < 1e-9
