@@ -16,7 +16,9 @@ def components(links: DataFrame, name: str = "components", rounds: int = 100) ->
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    for _ in range(rounds):
+    state = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    was = edges.agg(state).first()
+    for _ in range(rounds if was[0][0] else 0):
         least = both(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large-star: larger neighbours of a node go to its smallest neighbour (or itself)
         large = (edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a")
@@ -25,9 +27,9 @@ def components(links: DataFrame, name: str = "components", rounds: int = 100) ->
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         low = large.join(small, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialise(small.select("a", F.col("m").alias("b")).union(low).distinct(), name)
-        state = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-        if edges.agg(state).first() == after.agg(state).first():
+        now = after.agg(state).first()
+        if was == now:
             break
-        edges = after
+        edges, was = after, now
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

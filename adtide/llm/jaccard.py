@@ -17,13 +17,15 @@ from adtide.llm.words import chunks, mix, prefix, window_hash, words
 SHINGLE = 5
 PERCENT = 75
 CELLS = 1 << 22  # of the frequency sketch; rare shingles stand out only where cells hold few
+FAN_IN = 16
 OFTEN = 1e-3  # a shingle in a larger share of the documents has its postings salted
 SALTS = 64
-BLOCK_SHINGLES = 1_000_000  # of one block of rows of the incidence matrix
+BLOCK_SHINGLES = 2_000_000  # of one block of rows of the incidence matrix
 DENSE_COLUMNS = 4096
-PAIR_LIMIT = 8_000_000  # cells of the overlap matrix of two blocks
+PAIR_LIMIT = 1 << 30  # row pairs of two blocks
 BLOCK_ROWS = int(PAIR_LIMIT**0.5) // 2
-FAN_IN = 16
+TILE_ROWS = 1414  # rows of a block that are multiplied with as many others at a time
+PLAIN_ROWS = 64  # so few rows are multiplied without a look at their shingles
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -91,7 +93,7 @@ def _postings(reps: DataFrame, sketch: np.ndarray, often: float) -> DataFrame:
         for batch in unpacked(batches, 1 << 20):
             token, size, which = [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1))):
-                k = len(s) - (PERCENT * len(s) + 99) // 100 + 1
+                k = _prefix(len(s))
                 cells = sketch[(s % np.uint64(CELLS)).astype(np.int64)]
                 token.append(s[np.lexsort((s, cells))[:k]])
                 size.append(np.full(k, len(s)))
@@ -110,6 +112,11 @@ def _postings(reps: DataFrame, sketch: np.ndarray, often: float) -> DataFrame:
     return reps.select("id", "packed").mapInArrow(emit, f"token long, cls short, salt short, id {kind}, n long")
 
 
+def _prefix(n):
+    """So many shingles of a set of n, in any order common to all sets, must hold one that a linked set has too."""
+    return n - (PERCENT * n + 99) // 100 + 1
+
+
 def _candidate_links(post: DataFrame) -> DataFrame:
     """Chains through each token's rows: whoever shares a token and is near in size ends in one cluster."""
     line = Window.partitionBy("token", "cls", "salt").orderBy("n", "id")
@@ -156,37 +163,79 @@ def _spanning(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels after the links (a, b): the smallest label that a row reaches."""
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _chained(sets: list[np.ndarray], size: np.ndarray) -> list[np.ndarray]:
+    """The rows of a block in parts that no link crosses: chains through shared shingles of the prefixes, as above, here in
+    the order of the exact counts in the block."""
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    col, many = col.astype(np.int32), count[col].astype(np.int32)
+    order = np.lexsort((col, many, row))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    keep = order[(rank < np.repeat(_prefix(size), size)) & (many[order] > 1)]
+    keep = keep[np.lexsort((size[row[keep]], col[keep]))]
+    r, c = row[keep], col[keep]
+    near = (c[1:] == c[:-1]) & (100 * size[r[:-1]] >= PERCENT * size[r[1:]])
+    label = _merged(np.arange(len(sets)), r[:-1][near], r[1:][near])
+    order = np.argsort(label, kind="stable")
+    return [p for p in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(p) > 1]
+
+
+def _block_links(sets: list[np.ndarray], tile: int = TILE_ROWS) -> list[tuple[int, int]]:
+    """Spanning links of a block. A part is multiplied in tiles of rows of near sizes; tiles whose rows are all in one
+    component already need no product."""
+    size, out = np.array([len(s) for s in sets]), []
+    label = np.arange(len(sets))
+    for rows in _chained(sets, size) if len(sets) > PLAIN_ROWS else [label]:
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        tiles = [rows[at : at + tile] for at in range(0, len(rows), tile)]
+        for i, j in ((i, i + d) for d in range(len(tiles)) for i in range(len(tiles) - d)):
+            both = tiles[i] if i == j else np.concatenate([tiles[i], tiles[j]])
+            if PERCENT * size[tiles[j][0]] > 100 * size[tiles[i][-1]] or (label[both] == label[both[0]]).all():
+                continue
+            n = size[both].astype(np.float32)
+            common = _overlaps([sets[r] for r in both])
+            near = PERCENT * np.maximum(n[:, None], n[None, :]) <= 100 * np.minimum(n[:, None], n[None, :])
+            found = _spanning(near & (100 * common >= PERCENT * (n[:, None] + n[None, :] - common)))
+            if found:
+                a, b = both[np.array(found).T]
+                label = _merged(label, a, b)
+                out.extend(zip(a.tolist(), b.tolist(), strict=True))
+    return out
+
+
 def _verify(batches):
     """Links inside each block (cluster, i, j); rows arrive in the order of the blocks."""
-    held, key = [], None
+    ids, sets, key, kind = [], [], None, None
 
     def links():
-        if len(held) < 2:
-            return []
-        ids, sets = [h[0] for h in held], [np.frombuffer(h[1], np.uint64) for h in held]
-        size = np.array([len(s) for s in sets], np.float32)
-        common = _overlaps(sets)
-        near = PERCENT * np.maximum(size[:, None], size[None, :]) <= 100 * np.minimum(size[:, None], size[None, :])
-        ok = near & (100 * common >= PERCENT * (size[:, None] + size[None, :] - common))
-        return [(ids[a], ids[b]) for a, b in _spanning(ok)]
-
-    for batch in batches:
-        found = []
-        for cluster, i, j, rid, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (cluster, i, j) != key:
-                found += links()
-                held, key = [], (cluster, i, j)
-            held.append((rid, data))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.field(3).type) for k in (0, 1)], ["a", "b"])
-    found = links()
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found]) for k in (0, 1)], ["a", "b"])
+        found = [(ids[a], ids[b]) for a, b in _block_links(sets)] if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], ["a", "b"])
 
-
-def _contents(batches):
     for batch in unpacked(batches, 1 << 20):
-        sets = shingle_sets(batch.column(batch.num_columns - 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], [*batch.schema.names[:-1], "data"])
+        kind = batch.schema.field(3).type
+        new = shingle_sets(batch.column(4))
+        for cluster, i, j, rid, s in zip(*(c.to_pylist() for c in batch.columns[:4]), new, strict=True):
+            if (cluster, i, j) != key:
+                if len(sets) > 1:
+                    yield links()
+                ids, sets, key = [], [], (cluster, i, j)
+            ids.append(rid)
+            sets.append(s)
+    if len(sets) > 1:
+        yield links()
 
 
 def _block_pairs(reps: DataFrame, near: DataFrame, block: int, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -212,6 +261,23 @@ def _block_pairs(reps: DataFrame, near: DataFrame, block: int, rows: int = BLOCK
     return placed.select("cluster", "own", pairs.alias("pairs"), "id", "packed")
 
 
+def _clusters(reps: DataFrame, block: int) -> DataFrame:
+    """(id, cluster): a superset of the classes. The rows of clusters beyond one block are clustered once more among themselves,
+    where the cells of the sketch hold fewer shingles, so that chains by chance break."""
+
+    def near(rows):
+        often = max(64.0, OFTEN * rows.count())
+        return components(_candidate_links(_postings(rows, _frequency(rows), often)), "jaccard-clusters").withColumnRenamed("component", "cluster")
+
+    first = materialise(near(reps), "jaccard-first")
+    size = reps.select("id", "n").join(first, "id").groupBy("cluster").agg(F.sum("n").alias("s"))
+    large = materialise(first.join(size.where(F.col("s") > block), "cluster", "left_semi").select("id"), "jaccard-large")
+    if large.isEmpty():
+        return first
+    again = near(materialise(reps.join(large, "id", "left_semi"), "jaccard-again"))
+    return first.join(large, "id", "left_anti").unionByName(again)
+
+
 def _size_class():
     return F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(4 / 3)) + 1e-9)
 
@@ -222,8 +288,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when their sets of five-word shingles have a Jaccard similarity of 0.75 or more; a class is what
     links reach, named by its smallest id. Equal sets are one row of the incidence matrix from the start. Rows that can
     link share a shingle in a prefix whose length follows from their size, in one global order with common shingles last;
-    chains through these shingles cut the matrix into clusters, a superset of the classes. A cluster's rows are dealt to
-    blocks of bounded shingles and rows, and each pair of blocks whose sizes can link is multiplied in one task: overlap counts add up over column blocks,
+    chains through these shingles cut the matrix into clusters, a superset of the classes; those beyond one block are cut once
+    more by counts among their own rows. A cluster's rows are dealt to
+    blocks of bounded shingles and rows, and each pair of blocks whose sizes can link goes to one task, as compressed texts. There,
+    chains by the exact counts cut the rows again, and what is left is multiplied in tiles: overlap counts add up over column blocks,
     pairs are discarded by the bound 0.75 max <= min of the sizes and by the count itself, and only spanning links leave
     the task. So a group of copies is never expanded into its pairs. The order and the clusters only steer the work; no link
     is lost. Shingles are compared by 64-bit hashes.
@@ -236,11 +304,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = rows.mapInArrow(_packed, f"id {kind}, key binary, n long, packed binary")
     reps = materialise(keyed.where("key is not null and id is not null").groupBy("key").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("packed").alias("packed")), "jaccard-sets")
-    often = max(64.0, OFTEN * reps.count())
-    near = components(_candidate_links(_postings(reps, _frequency(reps), often)), "jaccard-clusters").withColumnRenamed("component", "cluster")
-    data = _block_pairs(reps, near, block).mapInArrow(_contents, f"cluster {kind}, own long, pairs array<bigint>, id {kind}, data binary")
-    other = data.select("cluster", "own", F.explode("pairs").alias("p"), "id", "data")
-    blocks = other.select("cluster", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "id", "data")
+    other = _block_pairs(reps, _clusters(reps, block), block).select("cluster", "own", F.explode("pairs").alias("p"), "id", "packed")
+    blocks = other.select("cluster", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "id", "packed")
     links = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify, f"a {kind}, b {kind}")
     classes = components(links, "jaccard-links")
     of_key = reps.select("key", F.col("id").alias("rep")).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(

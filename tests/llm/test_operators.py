@@ -108,6 +108,27 @@ def test_jaccard_rows_of_a_block(spark):
     assert got == {**dict.fromkeys(range(6000), 0), 9000: 9000}
 
 
+@pytest.mark.parametrize("tile", [5, jaccard.TILE_ROWS])
+def test_jaccard_block_links(tile):
+    """Chains by exact counts and tiles lose no link, and boilerplate that all rows share does not hold a block together."""
+    rng = np.random.default_rng(1)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, rng.integers(4, 60)).astype(np.uint64)
+        for _ in range(rng.integers(1, 30)):
+            s = base.copy()
+            k = rng.integers(0, len(s) // 5 + 1)
+            s[rng.permutation(len(s))[:k]] = rng.integers(0, 300, k).astype(np.uint64)
+            sets.append(np.unique(s))
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    label = lambda found: jaccard._merged(np.arange(len(sets)), *np.array(found).T).tolist()
+    assert len(set(label(links))) > 10 and label(jaccard._block_links(sets, tile)) == label(links)
+    common = np.arange(20, dtype=np.uint64)
+    apart = [np.concatenate([common, rng.integers(1 << 40, 2**63, 80).astype(np.uint64)]) for _ in range(100)]
+    assert jaccard._chained(apart, np.array([100] * 100)) == []
+
+
 def test_jaccard_edges(spark, docs, empty, texts):
     assert jaccard.jaccard_classes(empty).count() == 0
     odd = spark.createDataFrame([(None, "one two three", None, None, None), (5, "one two three", None, None, None), (5, "one two three", None, None, None)], DOCS)
