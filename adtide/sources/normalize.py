@@ -25,6 +25,7 @@ from adtide.schema import (
     SOURCE_SIGNATURES,
     TEXT_DEFAULTS,
 )
+from adtide.session import checkpoint
 
 MICROS_HEADERS = {"metrics_cost_micros", "cost_micros"}
 MICROSOFT_HEADERS = {"timeperiod", "campaigntype", "campaignname"}
@@ -190,8 +191,11 @@ def source_profile(df: DataFrame, source: str, keys: Sequence[str] = ()) -> Data
 
 
 def normalize_tagged(df: DataFrame, source: str = "source_file", keys: Sequence[str] = ()) -> DataFrame:
-    """Normalise one upload of several tagged sources, each with its own header facts."""
-    profile = source_profile(df, source, keys).drop("source_rows", "mapped")
+    """Normalise one upload of several tagged sources, each with its own header facts.
+
+    The profile is written, one row a source, so rows meet it without a shuffle by the few sources while it is small.
+    """
+    profile = checkpoint(source_profile(df, source, keys).drop("source_rows", "mapped"))
     joined = df.join(profile, [*keys, source], "left")
     headers = {c: c for c in df.columns if c not in {source, *keys}}
     return normalize_facts(
