@@ -120,3 +120,20 @@ def test_issue_lines_name_unreadable_numbers_and_missing_fields(spark):
         ("a", "date", "missing_field", 2, "synthetic date"), ("a", "revenue", "invalid_values", 1, "0"),
         ("b", "spend", "missing_field", 2, "0"), ("b", "revenue", "invalid_values", 1, "0"),
     }
+
+
+def test_tagged_rows_meet_the_profile_without_a_shuffle(spark):
+    """Two sources are two join keys: shuffled by source, half of all rows would be one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        rows = spark.range(100_000).select(
+            F.when(F.col("id") % 2 == 0, "a.csv").otherwise("b.csv").alias("source_file"), F.lit("2024-01-05").alias("Day"),
+            F.when(F.col("id") % 2 == 0, "12").alias("metrics_cost_micros"), F.lit("7").alias("Clicks"))
+        out = normalize.normalize_tagged(rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(source_file" not in plan
+        got = {(r.source_file, r.spend, r.n) for r in out.groupBy("source_file", "spend").agg(F.count("*").alias("n")).collect()}
+        assert got == {("a.csv", 12e-6, 50_000), ("b.csv", 0.0, 50_000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
