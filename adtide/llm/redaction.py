@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adtide.llm.store import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 20_000
 PRECISION = 0.98
+RANGES = 1000  # of scores, each summed up by itself
 
 # Separators that cannot continue a match are overwritten by one other character, which keeps all positions.
 _LOOSE_DOT = r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])"
@@ -100,7 +100,8 @@ def _feature_values(x: Column) -> dict[str, Column]:
 
 
 def _threshold(scored: list[tuple[float, int]], precision: float) -> float | None:
-    """Smallest score above which the labelled rows reach the precision; rows of one score are taken together."""
+    """Smallest score above which the labelled rows reach the precision; rows of one score are taken together. The rule
+    that ``_least_score`` applies to a table."""
     best, good, rows = None, 0, sorted(scored, reverse=True)
     for i, (score, label) in enumerate(rows, 1):
         good += label
@@ -109,19 +110,31 @@ def _threshold(scored: list[tuple[float, int]], precision: float) -> float | Non
     return best
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
-                   precision: float = PRECISION, seed: int = 7) -> DataFrame:
+def _least_score(scored: DataFrame, precision: float) -> float | None:
+    """``_threshold`` of the columns score (0 to 1) and label: sums from the top, of ranges of scores first, then inside each."""
+    each = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
+    each = each.withColumn("range", F.floor(F.col("score") * RANGES).cast("int"))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = each.groupBy("range").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select(
+        "range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "good")])
+    upto = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = each.select("range", "score", *[F.sum(c).over(upto).alias(c) for c in ("n", "good")]).join(ranges, "range")
+    enough = F.col("good") + F.col("good_above") >= F.lit(precision) * (F.col("n") + F.col("n_above"))
+    return sums.where(enough).agg(F.min("score")).first()[0]
+
+
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION, seed: int = 7) -> DataFrame:
     """Base spans of each document and further ones that boosted trees accept.
 
     Base rules (e-mail, IPv4, card, phone) give the spans that always stay. Two loose generators propose spans of any of
     these kinds, which may overlap the base ones and each other. Gradient-boosted trees score a candidate by its format
-    and context, without the mark the base rule keys on (such as a phone's plus); they are fit on candidates of at most about
-    ``sample_rows`` hashed rows, labelled by overlap with a base span, and the threshold is the smallest score with the
-    given precision on the sampled rows held out. Accepted candidates that overlap no base span are added, best score first
-    where two overlap. Everything but the fit covers all rows.
+    and context, without the mark the base rule keys on (such as a phone's plus); they are fit on the candidates of half of
+    the texts (by hash), labelled by overlap with a base span, and the threshold is the smallest score with the
+    given precision on all candidates of the other half. (MLlib itself finds the split points of its bins on some rows.) Accepted candidates that overlap no base span are added, best score first
+    where two overlap.
 
-    Null and empty texts have no spans. Repeated rows get equal results. A document with no candidates or a sample of
-    fewer than 50 candidates or a single label adds nothing. Empty tables give no rows; columns other than id and text are ignored.
+    Null and empty texts have no spans. Repeated rows get equal results. A document with no candidates adds nothing, nor does a
+    table with fewer than 50 candidates or a single label in a half. Empty tables give no rows; columns other than id and text are ignored.
     Result: id, text_key, base and added: arrays of (kind, start, end), ends exclusive, in code points.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -150,7 +163,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                       *[v.cast("double").alias(k) for k, v in _feature_values(F.col("x")).items()],
                       *[(F.col("kind") == k).cast("double").alias(f"is_{k}") for k in KINDS])
     names = [*FEATURES, *[f"is_{k}" for k in KINDS]]
-    added = _choose(cand, names, sample_rows, precision, seed)
+    added = _choose(cand, names, precision, seed)
     if added is None:
         none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
         return found.select(F.col("id").alias(id_col), "text_key", "base", none.alias("added"))
@@ -160,21 +173,15 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("added", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")).alias("added"))
 
 
-def _choose(cand: DataFrame, names: list[str], sample_rows: int, precision: float, seed: int) -> DataFrame | None:
-    n = cand.count()
-    if not n:
-        return None
-    at = F.pmod(F.xxhash64(F.lit(seed), "text_key", "start", "kind"), F.lit(1 << 20)).cast("double") / (1 << 20)
-    sample = cand.where(at < sample_rows / n) if n > sample_rows else cand
-    sample = materialise(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "text_key"), F.lit(2))), "pii-sample")
-    seen = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
+def _choose(cand: DataFrame, names: list[str], precision: float, seed: int) -> DataFrame | None:
+    cand = materialise(cand.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "text_key"), F.lit(2))), "pii-candidates")
+    seen = {(r["fold"], r["label"]): r["count"] for r in cand.groupBy("fold", "label").count().collect()}
     if sum(seen.values()) < 50 or any((f, y) not in seen for f in (0, 1) for y in (0, 1)):
         return None
     pack = VectorAssembler(inputCols=names, outputCol="features")
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=12, maxDepth=4, stepSize=0.2, seed=seed).fit(pack.transform(sample.where("fold = 0")))
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=12, maxDepth=4, stepSize=0.2, seed=seed).fit(pack.transform(cand.where("fold = 0")))
     score = F.round(vector_to_array("probability")[1], 9).alias("score")
-    held = model.transform(pack.transform(sample.where("fold = 1"))).select(score, "label").collect()
-    least = _threshold([(r["score"], r["label"]) for r in held], precision)
+    least = _least_score(model.transform(pack.transform(cand.where("fold = 1"))).select(score, "label"), precision)
     if least is None:
         return None
     kept = (model.transform(pack.transform(cand.where("label = 0"))).select("id", "text_key", "kind", "start", "end", score)

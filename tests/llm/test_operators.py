@@ -371,6 +371,16 @@ def test_threshold():
     assert redaction._threshold([(0.9, 0)], 0.9) is None and redaction._threshold([], 0.9) is None
 
 
+def test_least_score(spark):
+    """The threshold of a table is that of its rows; no row is left out."""
+    rng = random.Random(11)
+    for share in (0.5, 0.9, 1.0):
+        rows = [(round(rng.random(), 3), int(rng.random() < share)) for _ in range(3000)] + [(1.0, 1), (0.0, 0)]
+        got = redaction._least_score(spark.createDataFrame(rows, "score double, label int"), 0.9)
+        assert got == redaction._threshold(rows, 0.9)
+    assert redaction._least_score(spark.createDataFrame([(0.9, 0)], "score double, label int"), 0.9) is None
+
+
 # --- decontamination -------------------------------------------------------------------------------
 def test_contaminated(spark, empty):
     rng = random.Random(4)
