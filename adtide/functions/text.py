@@ -1,12 +1,15 @@
 """Text-to-value rules for untrusted exports, as Column expressions.
 
 Each rule reads its input once: Catalyst inlines projected columns into pushed filters, and rules that
-repeat their input grow beyond the size of one generated method when they are stacked.
+repeat their input grow with every level when they are stacked. Rules of several steps are bound to their input by a
+one-element array: Spark then generates many small methods for a projection of them. Fused with the joins below it, it
+is one method of a size that the JVM never compiles.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +22,11 @@ def norm_header(name: object) -> str:
     return re.sub(r"[^a-z0-9]+", "_", str(name).strip().lower()).strip("_")
 
 
+def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """The rule's result on the value, which is read once however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def is_blank(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value)), F.lit("")).isin(BLANK_TEXT)
 
@@ -26,7 +34,8 @@ def is_blank(value: Column) -> Column:
 def unless_blank(value: Column) -> Column:
     """The text, or NULL where it is blank or a written null."""
     words = "|".join(w for w in BLANK_TEXT if w)
-    return F.nullif(F.regexp_replace(value, rf"(?i)^\s*({words})?\s*$", ""), F.lit(""))
+    text = F.transform(F.array(value), lambda v: F.regexp_replace(v, rf"(?i)^\s*({words})?\s*$", ""))
+    return F.get(F.filter(text, lambda v: v != ""), F.lit(0))
 
 
 def finite(value: Column) -> Column:
@@ -54,26 +63,33 @@ def read_amount(value: Column) -> Column:
 
 def parse_date(value: Column) -> Column:
     """Day of an ISO, compact, slashed (month first, day first if it must be) or written-month text, in UTC."""
-    raw = value.cast("string")
-    text = F.regexp_replace(F.trim(raw), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    text = F.regexp_replace(text, r"^(1[3-9]|2\d|3[01])[/-](\d{1,2})[/-](\d{4})$", "$3-$2-$1")
-    text = F.regexp_replace(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
-    text = F.regexp_replace(text, r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4})$", "$2 $1, $3")
-    # Only texts that start with a year go to the lenient parser, which would take a bare time for today.
-    iso = F.try_to_timestamp(F.regexp_replace(text, r"^(?!\d{4}).*$", ""))
-    other = F.coalesce(iso, F.try_to_timestamp(text, F.lit("MMM d, yyyy")))
-    # ISO days, by far the most, skip the rewriting; a bare day needs no time-zone arithmetic either.
-    plain = raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    return F.when(plain, raw.try_cast("date")).otherwise(F.to_date(other))
+
+    def day(raw: Column) -> Column:
+        text = F.regexp_replace(F.trim(raw), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+        text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+        text = F.regexp_replace(text, r"^(1[3-9]|2\d|3[01])[/-](\d{1,2})[/-](\d{4})$", "$3-$2-$1")
+        text = F.regexp_replace(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", "$3-$1-$2")
+        text = F.regexp_replace(text, r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4})$", "$2 $1, $3")
+        # Only texts that start with a year go to the lenient parser, which would take a bare time for today.
+        iso = F.try_to_timestamp(F.regexp_replace(text, r"^(?!\d{4}).*$", ""))
+        other = F.coalesce(iso, F.try_to_timestamp(text, F.lit("MMM d, yyyy")))
+        # ISO days, by far the most, skip the rewriting; a bare day needs no time-zone arithmetic either.
+        plain = raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
+        return F.when(plain, raw.try_cast("date")).otherwise(F.to_date(other))
+
+    return bound(value.cast("string"), day)
 
 
 def friendly_channel(value: Column) -> Column:
     """Platform names by substring; anything else stays as it is, trimmed."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    for name, tokens in CHANNEL_TOKENS.items():
-        text = F.regexp_replace(text, rf"(?is)^.*({'|'.join(tokens)}).*$", name)
-    return text
+
+    def named(text: Column) -> Column:
+        known = F.when(~text.rlike(f"(?i){'|'.join(t for tokens in CHANNEL_TOKENS.values() for t in tokens)}"), text)
+        for name, tokens in CHANNEL_TOKENS.items():
+            known = known.when(text.rlike(f"(?i){'|'.join(tokens)}"), name)
+        return known
+
+    return bound(F.trim(F.coalesce(value, F.lit(""))), named)
 
 
 def source_medium(source: Column, medium: Column) -> Column:
