@@ -6,10 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from adtide.llm.components import components
+from adtide.llm.components import components, merged as _merged
 from adtide.llm.packing import pack, unpacked
 from adtide.llm.store import free_names, materialise
 from adtide.llm.words import chunks, mix, prefix, window_hash, words
@@ -60,29 +61,33 @@ def _packed(batches):
     yield from pack(_keyed(batches))
 
 
-def _frequency(reps: DataFrame) -> np.ndarray:
-    """Sketch of how many sets hold a shingle: counts of all shingles by cell, of fixed size."""
+def _frequency(reps: DataFrame) -> bytes:
+    """Sketch of how many sets hold a shingle: counts of all shingles by cell, of fixed size, compressed."""
 
     def count(batches):
         total = np.zeros(CELLS, np.int32)
         for batch in unpacked(batches, 4 << 20):
             total += np.bincount((np.concatenate(shingle_sets(batch.column(0))) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["v"])
 
     def add(batches):
         total = None
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total = np.minimum(np.frombuffer(x, np.int32) + (0 if total is None else total.astype(np.int64)), (1 << 31) - 1).astype(np.int32)
+                total = np.minimum(_cells(x) + (0 if total is None else total.astype(np.int64)), (1 << 31) - 1).astype(np.int32)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["v"])
 
     parts = reps.select("packed").mapInArrow(count, "v binary").repartition(FAN_IN).mapInArrow(add, "v binary")
     found = parts.repartition(1).mapInArrow(add, "v binary").collect()
-    return np.frombuffer(found[0][0], np.int32) if found else np.zeros(CELLS, np.int32)
+    return bytes(found[0][0]) if found else zstandard.compress(bytes(4 * CELLS))
 
 
-def _postings(reps: DataFrame, sketch: np.ndarray, often: float) -> DataFrame:
+def _cells(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(sketch), np.int32)
+
+
+def _postings(reps: DataFrame, packed: bytes, often: float) -> DataFrame:
     """(token, cls, salt, id, n): the prefix of each set in the order (cell count, hash), as much as any link must meet.
 
     Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of either. A token of a large cell is split
@@ -90,6 +95,7 @@ def _postings(reps: DataFrame, sketch: np.ndarray, often: float) -> DataFrame:
     """
 
     def emit(batches):
+        sketch = _cells(packed)
         for batch in unpacked(batches, 1 << 20):
             token, size, which = [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1))):
@@ -124,7 +130,7 @@ def _candidate_links(post: DataFrame) -> DataFrame:
     chain = chain.where(F.col("b").isNotNull() & ((F.col("cls") >= 0) | (100 * F.col("m") >= PERCENT * F.col("n"))))
     heads = post.where("cls >= 0").groupBy("token", "cls", "salt").agg(F.min("id").alias("id"))
     across = heads.select("id", F.lag("id").over(Window.partitionBy("token", "cls").orderBy("salt")).alias("b"))
-    return chain.select(F.col("id").alias("a"), "b").union(across.where("b is not null").select(F.col("id").alias("a"), "b")).distinct()
+    return chain.select(F.col("id").alias("a"), "b").union(across.where("b is not null").select(F.col("id").alias("a"), "b"))
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -163,19 +169,6 @@ def _spanning(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The labels after the links (a, b): the smallest label that a row reaches."""
-    while True:
-        new = label.copy()
-        low = np.minimum(label[a], label[b])
-        for end in (a, b, label[a], label[b]):
-            np.minimum.at(new, end, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _chained(sets: list[np.ndarray], size: np.ndarray) -> list[np.ndarray]:
     """The rows of a block in parts that no link crosses: chains through shared shingles of the prefixes, as above, here in
     the order of the exact counts in the block."""

@@ -138,6 +138,24 @@ def test_jaccard_edges(spark, docs, empty, texts):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_components_of_a_path_in_few_rounds(spark, monkeypatch):
+    """A path in one task is a star before the first round, so the rounds do not follow its length."""
+    from adtide.llm import components as module
+
+    written, real = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: written.append(name) or real(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").coalesce(1)
+    assert {r[1] for r in components(links).collect()} == {0} and len(written) <= 3
+
+
+def test_jaccard_sketch_is_packed(spark, texts):
+    """The driver holds the sketch of all shingles only as it is sent to the tasks."""
+    df = spark.createDataFrame([(t,) for _, t in texts if t], "text string").select(F.lit(1).alias("id"), "text")
+    packed = df.mapInArrow(jaccard._packed, "id int, key binary, n long, packed binary")
+    sketch = jaccard._frequency(packed)
+    assert len(sketch) < jaccard.CELLS and int(jaccard._cells(sketch).sum()) == packed.agg(F.sum("n")).first()[0]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 4), (7, None)] + [(k, k + 1) for k in range(100, 160)], "a long, b long")
     got = {r[0]: r[1] for r in components(links).collect()}
