@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +15,8 @@ from adtide.llm.store import materialise
 SAMPLE_ROWS = 20_000
 SHARD_ROWS = 8_192
 LEAF_ROWS = 256
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 16_384
+ROUTE_ROWS = 256  # of queries whose bounds of all boxes are held at a time
 SCALE = 256
 
 
@@ -119,6 +121,38 @@ def _group_search(k: int):
     return run
 
 
+def _bounds(vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The best inner product that each vector can have in each box."""
+    most = max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)).astype(object) * np.abs(vectors).max(initial=0).astype(object) * vectors.shape[1]
+    if most >= 1 << 63:
+        raise OverflowError("inner products beyond 64 bits")
+    return dot(np.maximum(vectors, 0), high.T) + dot(np.minimum(vectors, 0), low.T)
+
+
+def _routes(numbers: np.ndarray, low: np.ndarray, high: np.ndarray, first: bool):
+    """Send queries (query_id, v) to the shard of the largest bound, or (query_id, v, seen, floor) to the others whose bound
+    reaches the floor; a query's bounds of all boxes exist only here."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROUTE_ROWS):
+                part = batch.slice(at, ROUTE_ROWS)
+                v = part.column(1)
+                bound = _bounds(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), low, high)
+                if first:
+                    row, to = np.arange(len(v)), bound.argmax(1)
+                    floor = pa.nulls(len(v), pa.int64())
+                else:
+                    floor = part.column(3)
+                    least = floor.fill_null(np.iinfo(np.int64).min).to_numpy()
+                    row, to = np.nonzero((bound >= least[:, None]) & (numbers[None, :] != part.column(2).to_numpy()[:, None]))
+                    floor = floor.take(pa.array(row))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), v.take(take), pa.array(numbers[to].astype(np.int32)), floor], ["query_id", "v", "shard", "floor"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
           scale: int = SCALE, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each query row the k rows with the largest integer inner product, itself left out.
@@ -127,7 +161,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     are cut to these before any shuffle. The upper levels of one KD-tree, fit on at most 20,000 rows chosen by hash, deal
     the points to cells; cells are dealt on by hash to shards of about ``shard_rows`` points, each with its own tree. A
     query first visits the shard with the largest bound (its box's best inner product); its k-th score then goes with it to
-    just the other shards whose bound reaches that score. Queries meet a shard in blocks, so a task holds one shard and one block.
+    just the other shards whose bound reaches that score. The boxes, one for each ``shard_rows`` points, reach the driver and go
+    to the tasks that send the queries, so neither bounds nor points are written for each query: a shard's points are
+    sent once for each ``query_block`` queries that visit it, and a task holds one shard and one block.
 
     Vectors that are null, empty, of another length than the first in order of id, or hold null or non-finite components
     take no part, nor do rows without an id. Rows with equal ids and vectors count once; with equal ids and different
@@ -157,26 +193,24 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     number = lambda of: F.create_map(*[F.lit(int(x)) for c in room for x in (c, of[c])])[F.col("cell")]
     placed = materialise(cells.select("id", "v", (number(base) + F.pmod(F.xxhash64("id"), number(room))).cast("int").alias("shard")), "kd-points")
     axes = placed.select("shard", F.posexplode("v").alias("axis", "x")).groupBy("shard", "axis").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    boxes = axes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("axis", "low", "high"))).alias("box"))
-
-    asked = valid.where("asks").groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("query_id"), "v")
-    blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    bound = F.aggregate(F.zip_with("v", "box", lambda q, b: F.greatest(q * b["low"], q * b["high"])), F.lit(0).cast("long"), lambda a, x: a + x)
-    # the stated queries against the boxes of all shards: a row for each query and each ``shard_rows`` points
-    each = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = materialise(each.join(boxes, "shard").select("query_id", "shard", bound.alias("bound")), "kd-bounds")
-    first = pairs.groupBy("query_id").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
-    per_block = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    corner = F.array_sort(F.collect_list(F.struct("axis", "low", "high")))
+    boxes = axes.groupBy("shard").agg(corner.alias("box")).select("shard", "box.low", "box.high").orderBy("shard").collect()
+    numbers, low, high = (np.array([r[i] for r in boxes], np.int64) for i in range(3))
+
+    asked = materialise(valid.where("asks").groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("query_id"), "v"), "kd-asked")
+    routed = "query_id long, v array<long>, shard int, floor long"
 
     def visit(which: DataFrame) -> DataFrame:
-        rows = which.join(asked, "query_id").select("query_id", "v", "block", "shard", "floor")
-        return per_block.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInPandas(
+        need = which.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks"))
+        rows = which.join(need, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+        sent = placed.join(need, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        return sent.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInPandas(
             _group_search(k), "query_id long, vec_id long, score long")
 
-    near = materialise(visit(first.withColumn("floor", F.lit(None).cast("long"))), "kd-near")
+    first = materialise(asked.mapInArrow(_routes(numbers, low, high, True), routed), "kd-first")
+    near = materialise(visit(first), "kd-near")
     floor = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    others = pairs.join(first.withColumnRenamed("shard", "seen"), "query_id").where("shard <> seen").join(floor, "query_id", "left")
-    rest = visit(others.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select("query_id", "shard", "floor"))
+    left = first.select("query_id", "v", F.col("shard").alias("seen")).join(floor, "query_id", "left")
+    rest = visit(materialise(left.mapInArrow(_routes(numbers, low, high, False), routed), "kd-others"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.union(rest).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -303,6 +303,24 @@ def test_top_k(spark, rows, block):
     assert kdtree.top_k(df.where("vec_id = 5"), F.lit(True)).count() == 0
 
 
+def test_top_k_writes_no_row_for_each_query_and_shard(spark, monkeypatch):
+    """Tight groups of vectors: a query visits its own shard and few others, and that is all that is written."""
+    rng, rows = np.random.default_rng(1), []
+    for g in range(32):
+        centre = rng.normal(size=8)
+        rows += [(g * 64 + i, [float(x) for x in 5 * centre / np.linalg.norm(centre) + rng.normal(size=8) / 100]) for i in range(64)]
+    df, written, real = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), {}, kdtree.materialise
+
+    def counted(table, name):
+        out = real(table, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(kdtree, "materialise", counted)
+    got = kdtree.top_k(df, F.col("vec_id") % 2 == 0, shard_rows=16, query_block=100)
+    assert got.count() == 5 * 1024 and max(written.values()) < 1024 * (2048 // 16) / 2, written
+
+
 # --- mixing ----------------------------------------------------------------------------------------
 def test_targets():
     got = mixing.targets({"b": 100, "a": 100, None: 10, "c": 0}, (1, 2, 3), 3)
