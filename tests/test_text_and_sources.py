@@ -1,7 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from adtide.functions.text import friendly_channel, norm_header, parse_date, read_amount
+from adtide.functions.text import friendly_channel, norm_header, parse_date, read_amount, unless_blank
 from adtide.sources import exports, normalize, reconcile
 
 
@@ -137,3 +139,11 @@ def test_tagged_rows_meet_the_profile_without_a_shuffle(spark):
         assert got == {("a.csv", 12e-6, 50_000), ("b.csv", 0.0, 50_000)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_text_rules_stay_out_of_fused_stages(spark):
+    """Fused with the joins below, the rules of a normalisation are one method that the JVM never compiles."""
+    rows = spark.range(3).select(F.col("id").cast("string").alias("t"))
+    for rule in (unless_blank, friendly_channel, parse_date):
+        plan = rows.select(rule(F.col("t")).alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if re.match(r"\W*\*\(\d+\) Project", line)], plan
