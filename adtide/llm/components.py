@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from adtide.llm.store import materialise
 
 LINKS = 1 << 20  # that a task replaces by stars at a time
+MANY = 1 << 12  # links that are worth a second replacement
+SPREAD = 4  # tasks of the second replacement, at least
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,13 +60,17 @@ def components(links: DataFrame, name: str = "components", rounds: int = 100) ->
 
     ``links`` has columns a and b; order, repeats and self-links are without effect, null ends are left out. A step joins
     each link with the smallest neighbour of one end, found by a partial aggregation, so a hub is never gathered in one
-    task. Before the first step each task replaces its links, a bounded number at a time, by stars of the same reach.
+    task. Before the first step each task replaces its links, a bounded number at a time, by stars of the same reach; then
+    the stars' links, in as few tasks as that number allows, are replaced likewise, so that an id in links of all tasks
+    keeps few of them.
     Every round is written to the shared folder. The number of rounds grows with the logarithm of the longest path.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     given = links.where("a <> b").select("a", "b")
-    stars = given.mapInArrow(_stars, given.schema)
-    edges, was = _written(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+    stars = lambda e: e.mapInArrow(_stars, given.schema).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges, was = _written(stars(given), name)
+    if was[0] > MANY:
+        edges, was = _written(stars(edges.coalesce(max(SPREAD, -(-was[0] // LINKS)))), name)
     for _ in range(rounds if was[0] else 0):
         least = both(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large-star: larger neighbours of a node go to its smallest neighbour (or itself)

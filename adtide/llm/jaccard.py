@@ -25,7 +25,12 @@ BLOCK_SHINGLES = 2_000_000  # of one block of rows of the incidence matrix
 DENSE_COLUMNS = 4096
 PAIR_LIMIT = 1 << 30  # row pairs of two blocks
 BLOCK_ROWS = int(PAIR_LIMIT**0.5) // 2
-TILE_ROWS = 1414  # rows of a block that are multiplied with as many others at a time
+STEP_BITS = 4
+STEPS = 56  # of a set; its prefix, a quarter, has as many as the bits tell apart
+FEW = 4  # rows of a token; fewer or as many are paired one by one
+MARKS = 1 << 23  # cells of the bitmap of ids in clusters
+BITMAP_BITS = 1 << 15  # of one row of Spark's bitmap functions
+TILE_ROWS = 1000  # rows of a block that are multiplied with as many others at a time
 PLAIN_ROWS = 64  # so few rows are multiplied without a look at their shingles
 
 
@@ -66,15 +71,16 @@ def _frequency(reps: DataFrame) -> bytes:
 
     def count(batches):
         total = np.zeros(CELLS, np.int32)
-        for batch in unpacked(batches, 4 << 20):
-            total += np.bincount((np.concatenate(shingle_sets(batch.column(0))) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
+        for batch in unpacked(batches, 1 << 20):
+            np.add.at(total, (np.concatenate(shingle_sets(batch.column(0))) % np.uint64(CELLS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["v"])
 
     def add(batches):
         total = None
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total = np.minimum(_cells(x) + (0 if total is None else total.astype(np.int64)), (1 << 31) - 1).astype(np.int32)
+            for x in batch.column(0):
+                more, total = _cells(x.as_py()), np.zeros(CELLS, np.int32) if total is None else total
+                total += np.minimum(more, (1 << 31) - 1 - total)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["v"])
 
@@ -90,6 +96,8 @@ def _cells(sketch: bytes) -> np.ndarray:
 def _postings(reps: DataFrame, packed: bytes, often: float) -> DataFrame:
     """(token, cls, salt, id, n): the prefix of each set in the order (cell count, hash), as much as any link must meet.
 
+    The last bits of a token hold how far up the order it stands in its set, as a column of its own would double the shuffle.
+
     Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of either. A token of a large cell is split
     by size class and salt; its rows stand in the class of the size and in the next, so sizes within the ratio meet.
     """
@@ -97,22 +105,24 @@ def _postings(reps: DataFrame, packed: bytes, often: float) -> DataFrame:
     def emit(batches):
         sketch = _cells(packed)
         for batch in unpacked(batches, 1 << 20):
-            token, size, which = [], [], []
+            token, size, which, step = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1))):
                 k = _prefix(len(s))
                 cells = sketch[(s % np.uint64(CELLS)).astype(np.int64)]
                 token.append(s[np.lexsort((s, cells))[:k]])
                 size.append(np.full(k, len(s)))
                 which.append(np.full(k, i))
-            token, size, which = np.concatenate(token), np.concatenate(size), np.concatenate(which)
+                step.append((np.arange(k) * STEPS // max(1, len(s))).astype(np.uint64))
+            token, size, which, step = (np.concatenate(x) for x in (token, size, which, step))
             large = sketch[(token % np.uint64(CELLS)).astype(np.int64)] > often
             cls = np.floor(np.log(np.maximum(size, 1)) / np.log(4 / 3)).astype(np.int64)
             take = np.concatenate([np.arange(len(token)), np.flatnonzero(large)])
             cls = np.concatenate([np.where(large, cls, -1), cls[large] + 1])
             salt = np.where(large[take], (mix(which[take].astype(np.uint64) + token[take]) % np.uint64(SALTS)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(token[take].view(np.int64)), pa.array(cls.astype(np.int16)), pa.array(salt.astype(np.int16)),
-                batch.column(0).take(pa.array(which[take])), pa.array(size[take])], ["token", "cls", "salt", "id", "n"])
+                pa.array((token - token % np.uint64(1 << STEP_BITS) + step)[take].view(np.int64)), pa.array(cls.astype(np.int16)),
+                pa.array(salt.astype(np.int16)), batch.column(0).take(pa.array(which[take])), pa.array(size[take])],
+                ["token", "cls", "salt", "id", "n"])
 
     kind = reps.schema["id"].dataType.simpleString()
     return reps.select("id", "packed").mapInArrow(emit, f"token long, cls short, salt short, id {kind}, n long")
@@ -124,13 +134,31 @@ def _prefix(n):
 
 
 def _candidate_links(post: DataFrame) -> DataFrame:
-    """Chains through each token's rows: whoever shares a token and is near in size ends in one cluster."""
+    """Whoever links ends in one cluster, through the first token of their common order that both hold.
+
+    What stands before that token is in one set only, so the sizes less the positions bound the overlap. The few rows of
+    a rare token are tested pair by pair. Others are chained by size: the smaller set of a link holds the token in its
+    first seventh, so each row is tied to the last such row before it. A salted token's rows are chained whatever they hold.
+    """
+    name = F.shiftright("token", STEP_BITS)
+    before = F.col("n") * F.col("token").bitwiseAND((1 << STEP_BITS) - 1) / STEPS
+    post = post.repartition(name, "cls", "salt").select(name.alias("token"), "cls", "salt", "id", "n", F.floor(before).alias("pos"))
     line = Window.partitionBy("token", "cls", "salt").orderBy("n", "id")
-    chain = post.select("id", "n", "cls", F.lag("id").over(line).alias("b"), F.lag("n").over(line).alias("m"))
-    chain = chain.where(F.col("b").isNotNull() & ((F.col("cls") >= 0) | (100 * F.col("m") >= PERCENT * F.col("n"))))
+    row = F.struct("id", "n", "pos")
+    least = lambda n, i, m, j: (100 + PERCENT) * F.least(n - i, m - j) >= PERCENT * (n + m)
+    n, i = F.col("n"), F.col("pos")
+    early = F.last(F.when(least(n, i, n, i) | (F.col("cls") >= 0), row), True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    seen = post.select(
+        "cls", "id", "n", "pos", early.alias("early"), *[F.lag(row, k).over(line).alias(f"lag{k}") for k in range(1, FEW)],
+        F.count(F.lit(1)).over(Window.partitionBy("token", "cls", "salt")).alias("rows")).where("rows > 1")
+    tied = F.col("early").isNotNull() & ((F.col("cls") >= 0) | (100 * F.col("early.n") >= PERCENT * n))
+    pairs = [F.when(least(n, i, F.col(f"lag{k}.n"), F.col(f"lag{k}.pos")), F.col(f"lag{k}.id")) for k in range(1, FEW)]
+    few = (F.col("rows") <= FEW) & (F.col("cls") < 0)
+    to = F.array_compact(F.when(few, F.array(*pairs)).otherwise(F.array(F.when(tied, F.col("early.id")))))
+    chain = seen.select(F.col("id").alias("a"), F.explode(to).alias("b"))
     heads = post.where("cls >= 0").groupBy("token", "cls", "salt").agg(F.min("id").alias("id"))
     across = heads.select("id", F.lag("id").over(Window.partitionBy("token", "cls").orderBy("salt")).alias("b"))
-    return chain.select(F.col("id").alias("a"), "b").union(across.where("b is not null").select(F.col("id").alias("a"), "b"))
+    return chain.union(across.where("b is not null").select(F.col("id").alias("a"), "b"))
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -231,27 +259,49 @@ def _verify(batches):
         yield links()
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ids``, by a bitmap of hashed ids of fixed size, before a join shuffles their texts."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    bits = ids.select((cell + 1).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+    marks = np.zeros(MARKS // 8, np.uint8)
+    for r in bits.collect():
+        marks[(r.bucket - 1) * BITMAP_BITS // 8 :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    packed = zstandard.compress(marks.tobytes(), 1)
+
+    def keep(batches):
+        held = np.frombuffer(zstandard.decompress(packed), np.uint8)
+        for batch in batches:
+            c = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array((held[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)))
+
+    marked = rows.withColumn("cell", cell)
+    return marked.mapInArrow(keep, marked.schema).drop("cell")
+
+
 def _block_pairs(reps: DataFrame, near: DataFrame, block: int, rows: int = BLOCK_ROWS) -> DataFrame:
     """(cluster, own, pairs, id, packed): the block of each row of a cluster, and the blocks that it is multiplied with.
 
     A cluster within both limits is one block. Others are dealt to blocks inside size classes of ratio 4/3; rows that can
-    link are of one class or of neighbouring ones.
+    link are of one class or of neighbouring ones. Rows are placed without their texts, which then meet their places.
     """
-    light = reps.select("id", "n").join(near, "id").withColumn("cls", _size_class())
+    light = reps.select("id", "key", "n").join(near, "id").withColumn("cls", _size_class())
     need = F.greatest(F.ceil(F.col("s") / block), F.ceil(F.col("m") / rows))
     sums = [F.sum("n").alias("s"), F.count(F.lit(1)).alias("m")]
     classes = light.groupBy("cluster", "cls").agg(*sums).withColumn("k", need)
     clusters = classes.groupBy("cluster").agg(
         F.sum("s").alias("s"), F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("cls", "k"))).alias("slots")).where("m > 1")
     clusters = clusters.select("cluster", (need > 1).alias("many"), "slots")
-    placed = reps.select("id", "key", "n", "packed").join(near, "id").join(clusters, "cluster").withColumn("cls", _size_class())
+    placed = light.join(clusters, "cluster")
     slot = F.pmod(F.xxhash64("id", "key"), F.element_at("slots", F.col("cls")))
     placed = placed.withColumn("own", F.when(F.col("many"), F.col("cls") * (1 << 32) + slot).otherwise(F.lit(0)))
     other = F.expr("""flatten(transform(array(cls - 1, cls, cls + 1), c -> coalesce(
         transform(sequence(0L, try_element_at(slots, c) - 1L), j -> c * 4294967296L + j), cast(array() as array<bigint>))))""")
     other = F.when(F.col("many"), F.filter(other, lambda b: b != F.col("own")))
     pairs = F.when(F.size(other) > 0, other).otherwise(F.array("own"))
-    return placed.select("cluster", "own", pairs.alias("pairs"), "id", "packed")
+    placed = materialise(placed.select("cluster", "own", pairs.alias("pairs"), "id", "key"), "jaccard-placed")
+    texts = _marked(reps.select("id", "key", "packed"), placed)
+    return texts.join(placed, ["id", "key"]).select("cluster", "own", "pairs", "id", "packed")
 
 
 def _clusters(reps: DataFrame, block: int) -> DataFrame:

@@ -129,6 +129,50 @@ def test_jaccard_block_links(tile):
     assert jaccard._chained(apart, np.array([100] * 100)) == []
 
 
+def test_jaccard_candidates_meet_the_bound_of_positions(spark):
+    """A shared rare shingle that stands too far up in one set links nothing; of sets that link, none is lost."""
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    common = [word() for _ in range(9)]
+    rows = [(i, " ".join([*[word() for _ in range(60)], *common, *[word() for _ in range(60)]])) for i in range(3)]
+    for k in range(40):
+        base = [word() for _ in range(60)]
+        rows += [(100 + 10 * k + j, " ".join(base[: 60 - rng.integers(0, 9)] + [word() for _ in range(rng.integers(0, 5))])) for j in range(2 + k % 6)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    reps = df.mapInArrow(jaccard._packed, "id long, key binary, n long, packed binary").persist()
+    found = jaccard._candidate_links(jaccard._postings(reps, jaccard._frequency(reps), 64.0)).distinct().collect()
+    assert not [r for r in found if max(r) < 100]
+    want = classes(rows)
+    near = {r.id: r.component for r in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert sum(c != i for i, (_, c) in want.items()) > 20
+    assert all(near[i] == near[c] for i, (_, c) in want.items() if c != i)
+    late, soon = 16 * 7 + 10, 16 * 9  # steps of 1/56 in the last bits
+    post = [(late, -1, 0, 1, 100), (late, -1, 0, 2, 100), (soon + 10, -1, 0, 3, 100), (soon + 2, -1, 0, 4, 80)]
+    post += [(16 * 5 + 9, -1, 0, k, 100) for k in range(10, 18)]
+    post = spark.createDataFrame(post, "token long, cls short, salt short, id long, n long")
+    assert [tuple(r) for r in jaccard._candidate_links(post).collect()] == [(3, 4)]
+
+
+def test_jaccard_texts_outside_clusters_are_not_shuffled(spark):
+    ids = spark.range(0, 3000, 100)
+    kept = jaccard._marked(spark.range(3000).select("id", F.lit(b"x").alias("packed")), ids)
+    got = {r.id for r in kept.collect()}
+    assert kept.columns == ["id", "packed"] and set(range(0, 3000, 100)) <= got and len(got) < 40
+
+
+def test_components_of_links_spread_over_tasks(spark, monkeypatch):
+    """Ids that meet in many tasks keep few links each after the second replacement."""
+    from adtide.llm import components as module
+
+    edges, real = [], module._written
+    monkeypatch.setattr(module, "_written", lambda links, name: edges.append(real(links, name)) or edges[-1])
+    rng = random.Random(3)
+    links = [(g * 50 + rng.randrange(50), g * 50 + rng.randrange(50)) for g in range(40) for _ in range(2000)]
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(40)).collect()
+    assert {(r.id, r.component) for r in got} == {(i, i // 50 * 50) for i in range(2000)}
+    assert edges[0][1][0] > module.MANY and edges[1][1][0] <= module.SPREAD * 2000
+
+
 def test_jaccard_edges(spark, docs, empty, texts):
     assert jaccard.jaccard_classes(empty).count() == 0
     odd = spark.createDataFrame([(None, "one two three", None, None, None), (5, "one two three", None, None, None), (5, "one two three", None, None, None)], DOCS)
