@@ -34,8 +34,8 @@ def is_blank(value: Column) -> Column:
 def unless_blank(value: Column) -> Column:
     """The text, or NULL where it is blank or a written null."""
     words = "|".join(w for w in BLANK_TEXT if w)
-    text = F.transform(F.array(value), lambda v: F.regexp_replace(v, rf"(?i)^\s*({words})?\s*$", ""))
-    return F.get(F.filter(text, lambda v: v != ""), F.lit(0))
+    text = F.regexp_replace(value, rf"(?i)^\s*(?:{words})?\s*$", "")
+    return F.get(F.filter(F.array(text), lambda v: v != ""), F.lit(0))
 
 
 def finite(value: Column) -> Column:
@@ -49,12 +49,17 @@ def read_amount(value: Column) -> Column:
     With both marks the later one is the decimal mark. A lone comma is decimal only before one or two digits.
     """
     raw = value.cast("string")
-    text = F.regexp_replace(raw, r"[\s$€£₹]", "")
-    # Dots before a final comma are thousands marks; they stay visible as underscores for the next steps.
-    text = F.regexp_replace(text, r"\.(?=.*,[^.,]*$)", "_")
-    text = F.regexp_replace(text, r"^([^,]*_[^,]*),([^,]*)$", "$1.$2")
-    text = F.regexp_replace(text, r"^(?=.*_).*,.*$", "..")
-    text = F.regexp_replace(text, r"^([^,.]*),([^,.]{1,2})$", "$1.$2")
+
+    def decimal(text: Column) -> Column:
+        # Dots before a final comma are thousands marks; they stay visible as underscores for the next steps.
+        marked = F.regexp_replace(text, r"\.(?=.*,[^.,]*$)", "_")
+        marked = F.regexp_replace(marked, r"^([^,]*_[^,]*),([^,]*)$", "$1.$2")
+        marked = F.regexp_replace(marked, r"^(?=.*_).*,.*$", "..")
+        marked = F.regexp_replace(marked, r"^([^,.]*),([^,.]{1,2})$", "$1.$2")
+        # Every step looks for a comma, so texts without one skip them.
+        return F.when(text.contains(","), marked).otherwise(text)
+
+    text = bound(F.regexp_replace(raw, r"[\s$€£₹]", ""), decimal)
     number = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
     # Plain numbers, by far the most, skip the rewriting.
     plain = raw.rlike(r"^-?\d{1,15}(\.\d{1,15})?$")
@@ -73,9 +78,17 @@ def parse_date(value: Column) -> Column:
         # Only texts that start with a year go to the lenient parser, which would take a bare time for today.
         iso = F.try_to_timestamp(F.regexp_replace(text, r"^(?!\d{4}).*$", ""))
         other = F.coalesce(iso, F.try_to_timestamp(text, F.lit("MMM d, yyyy")))
-        # ISO days, by far the most, skip the rewriting; a bare day needs no time-zone arithmetic either.
+        # ISO days and compact and slashed days, by far the most, skip the rewriting; a bare day needs no time-zone arithmetic either.
         plain = raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
-        return F.when(plain, raw.try_cast("date")).otherwise(F.to_date(other))
+        compact, stamped = raw.rlike(r"^\d{8}$"), raw.rlike(r"^\d{4}-\d{2}-\d{2}T")
+        slashed = raw.rlike(r"^(0\d|1[0-2])/\d{2}/\d{4}$")
+        return (
+            F.when(plain, raw.try_cast("date"))
+            .when(compact, F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2)).try_cast("date"))
+            .when(slashed, F.concat_ws("-", F.substring(raw, 7, 4), F.substring(raw, 1, 2), F.substring(raw, 4, 2)).try_cast("date"))
+            .when(stamped, F.to_date(F.try_to_timestamp(F.trim(raw))))
+            .otherwise(F.to_date(other))
+        )
 
     return bound(value.cast("string"), day)
 

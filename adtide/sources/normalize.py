@@ -66,7 +66,7 @@ def coalesce_aliases(df: DataFrame, field: str, headers: Mapping[str, str] | Non
     if not found:
         return None
     texts = [c.cast("string") for c in found]
-    return F.coalesce(*[unless_blank(t) for t in texts], texts[-1])
+    return F.coalesce(*[unless_blank(t) for t in texts[:-1]], texts[-1])
 
 
 def _first(df: DataFrame, names: Sequence[str], headers: Mapping[str, str] | None) -> Column:
@@ -114,11 +114,12 @@ def normalize_facts(
     staged = staged.withColumn("_both", source_medium(F.col("_source"), F.col("_medium")))
     staged = staged.withColumns(
         {
-            "_channel": F.coalesce(unless_blank(F.col("_channel")), both),
-            "_campaign_type": F.coalesce(unless_blank(F.col("_campaign_type")), F.col("_medium")),
+            "_channel": F.coalesce(unless_blank(F.col("_channel")), unless_blank(both)),
+            "_campaign_type": F.coalesce(unless_blank(F.col("_campaign_type")), unless_blank(F.col("_medium"))),
             "_campaign_name": F.coalesce(unless_blank(F.col("_campaign_name")), unless_blank(both), F.lit("Unknown Campaign")),
         }
     )
+    # From here on no text is blank but that of a channel without a name.
     staged = staged.withColumn("_channel", friendly_channel(F.col("_channel")))
     shop, web = F.col("source_schema") == "shopify", F.col("source_schema") == "ga4"
     fallback = {
@@ -129,7 +130,7 @@ def normalize_facts(
     parsed = staged.withColumns(
         {
             **{
-                c: F.coalesce(unless_blank(F.trim(f"_{c}")), fallback[c], F.lit(TEXT_DEFAULTS[c]))
+                c: F.coalesce(F.get(F.array_remove(F.array(F.trim(f"_{c}")), ""), F.lit(0)), fallback[c], F.lit(TEXT_DEFAULTS[c]))
                 for c in TEXT_DEFAULTS
             },
             **{m: read_amount(F.col(f"_raw_{m}")) for m in [*MEASURES, "roas"]},
