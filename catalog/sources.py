@@ -406,6 +406,12 @@ def flagged(spark, sf):
     return Q.flag_rows(checkpoint(normalized(ads_export(spark, sf))))
 
 
+def dated_keys(spark, sf):
+    """Rows and their duplicate keys, parsed once: the duplicate check reads them twice."""
+    rows = normalized(ads_export(spark, sf)).withColumn("date", TX.parse_date(F.col("date")))
+    return checkpoint(rows.select("row", *Q.ROW_KEY))
+
+
 @query("val1_validate_strict", sql(f"SELECT date, channel, campaign_type, campaign_name, spend, clicks, impressions, conversions, revenue, {r('roas')} AS roas FROM flagged WHERE NOT (f_date OR f_rev OR f_roas OR f_dup)", "flagged"))
 def validate_strict(spark, sf):
     return rounded(Q.valid_rows(flagged(spark, sf)), "roas")
@@ -418,8 +424,7 @@ def row_issues(spark, sf):
 
 @query("val2_duplicate_rows", sql("SELECT row FROM flagged WHERE f_dup", "flagged"))
 def duplicate_rows(spark, sf):
-    rows = normalized(ads_export(spark, sf)).withColumn("date", TX.parse_date(F.col("date")))
-    return Q.flag_duplicates(rows).filter(F.col("copies") > 1).select("row")
+    return Q.flag_duplicates(dated_keys(spark, sf)).filter(F.col("copies") > 1).select("row")
 
 
 @query("val3_campaign_inconsistency", sql("SELECT row, message FROM issues WHERE type = 'campaign_inconsistency'", "issues"))
@@ -463,8 +468,7 @@ def issue_counts(spark, sf):
 
 @query("val7_duplicate_first_seen", sql("SELECT row FROM flagged WHERE f_dup AND row > first_row", "flagged"))
 def duplicate_first_seen(spark, sf):
-    rows = normalized(ads_export(spark, sf)).withColumn("date", TX.parse_date(F.col("date")))
-    return Q.flag_duplicates(rows).filter("seen_before").select("row")
+    return Q.flag_duplicates(dated_keys(spark, sf)).filter("seen_before").select("row")
 
 
 # --- reconciliation -------------------------------------------------------------------------------
