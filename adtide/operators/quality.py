@@ -12,6 +12,7 @@ from adtide.functions.tables import attach
 from adtide.functions.text import finite, parse_date, unless_blank
 from adtide.operators.rollup import fact_rollup
 from adtide.schema import CANONICAL_COLUMNS, LEVEL_COLUMNS, MEASURES, TEXT_DEFAULTS, TEXT_DIMS
+from adtide.session import checkpoint
 
 ROW_KEY = ["date", "channel", "campaign_name"]
 
@@ -157,8 +158,12 @@ def repair_dates(rows: DataFrame, as_of: str, keys: Sequence[str] = ()) -> DataF
 
 
 def clean_repair(rows: DataFrame, as_of: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Batch policy: repair what can be repaired, drop rows of negative money, sum to the fact grain."""
-    dated = repair_dates(rows, as_of, keys)
+    """Batch policy: repair what can be repaired, drop rows of negative money, sum to the fact grain.
+
+    The rows are written first: the dates are read twice, and the filter on money would parse every amount once more.
+    """
+    used = rows.select(*keys, *(["row"] if "row" in rows.columns else []), *[c for c in CANONICAL_COLUMNS if c != "roas"])
+    dated = repair_dates(checkpoint(used), as_of, keys)
     texts = {c: F.coalesce(unless_blank(F.trim(c)), F.lit(TEXT_DEFAULTS[c])) for c in TEXT_DIMS}
 
     def number(c: str) -> Column:
