@@ -23,7 +23,7 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
 def date_key(value: Column) -> Column:
     """ISO day of a date text; unreadable text keeps its first ten characters."""
     text = F.coalesce(value.cast("string"), F.lit(""))
-    return F.coalesce(F.date_format(parse_date(text), "yyyy-MM-dd"), F.substring(text, 1, 10))
+    return F.coalesce(parse_date(text).cast("string"), F.substring(text, 1, 10))
 
 
 def revenue_authority(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,11 +41,11 @@ def revenue_authority(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def allocation_weights(support: DataFrame, by: Sequence[str]) -> DataFrame:
     """Share of each row in its date by the first measure with a positive total, else equal shares.
 
-    Totals come from a partial aggregation joined back, so a date with a large part of all rows is split
-    by the skew handling of the join instead of landing in one window task.
+    Totals come from a partial aggregation and are written, one row a date, so rows meet them without a shuffle while the
+    dates are few; otherwise the skew handling of the join splits a date with a large part of all rows.
     """
-    totals = support.groupBy(*by).agg(
-        F.count("*").alias("_rows"), *[F.sum(c).alias(f"_total_{c}") for c in WEIGHT_ORDER]
+    totals = checkpoint(
+        support.groupBy(*by).agg(F.count("*").alias("_rows"), *[F.sum(c).alias(f"_total_{c}") for c in WEIGHT_ORDER])
     )
     joined = support.join(totals, list(by))
     weight = F.when(F.lit(False), F.lit(0.0))

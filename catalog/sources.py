@@ -492,10 +492,10 @@ UNION ALL SELECT date, channel, campaign_type, campaign_name, spend, revenue, 'r
 )
 
 
-def keyed(spark, sf):
-    """Parsed once: reconciliation reads its input several times."""
-    rows = three_sources(spark, sf)
-    return checkpoint(rows.withColumn("date", RC.date_key(F.col("date"))))
+def keyed(spark, sf, texts=("channel", "campaign_type", "campaign_name")):
+    """Parsed once: reconciliation reads its input several times. ``texts`` are the text columns that the query reads."""
+    rows = three_sources(spark, sf).withColumn("date", RC.date_key(F.col("date")))
+    return checkpoint(rows.select("row", "source_schema", "date", *texts, *MEAS))
 
 
 @query(
@@ -533,13 +533,13 @@ def read_folder(spark, sf):
 
 @query("jn2_allocate_authority_revenue", sql(f"SELECT row, source_schema, date, channel, campaign_name, spend, {r('revenue')} AS revenue FROM reconciled", "reconciled"))
 def allocate_authority_revenue(spark, sf):
-    out = RC.reconcile(keyed(spark, sf))
+    out = RC.reconcile(keyed(spark, sf, ("channel", "campaign_name")))
     return rounded(out.select("row", "source_schema", "date", "channel", "campaign_name", "spend", "revenue"), "revenue")
 
 
 @query("jn3_allocation_weights", sql(f"SELECT row, source_schema, date, {r('weight', 8)} AS weight FROM weighted", "weighted"))
 def allocation_weights(spark, sf):
-    support = keyed(spark, sf).filter(F.col("source_schema") != "shopify")
+    support = keyed(spark, sf, ()).filter(F.col("source_schema") != "shopify")
     return RC.allocation_weights(support, ["date"]).select("row", "source_schema", "date", round_to("weight", 8).alias("weight"))
 
 
