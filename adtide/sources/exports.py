@@ -19,17 +19,26 @@ from adtide.sources.normalize import normalize_facts
 from adtide.sources.reconcile import date_key, reconcile, union_sources
 
 
-def file_headers(spark: SparkSession, folder: str) -> list[tuple[str, tuple[str, ...], bool]]:
-    """(path, header, whether a quoted line break splits a record) of each ``*.csv`` that has a line with text.
+def first_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text, split) of each ``*.csv``: its first line that is not blank, and whether a line leaves a quote open.
 
-    One distributed pass over the lines: the header is the first line that is not blank, of which one row per file
-    reaches the driver, as the listing of the files does anyway.
+    The set of quote parities, at most two values, makes the aggregation one of objects by hash; a least struct alone
+    would sort all lines of a task.
     """
     lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     text = F.trim(F.regexp_replace("value", "^\ufeff", ""))
     open_quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    found = lines.groupBy("path").agg(F.min(F.when(text != "", F.struct("block", "at", text.alias("text"))))["text"].alias("text"), F.max(open_quotes % 2 == 1).alias("split"))
+    return lines.groupBy("path").agg(F.min(F.when(text != "", F.struct("block", "at", text.alias("text"))))["text"].alias("text"), F.array_contains(F.collect_set(open_quotes % 2 == 1), True).alias("split"))
+
+
+def file_headers(spark: SparkSession, folder: str) -> list[tuple[str, tuple[str, ...], bool]]:
+    """(path, header, whether a quoted line break splits a record) of each ``*.csv`` that has a line with text.
+
+    One distributed pass over the lines: the header is the first line that is not blank, of which one row per file
+    reaches the driver, as the listing of the files does anyway.
+    """
+    found = first_lines(spark, folder)
     return [(unquote(r.path), tuple(next(csv.reader([r.text]))), r.split) for r in found.where("text IS NOT NULL").collect()]
 
 
