@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 import catalog
@@ -94,3 +95,9 @@ def test_header_pass_does_not_sort_the_lines(spark, tmp_path):
     found = exports.first_lines(spark, str(tmp_path))
     assert "ObjectHashAggregate" in plan(found) and "SortAggregate" not in plan(found)
     assert sorted((h, s) for _, h, s in exports.file_headers(spark, str(tmp_path))) == [(("day", "cost"), False), (("day", "name"), True)]
+
+
+@pytest.mark.parametrize("name", ["st4_did_effects"])
+def test_event_effects_read_the_lines_once(spark, tmp_path, name):
+    """The order lines are joined once, for the written days or facts; all later steps start from these."""
+    assert "o_custkey" not in plan(catalog.QUERIES[name](spark, tables(spark, str(tmp_path))))
