@@ -97,7 +97,7 @@ def test_header_pass_does_not_sort_the_lines(spark, tmp_path):
     assert sorted((h, s) for _, h, s in exports.file_headers(spark, str(tmp_path))) == [(("day", "cost"), False), (("day", "name"), True)]
 
 
-@pytest.mark.parametrize("name", ["st4_did_effects", "st9_structured_evidence", "st10_evidence_labels"])
+@pytest.mark.parametrize("name", ["st4_did_effects", "st9_structured_evidence", "st10_evidence_labels", "st11_rank_hypotheses"])
 def test_event_effects_read_the_lines_once(spark, tmp_path, name):
     """The order lines are joined once, for the written days or facts; all later steps start from these."""
     assert "o_custkey" not in plan(catalog.QUERIES[name](spark, tables(spark, str(tmp_path))))
