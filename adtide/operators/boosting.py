@@ -1,4 +1,4 @@
-"""Boosted trees fit as a grid of small tasks: Spark deals a bounded sample of rows to every fit, and all fits run at once."""
+"""Boosted trees fit as a grid of tasks: Spark deals each fit all of its rows, and all fits run at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BINS = 64
+CHUNK = 1 << 16  # rows that are counted into the bins at a time
 
 
 @dataclass(frozen=True)
@@ -43,29 +44,37 @@ class Trees:
 
 
 def fit(x: np.ndarray, y: np.ndarray, s: Settings) -> Trees:
-    """Least squares, or the pinball loss of ``s.quantile``; splits fall on at most BINS quantiles of a feature."""
+    """Least squares, or the pinball loss of ``s.quantile``; splits fall on at most BINS quantiles of a feature.
+
+    A row takes one byte for each feature beside ``x``, and a few numbers; the bins are counted in chunks of rows.
+    """
     n, width = x.shape
     rng = np.random.default_rng(s.seed)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS)[1:-1], method="lower")) for f in range(width)]
-    codes = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], 1)  # code k: above k cuts
+    codes = np.empty((n, width), np.uint8)  # code k: above k cuts
+    for f, c in enumerate(cuts):
+        codes[:, f] = np.searchsorted(c, x[:, f])
     limits = np.array([[*c, *[np.inf] * (BINS - len(c))] for c in cuts])
     inner = 2**s.depth - 1
     start = float(np.quantile(y, s.quantile)) if s.quantile is not None else float(y.mean())
-    now, gain_of = np.full(n, start), np.zeros(width)
+    now, gain_of, every = np.full(n, start), np.zeros(width), np.arange(n)
     features, thresholds, values = [], [], []
     for _ in range(s.trees):
         residual = y - now
         pull = residual if s.quantile is None else np.where(residual > 0, s.quantile, s.quantile - 1.0)
-        used = rng.permutation(n)[: max(1, int(s.rows * n))] if s.rows < 1 else np.arange(n)
+        used = rng.permutation(n)[: max(1, int(s.rows * n))] if s.rows < 1 else every
         seen = rng.permutation(width)[: max(1, int(s.features * width))] if s.features < 1 else np.arange(width)
-        flat = (codes[:, seen] + np.arange(len(seen)) * BINS).astype(np.int64)
-        node, feature, threshold = np.zeros(n, np.int64), np.zeros(inner, np.int64), np.full(inner, np.inf)
+        node, feature, threshold, bound = np.zeros(n, np.int64), np.zeros(inner, np.int64), np.full(inner, np.inf), np.full(inner, BINS)
         for level in range(s.depth):
             first, count = 2**level - 1, 2**level
-            at = (node[used, None] - first) * (len(seen) * BINS) + flat[used]
-            shape = (count, len(seen), BINS)
-            k = np.bincount(at.ravel(), minlength=count * len(seen) * BINS).reshape(shape).cumsum(2)
-            g = np.bincount(at.ravel(), np.repeat(pull[used], len(seen)), count * len(seen) * BINS).reshape(shape).cumsum(2)
+            shape, cells = (count, len(seen), BINS), count * len(seen) * BINS
+            k, g = np.zeros(cells, np.int64), np.zeros(cells)
+            for at in range(0, len(used), CHUNK):
+                rows = used[at : at + CHUNK]
+                cell = ((node[rows, None] - first) * (len(seen) * BINS) + np.arange(len(seen)) * BINS + codes[rows][:, seen]).ravel()
+                k += np.bincount(cell, minlength=cells)
+                g += np.bincount(cell, np.repeat(pull[rows], len(seen)), cells)
+            k, g = k.reshape(shape).cumsum(2), g.reshape(shape).cumsum(2)
             kr, gr = k[:, :, -1:] - k, g[:, :, -1:] - g
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where((k > 0) & (kr > 0), g**2 / k + gr**2 / kr - g[:, :, -1:] ** 2 / (k + kr), 0.0)
@@ -75,8 +84,9 @@ def fit(x: np.ndarray, y: np.ndarray, s: Settings) -> Trees:
             split = most > 1e-12
             feature[first : first + count] = np.where(split, f, 0)
             threshold[first : first + count] = np.where(split, limits[f, cut], np.inf)
+            bound[first : first + count] = np.where(split, cut, BINS)
             np.add.at(gain_of, f[split], most[split])
-            node = 2 * node + 1 + (x[np.arange(n), feature[node]] > threshold[node])
+            node = 2 * node + 1 + (codes[every, feature[node]] > bound[node])
         leaf = node - inner
         if s.quantile is None:
             k = np.bincount(leaf[used], minlength=inner + 1)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,6 @@ ROAS_TREES = {30: 80, 60: 70, 90: 60}
 BAND = {"lower": 0.12, "upper": 0.88}
 CV_SPLITS = 3
 LOW_SAMPLE_ROWS = 30  # training rows of all horizons together
-SAMPLE_ROWS = 2000  # labelled rows that the fits of one horizon and fold see, about: chosen by hash, the same at every size
 
 
 @dataclass
@@ -84,19 +84,28 @@ def grid(h: int) -> dict[str, tuple[str, Settings]]:
 
 
 FITS = "horizon_days int, fold int, task string, n long, figures array<double>, start double, feature array<int>, threshold array<double>, value array<double>, gain array<double>"
+_LIST = pa.list_(pa.float64())
+FITTED_ROW = pa.schema([("horizon_days", pa.int32()), ("fold", pa.int32()), ("task", pa.string()), ("n", pa.int64()), ("figures", _LIST), ("start", pa.float64()),
+                        ("feature", pa.list_(pa.int32())), ("threshold", _LIST), ("value", _LIST), ("gain", _LIST)])
+PICKS = 1 << 30
 
 
-def fit_one(rows: pd.DataFrame) -> pd.DataFrame:
-    """One fit of the grid: the rows of a horizon and fold, marked with the task, to its trees and figures.
+def fit_one(rows: pa.Table) -> pa.Table:
+    """One fit of the grid: all rows of a horizon and fold, marked with the task, to its trees and figures.
 
     Figures: of a cross-validation R2; of the holdouts mean bias, error of the model and of the baseline (for ROAS the mean
     of the training rows) on the last fifth by target end; of the final revenue fit sd of the residuals and mean level.
+    Too few rows give no fit.
     """
-    rows = rows.sort_values(["day", "pick"], kind="stable")
-    h, fold, task = int(rows["horizon_days"].iloc[0]), int(rows["fold"].iloc[0]), rows["task"].iloc[0]
+    if rows.num_rows < MIN_TRAINED_ROWS:
+        return FITTED_ROW.empty_table()
+    column = lambda c: rows[c].to_numpy()
+    turn = np.lexsort((column("pick"), column("pick") % PICKS, column("day")))
+    h, fold, task = (rows[c][0].as_py() for c in ("horizon_days", "fold", "task"))
     label, settings = grid(h)[task]
-    x, y = np.stack(rows["x"].to_numpy()), rows[label].to_numpy()
-    base, actual, n = rows["baseline_revenue_forecast"].to_numpy(), rows["future_revenue"].to_numpy(), len(rows)
+    y, base, actual, n = column(label)[turn], column("baseline_revenue_forecast")[turn], column("future_revenue")[turn], len(turn)
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(n, -1)[turn]
+    del rows, turn
     revenue = lambda delta, part: np.maximum(np.expm1(np.log1p(np.maximum(base[part], 0.0)) + delta), 0.0)
     if task.startswith("cv_"):
         held = np.random.default_rng(420 + h).permutation(n) % CV_SPLITS == int(task[3:])
@@ -117,18 +126,24 @@ def fit_one(rows: pd.DataFrame) -> pd.DataFrame:
         if task == "revenue":
             figures = [float(np.std(actual - revenue(trees.predict(x), slice(0, n)), ddof=1)), float(np.abs(actual).mean())]
     kept = trees if not task.startswith(("cv_", "holdout")) else Trees(0.0, *(np.zeros(0),) * 4)
-    return pd.DataFrame([(h, fold, task, n, figures, kept.start, *(v.ravel().tolist() for v in (kept.feature, kept.threshold, kept.value, kept.gain)))],
-                        columns=[c.split()[0] for c in FITS.split(", ")])
+    row = (h, fold, task, n, figures, kept.start, *(v.ravel() for v in (kept.feature, kept.threshold, kept.value, kept.gain)))
+    return pa.table([pa.array([v], c.type) for v, c in zip(row, FITTED_ROW, strict=True)], FITTED_ROW)
 
 
 def vector() -> Column:
     return F.array(*[F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in FEATURES])
 
 
-def sample(samples: DataFrame, keys: Sequence[str], rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` labelled rows of each horizon and fold by a hash of the row's name; all of them where there are fewer."""
-    pick = F.pmod(F.xxhash64(F.lit(420), *keys, *SEGMENT, "date", "horizon_days"), F.lit(1 << 30)) / float(1 << 30)
-    marked = samples.withColumn("pick", pick)
+def pick(keys: Sequence[str]) -> Column:
+    """A hash of the row's name: the order of the rows of one day in a fit, whatever their partitions."""
+    return F.xxhash64(F.lit(420), *keys, *SEGMENT, "date", "horizon_days")
+
+
+def sample(samples: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """About ``rows`` labelled rows of each horizon and fold by a hash of the row's name; all of them where there are fewer.
+
+    For a look at large training sets. The fits take all rows."""
+    marked = samples.withColumn("pick", F.pmod(pick(keys), F.lit(PICKS)) / float(PICKS))
     sizes = marked.groupBy("horizon_days", "fold").agg(F.count("*").alias("of"))
     return marked.join(sizes, ["horizon_days", "fold"]).where((F.col("pick") * F.col("of") < rows) & (F.col("of") >= MIN_TRAINED_ROWS))
 
@@ -141,12 +156,12 @@ def in_folds(samples: DataFrame, last: DataFrame, keys: Sequence[str] = (), fold
     return df.withColumn("fold", F.explode(F.concat(F.array(F.lit(0)), number))).drop("_last")
 
 
-def fit_grid(samples: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Every fit of every horizon and fold, one task each. ``samples`` are rows of the training set with a fold."""
+def fit_grid(samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every fit of every horizon and fold on all of its rows, one task each. ``samples`` are rows of the training set with a fold."""
     day = F.datediff("target_end", F.to_date(F.lit("1970-01-01")))
-    some = sample(samples, keys, rows).select("horizon_days", "fold", "pick", day.alias("day"), vector().alias("x"), "revenue_target", "roas_target", "future_revenue", "baseline_revenue_forecast")
+    rows = samples.select("horizon_days", "fold", pick(keys).alias("pick"), day.alias("day"), vector().alias("x"), "revenue_target", "roas_target", "future_revenue", "baseline_revenue_forecast")
     tasks = F.explode(F.array(*[F.lit(t) for t in grid(30)])).alias("task")
-    return some.select("*", tasks).groupBy("horizon_days", "fold", "task").applyInPandas(fit_one, FITS)
+    return rows.select("*", tasks).groupBy("horizon_days", "fold", "task").applyInArrow(fit_one, FITS)
 
 
 def revenue_weight(horizon: int, beats: bool, r2: float | None) -> float:
@@ -370,13 +385,13 @@ def trained_walk_forward(features: DataFrame, daily: DataFrame, models: dict[tup
     return df.withColumns({**own, "model_type": F.coalesce("model_type", F.lit(SAFE_BASELINE))})
 
 
-def fit_all(features: DataFrame, keys: Sequence[str] = (), folds: int = 0, rows: int = SAMPLE_ROWS, samples: DataFrame | None = None) -> dict[tuple[int, int], HorizonModel]:
-    """Models by horizon and fold, where there are enough samples: fold 0 on all, ``folds`` more for a walk-forward.
+def fit_all(features: DataFrame, keys: Sequence[str] = (), folds: int = 0, samples: DataFrame | None = None) -> dict[tuple[int, int], HorizonModel]:
+    """Models by horizon and fold, fit on all rows, where there are enough: fold 0 on all, ``folds`` more for a walk-forward.
 
     ``samples`` is the training set of the features, if it is written already."""
     last = features.groupBy(*keys).agg(F.max("date").alias("_last"))
     samples = training_set(features, keys) if samples is None else samples
-    return collected(fit_grid(in_folds(samples, last, keys, folds), keys, rows))
+    return collected(fit_grid(in_folds(samples, last, keys, folds), keys))
 
 
 def training_report(spark: SparkSession, models: dict[tuple[int, int], HorizonModel]) -> DataFrame:

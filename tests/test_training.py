@@ -77,6 +77,24 @@ def test_sample_is_bounded_and_seeded(spark):
     assert {r.segment for r in got.collect()} == {r.segment for r in T.sample(both.repartition(9), (), 500).collect()}
 
 
+def many_samples(spark, n):
+    """Labelled rows of horizon 60 and fold 0."""
+    wave = F.sin(F.col("id") * 0.7)
+    names = {"level": F.lit("campaign"), "segment": (F.col("id") % 37).cast("string"), "date": F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 37).cast("int")), "horizon_days": F.lit(60), "fold": F.lit(0)}
+    figures = {"revenue_target": wave, "roas_target": wave * 2, "future_revenue": wave + 5, "baseline_revenue_forecast": F.lit(4.0)}
+    values = {c: (wave + i if i < 3 else F.lit(1.0)) for i, c in enumerate(X.FEATURES)}
+    return spark.range(n).withColumns({**values, **names, **figures}).withColumn("target_end", F.date_add("date", 60))
+
+
+def test_fits_take_all_rows(spark):
+    """Every fit of a horizon and fold sees all of its labelled rows, in one order; too few rows give no model."""
+    rows = many_samples(spark, 2600).unionByName(many_samples(spark, 5).withColumn("fold", F.lit(1)))
+    fits = {r.task: r for r in T.fit_grid(rows).collect()}
+    assert set(fits) == set(T.grid(60)) and {r.fold for r in fits.values()} == {0} and {r.n for r in fits.values()} == {2600}
+    again = {r.task: r for r in T.fit_grid(rows.repartition(7)).collect()}
+    assert all(again[t] == fits[t] for t in fits)
+
+
 def test_later_rows_do_not_reach_a_fold(spark, plain):
     """Models and forecasts of a fold are the same whatever happens from its first day on."""
     out = []
