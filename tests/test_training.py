@@ -95,6 +95,14 @@ def test_fits_take_all_rows(spark):
     assert all(again[t] == fits[t] for t in fits)
 
 
+def test_models_come_from_all_rows(spark):
+    """A model's holdout figures are those of all labelled rows: the last fifth by target end, however many there are."""
+    rows = many_samples(spark, 2600)
+    (model,) = T.fit_all(rows.where("fold = 0").drop("fold"), samples=rows.drop("fold")).values()
+    held = rows.orderBy("target_end", F.pmod(T.pick(()), F.lit(T.PICKS)), T.pick(())).select("future_revenue").toPandas()["future_revenue"].to_numpy()[2080:]
+    assert model.diagnostics["baseline_mae"] == pytest.approx(abs(held - 4.0).mean())
+
+
 def test_later_rows_do_not_reach_a_fold(spark, plain):
     """Models and forecasts of a fold are the same whatever happens from its first day on."""
     out = []
