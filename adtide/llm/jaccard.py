@@ -27,7 +27,8 @@ PAIR_LIMIT = 1 << 30  # row pairs of two blocks
 BLOCK_ROWS = int(PAIR_LIMIT**0.5) // 2
 STEP_BITS = 4
 STEPS = 56  # of a set; its prefix, a quarter, has as many as the bits tell apart
-FEW = 4  # rows of a token; fewer or as many are paired one by one
+FEW = 32  # rows of a token; fewer or as many are paired one by one
+LEAST_BITS, MOST_BITS = 64, 8192  # of the parity bitmap of a set
 MARKS = 1 << 23  # cells of the bitmap of ids in clusters
 BITMAP_BITS = 1 << 15  # of one row of Spark's bitmap functions
 TILE_ROWS = 1000  # rows of a block that are multiplied with as many others at a time
@@ -57,6 +58,28 @@ def _keyed(batches):
             [batch.column(0), pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), batch.column(1)], ["id", "key", "n", "text"])
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A bit for each cell of hashes, about as many as shingles: whether an odd number of them falls there. Two bitmaps differ
+    in no more bits than the sets in shingles, and a bitmap of half the cells is the exclusive or of its halves."""
+    cells = min(max(1 << int(len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    return np.packbits(np.bincount((mix(s) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def _sets(batches):
+    """``_keyed`` with the bitmap of each set, and the text packed."""
+
+    def marked():
+        for batch in chunks(batches, "text", 1 << 20):
+            sets = shingle_sets(batch.column(1))
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            bits = [_parity(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(bits, pa.binary()), batch.column(1)],
+                ["id", "key", "n", "bits", "text"])
+
+    yield from pack(marked())
+
+
 def _light(batches):
     for batch in _keyed(batches):
         yield batch.select([0, 1, 2])
@@ -133,11 +156,12 @@ def _prefix(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _candidate_links(post: DataFrame) -> DataFrame:
-    """Whoever links ends in one cluster, through the first token of their common order that both hold.
+def _candidates(post: DataFrame) -> DataFrame:
+    """(a, b, alone): whoever links ends in one cluster, through the first token of their common order that both hold.
 
     What stands before that token is in one set only, so the sizes less the positions bound the overlap. The few rows of
-    a rare token are tested pair by pair. Others are chained by size: the smaller set of a link holds the token in its
+    a rare token are tested pair by pair, so each such pair stands ``alone``: it may be dropped if the two do not link.
+    Others are chained by size: the smaller set of a link holds the token in its
     first seventh, so each row is tied to the last such row before it. A salted token's rows are chained whatever they hold.
     """
     name = F.shiftright("token", STEP_BITS)
@@ -147,18 +171,52 @@ def _candidate_links(post: DataFrame) -> DataFrame:
     row = F.struct("id", "n", "pos")
     least = lambda n, i, m, j: (100 + PERCENT) * F.least(n - i, m - j) >= PERCENT * (n + m)
     n, i = F.col("n"), F.col("pos")
-    early = F.last(F.when(least(n, i, n, i) | (F.col("cls") >= 0), row), True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    seen = post.select(
-        "cls", "id", "n", "pos", early.alias("early"), *[F.lag(row, k).over(line).alias(f"lag{k}") for k in range(1, FEW)],
-        F.count(F.lit(1)).over(Window.partitionBy("token", "cls", "salt")).alias("rows")).where("rows > 1")
-    tied = F.col("early").isNotNull() & ((F.col("cls") >= 0) | (100 * F.col("early.n") >= PERCENT * n))
-    pairs = [F.when(least(n, i, F.col(f"lag{k}.n"), F.col(f"lag{k}.pos")), F.col(f"lag{k}.id")) for k in range(1, FEW)]
+    shared = post.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token", "cls", "salt"))).where("rows > 1")
     few = (F.col("rows") <= FEW) & (F.col("cls") < 0)
-    to = F.array_compact(F.when(few, F.array(*pairs)).otherwise(F.array(F.when(tied, F.col("early.id")))))
-    chain = seen.select(F.col("id").alias("a"), F.explode(to).alias("b"))
+    early = F.last(F.when(~few & (least(n, i, n, i) | (F.col("cls") >= 0)), row), True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.collect_list(F.when(few, row)).over(line.rowsBetween(1 - FEW, -1))
+    seen = shared.select("cls", "id", "n", "pos", few.alias("few"), early.alias("early"), earlier.alias("earlier"))
+    tied = F.col("early").isNotNull() & ((F.col("cls") >= 0) | (100 * F.col("early.n") >= PERCENT * n))
+    near = F.transform(F.filter("earlier", lambda r: least(n, i, r["n"], r["pos"])), lambda r: r["id"])
+    to = F.when(F.col("few"), near).otherwise(F.array_compact(F.array(F.when(tied, F.col("early.id")))))
+    chain = seen.select(F.col("id").alias("a"), F.explode(to).alias("b"), F.col("few").alias("alone"))
     heads = post.where("cls >= 0").groupBy("token", "cls", "salt").agg(F.min("id").alias("id"))
     across = heads.select("id", F.lag("id").over(Window.partitionBy("token", "cls").orderBy("salt")).alias("b"))
-    return chain.union(across.where("b is not null").select(F.col("id").alias("a"), "b"))
+    return chain.union(across.where("b is not null").select(F.col("id").alias("a"), "b", F.lit(False)))
+
+
+def _candidate_links(post: DataFrame) -> DataFrame:
+    return _candidates(post).select("a", "b")
+
+
+def _differ_little(batches):
+    """The pairs (a, b) whose bitmaps leave room for a link: linked sets of n and m differ in (n + m) / 7 shingles at most.
+    An id of several sets has no bitmap and passes."""
+    for batch in batches:
+        n, m, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+        keep = np.ones(batch.num_rows, bool)
+        for k in range(batch.num_rows):
+            if x[k] is None or y[k] is None:
+                continue
+            size, bits = [len(x[k]) * 8, len(y[k]) * 8], [int.from_bytes(v, "little") for v in (x[k], y[k])]
+            for side in (0, 1):
+                while size[side] > size[1 - side]:
+                    size[side] //= 2
+                    bits[side] = (bits[side] >> size[side]) ^ (bits[side] & ((1 << size[side]) - 1))
+            keep[k] = (100 + PERCENT) * (bits[0] ^ bits[1]).bit_count() <= (100 - PERCENT) * (n[k] + m[k])
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def _links(rows: DataFrame, post: DataFrame) -> DataFrame:
+    """Candidate links; of the pairs that stand alone those that the bitmaps of their sets let pass.
+
+    Common phrases make such pairs by chance, more for each document the more there are, and would tie all to one cluster.
+    """
+    found = materialise(_candidates(post).distinct(), "jaccard-candidates")
+    of = rows.groupBy("id").agg(F.count(F.lit(1)).alias("sets"), F.first("n"), F.first("bits")).where("sets = 1").drop("sets")
+    pairs = found.where("alone and a <> b").join(of.toDF("a", "n", "x"), "a", "left").join(of.toDF("b", "m", "y"), "b", "left").select("a", "b", "n", "m", "x", "y")
+    kind = rows.schema["id"].dataType.simpleString()
+    return pairs.mapInArrow(_differ_little, f"a {kind}, b {kind}").union(found.where("not alone").select("a", "b"))
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -310,7 +368,7 @@ def _clusters(reps: DataFrame, block: int) -> DataFrame:
 
     def near(rows):
         often = max(64.0, OFTEN * rows.count())
-        return components(_candidate_links(_postings(rows, _frequency(rows), often)), "jaccard-clusters").withColumnRenamed("component", "cluster")
+        return components(_links(rows, _postings(rows, _frequency(rows), often)), "jaccard-clusters").withColumnRenamed("component", "cluster")
 
     first = materialise(near(reps), "jaccard-first")
     size = reps.select("id", "n").join(first, "id").groupBy("cluster").agg(F.sum("n").alias("s"))
@@ -331,7 +389,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when their sets of five-word shingles have a Jaccard similarity of 0.75 or more; a class is what
     links reach, named by its smallest id. Equal sets are one row of the incidence matrix from the start. Rows that can
     link share a shingle in a prefix whose length follows from their size, in one global order with common shingles last;
-    chains through these shingles cut the matrix into clusters, a superset of the classes; those beyond one block are cut once
+    pairs and chains through these shingles cut the matrix into clusters, a superset of the classes, after pairs fell whose bitmaps
+    differ in more bits than linked sets in shingles; those beyond one block are cut once
     more by counts among their own rows. A cluster's rows are dealt to
     blocks of bounded shingles and rows, and each pair of blocks whose sizes can link goes to one task, as compressed texts. There,
     chains by the exact counts cut the rows again, and what is left is multiplied in tiles: overlap counts add up over column blocks,
@@ -344,9 +403,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.mapInArrow(_packed, f"id {kind}, key binary, n long, packed binary")
+    keyed = rows.mapInArrow(_sets, f"id {kind}, key binary, n long, bits binary, packed binary")
     reps = materialise(keyed.where("key is not null and id is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("packed").alias("packed")), "jaccard-sets")
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bits", "packed")]), "jaccard-sets")
     other = _block_pairs(reps, _clusters(reps, block), block).select("cluster", "own", F.explode("pairs").alias("p"), "id", "packed")
     blocks = other.select("cluster", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "id", "packed")
     links = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify, f"a {kind}, b {kind}")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,32 @@ def test_jaccard_candidates_meet_the_bound_of_positions(spark):
     assert [tuple(r) for r in jaccard._candidate_links(post).collect()] == [(3, 4)]
 
 
+def test_jaccard_bitmaps_lose_no_link():
+    """Sets differ in at least as many shingles as their bitmaps in bits, also bitmaps of unlike length."""
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 60, 63, 64, 65, 130, 900, 9000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for m in {n, n - n // 7, n - n // 4}:
+            b, c = a[n - m :], rng.integers(0, 2**63, m).astype(np.uint64)
+            rows = [(1, 2, n, m, jaccard._parity(a), jaccard._parity(b)), (1, 3, n, m, jaccard._parity(a), jaccard._parity(c)), (1, 4, n, m, None, b"\1")]
+            got = [x for batch in jaccard._differ_little([pa.RecordBatch.from_pylist([dict(zip("abnmxy", r)) for r in rows])]) for x in batch.column(1).to_pylist()]
+            assert 2 in got and 4 in got and (3 not in got or n < 60)
+
+
+def test_jaccard_pairs_by_chance_make_no_cluster(spark, monkeypatch):
+    """Texts that share a phrase two by two, far up in the order, are no chain; near copies, ids of several texts and long lists stay."""
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"w{rng.integers(1 << 40)}" for _ in range(200))
+    near = text()
+    rows = [(i, text()) for i in range(50)] + [(60, near), (61, near + " end"), (70, text()), (70, text()), (71, text())]
+    reps = spark.createDataFrame(rows, "id long, text string").mapInArrow(jaccard._sets, "id long, key binary, n long, bits binary, packed binary").persist()
+    pairs = [(i, i + 1) for i in range(49)] + [(60, 61), (70, 71)]
+    post = [(16 * (100 + k), -1, 0, i, 196) for k, pair in enumerate(pairs) for i in pair] + [(16 * 9, -1, 0, i, 196) for i in range(100, 101 + jaccard.FEW)]
+    monkeypatch.setattr(jaccard, "_postings", lambda *_: spark.createDataFrame(post, "token long, cls short, salt short, id long, n long"))
+    got = {r.id: r.cluster for r in jaccard._clusters(reps, jaccard.BLOCK_SHINGLES).collect()}
+    assert got == {60: 60, 61: 60, 70: 70, 71: 70, **dict.fromkeys(range(100, 101 + jaccard.FEW), 100)}
+
+
 def test_jaccard_texts_outside_clusters_are_not_shuffled(spark):
     ids = spark.range(0, 3000, 100)
     kept = jaccard._marked(spark.range(3000).select("id", F.lit(b"x").alias("packed")), ids)
