@@ -180,6 +180,22 @@ def test_jaccard_pairs_by_chance_make_no_cluster(spark, monkeypatch):
     assert got == {60: 60, 61: 60, 70: 70, 71: 70, **dict.fromkeys(range(100, 101 + jaccard.FEW), 100)}
 
 
+def test_pipeline_near_duplicates_with_a_full_sketch(spark, docs, texts, monkeypatch):
+    """As on a far larger table, the sketch tells no shingle apart: no class changes, and texts without a copy are not dealt to blocks."""
+    import corpus_pipeline
+
+    dealt, real = [], jaccard._block_pairs
+    monkeypatch.setattr(jaccard, "CELLS", 1024)
+    monkeypatch.setattr(jaccard, "_block_pairs", lambda reps, near, block: dealt.append(near) or real(reps, near, block))
+    rows = [(9000 + i, f"{sentence(random.Random(500 + i), 40)} said it {i // 2} times in all {sentence(random.Random(900 + i), 40)}", "en", "x", 9) for i in range(60)]
+    both = docs.unionByName(spark.createDataFrame(rows, DOCS), allowMissingColumns=True)
+    kept = corpus_pipeline.near_duplicates(spark, both, "")
+    want = classes([*texts, *[r[:2] for r in rows]])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+    linked = {c for i, (_, c) in want.items() if c != i}
+    assert not {r.id for r in dealt[0].collect() if r.id >= 9000} - {i for i, (_, c) in want.items() if c in linked}
+
+
 def test_jaccard_texts_outside_clusters_are_not_shuffled(spark):
     ids = spark.range(0, 3000, 100)
     kept = jaccard._marked(spark.range(3000).select("id", F.lit(b"x").alias("packed")), ids)
